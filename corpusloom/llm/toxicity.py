@@ -20,7 +20,7 @@ from corpusloom.llm.common import held_out, table
 #: Score from which a document is called toxic, and a sentence offending.
 THRESHOLD = 0.3
 #: Toxic and clean documents to learn from at most, their longest text in characters, and features with a weight at most.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, MAX_FEATURES = 2500, 5000, 50_000, 2000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, MAX_FEATURES = 2000, 3000, 50_000, 2000
 #: Weights below this are left out of the model.
 LEAST_WEIGHT = 0.05
 #: Chi-squared of a feature and the label (one degree of freedom) from which it is used.
@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
     below = F.when(F.col("toxic"), F.lit(share[True])).otherwise(F.lit(share[False])) * (1 << 30)
     sample = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) < below)
     texts = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text")
-    rows = texts.join(sample, "doc_id").select("doc_id", "text", "toxic").limit(2 * (toxic + clean)).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    sample = sample.limit(2 * (toxic + clean))  # so it is small enough to be sent to all tasks: texts are not moved
+    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").limit(2 * (toxic + clean)).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     labels_of = np.array(rows.column("toxic").to_pylist(), dtype=bool)
     return fit(rows.column("text").to_pylist(), labels_of.astype(np.int64), np.where(labels_of, 1 / share[True], 1 / share[False]))
 
