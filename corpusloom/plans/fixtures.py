@@ -1,0 +1,52 @@
+"""Queries over small inline inputs, for what the synthetic tables have none of: captions, images, page scopes, answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.functions import jsons, times, urls
+from corpusloom.operators import decisions, markdown, transcripts
+from corpusloom.plans.base import Tables, query
+
+_VTT = "WEBVTT\nKind: captions\n\n00:01.000 --> 00:03.500\n<c>Hello</c> there\nfriend\n\n1:02:03.250 --> 1:02:04.250\nbye&nbsp;now\n\nloose words\n"
+_JSON3 = '{"events":[{"tStartMs":1500,"dDurationMs":2000,"segs":[{"utf8":"one "},{"utf8":"two"}]},{"tStartMs":4000,"segs":[{"utf8":" "}]},{"tStartMs":5000,"segs":[{"utf8":"three"}]}]}'
+
+
+@query("""select * from (values ('json', 0, 1.5::double, 2.0::double, 'one two'), ('json', 2, 5.0, null, 'three'), ('vtt', 1, 1.0, 2.5, 'Hello there friend'), ('vtt', 2, 3723.25, 1.0, 'bye now'), ('vtt', 3, null, null, 'loose words'))
+  as t(id, cue, start_seconds, duration_seconds, text)""")
+def caption_segments(t: Tables) -> DataFrame:
+    files = t.spark.createDataFrame([("vtt", _VTT), ("json", _JSON3)], "id string, payload string")
+    return transcripts.from_captions(files, "id", "payload")
+
+
+@query("""select * from (values (1, 'html_image', 'https://a/b.png', 'x & y', null), (2, 'linked_markdown_image', 'u1', 'alt', 'http://l'), (3, 'markdown_image', 'u2', '', null)) as t(ordinal, kind, url, alt, link_url)""")
+def image_references(t: Tables) -> DataFrame:
+    docs = t.spark.createDataFrame([(1, '<img alt="x &amp; y" src=\'https://a/b.png\'> then [![alt](u1)](http://l) and ![](u2 "t")'), (2, None)], "id int, content string")
+    return markdown.image_references(docs, "id", "content").select("ordinal", "kind", "url", "alt", "link_url")
+
+
+@query("select * from (values (1, '1,2,3'), (2, '10,11,12'), (3, '7'), (4, '')) as t(id, labels)")
+def page_label_ranges(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([(1, "páginas 1, 2 e 3"), (2, "p. 10-12; capítulo 4"), (3, "exercício 5, pag. 7"), (4, None)], "id int, scope string")
+    return rows.select("id", F.array_join(markdown.page_labels("scope"), ",").alias("labels"))
+
+
+@query("select * from (values (1, '62.0,3723.0'), (2, '')) as t(id, seconds)")
+def markdown_timestamps(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([(1, "at 01:02 and 1:02:03, not 1:2:3:4"), (2, None)], "id int, content string")
+    return rows.select("id", F.array_join(F.transform(times.timestamps_in("content"), lambda x: x.cast("string")), ",").alias("seconds"))
+
+
+@query("""select * from (values (1, 'https://www.youtube.com/watch?v=abcdef12345', null, 'video'), (2, null, 'https://raw.githubusercontent.com/o/r/main/d/f.pdf', 'article'), (3, null, null, 'book'), (4, null, null, 'article')) as t(id, watch, raw, kind)""")
+def url_rewrites(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([(1, "https://youtu.be/abcdef12345?t=3"), (2, "https://github.com/o/r/blob/main/d/f.pdf"), (3, "https://biblioteca.sophia.com.br/x"), (4, None)], "id int, url string")
+    return rows.select("id", urls.youtube_watch_url("url").alias("watch"), urls.github_raw_pdf("url").alias("raw"), urls.route("url", F.lit(""), F.lit("")).alias("kind"))
+
+
+@query("""select * from (values ('c1', 'used_in', 'k1', null), ('c2', 'merged_into', '', 'k2'), ('c3', 'pruned', '', null)) as t(candidate_id, status, accepted_ids, merged_into)""")
+def model_answers(t: Tables) -> DataFrame:
+    raw = ['```json\n{"candidate_id":"c1","status":"Used_in","accepted_id":"k1"}\n```', '{"id":"c2","status":"merged_into","merge_target":"k2"}', '{"candidate_id":"c3","assignment":"pruned","reason":"incidental"}']
+    rows = t.spark.createDataFrame([("s", i, x) for i, x in enumerate(raw)], "scope_id string, ord int, raw string")
+    found = decisions.normalize_assignments(rows.select("scope_id", "ord", jsons.parsed("raw").alias("answer")))
+    return found.select("candidate_id", "status", F.array_join("accepted_ids", ",").alias("accepted_ids"), "merged_into")

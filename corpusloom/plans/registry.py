@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from corpusloom.plans import base, fixtures, records, scalars, similarity  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracles() -> dict:
-    return {}
+    return dict(base.ORACLES)
