@@ -140,4 +140,4 @@ def keep_mixed(docs: DataFrame, share: float, weights: DataFrame | None = None)
     """
     weights = default_weights(docs.sparkSession) if weights is None else weights
     chosen = mix(with_domain(docs), weights, share=share, epochs=1.0).select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return docs.join(chosen.hint("merge"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

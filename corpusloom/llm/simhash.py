@@ -110,8 +110,8 @@ class GrayIndex:
                 mask = mask & ~np.repeat(levels[depth + 1][0], FAN_OUT)[: len(mask)]
             self.levels.append((mask, value))
 
-    def near(self, queries: np.ndarray, distance: int, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of (place of the query, place of the code in self.codes) at most distance apart."""
+    def near(self, queries: np.ndarray, distance: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of (place of the query, place of the code in self.codes) at most distance apart, the nearest first."""
         for at in range(0, len(queries), block):
             q = queries[at : at + block]
             mask, value = self.levels[-1]
@@ -129,7 +129,8 @@ class GrayIndex:
                 keep = seen <= distance
                 who, node, seen = who[keep], node[keep], seen[keep]
             if len(who):
-                yield who + at, node
+                order = np.argsort(seen, kind="stable")
+                yield who[order] + at, node[order]
 
 
 class _Forest:
@@ -272,17 +273,70 @@ def near_duplicates(docs: DataFrame, max_distance: int = 2, segments: int = 3, s
     return fps.join(by_fp, "fp").select(*keys, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, max_distance: int = 2, segments: int = 3) -> DataFrame:
-    """One row of docs for each component, with all its columns: the one whose doc_id names the component.
+# ---- one document of each group of near copies -----------------------------------------------------------------
 
-    Of rows that repeat such a doc_id one stays. Rows with a null doc_id all stay, as nothing tells them apart.
+_DIGEST = "_simhash_digest"
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Different hashes of a text's shingles of so many words (of all its words, where there are fewer)."""
+    w = text.lower().split()
+    if not w:
+        return np.empty(0, dtype=np.int64)
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))), dtype=np.uint64)).view(np.int64)
+
+
+def _shingles(texts: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node string, shingles array<bigint>")
+
+
+def verified_classes(docs: DataFrame, max_distance: int, segments: int, shingle: int, words: int, similarity: float) -> DataFrame:
+    """(doc_id, digest of the text, component_id) of docs (doc_id, text, digest): near copies, checked exactly.
+
+    Links come from the index; one counts if the shingle sets of its texts have a Jaccard of at least similarity.
+    Equal texts are one node; texts with one fingerprint are linked to the first of them. Texts without words are alike.
+    """
+    fps = materialise(fingerprints(docs, shingle, keys=("doc_id", _DIGEST)), "simhash-fp")
+    nodes = materialise(fps.groupBy("fp", F.col(_DIGEST).alias("node")).agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    heads = nodes.groupBy("fp").agg(F.min(F.struct("first", "node"))["node"].alias("head"))
+    same = nodes.join(heads.hint("merge"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = near_links(heads.select("fp"), max_distance, segments)
+    of = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
+    across = near.join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    links = materialise(same.unionByName(across), "simhash-candidates")
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id"))
+    texts = docs.join(ends.hint("merge"), (docs["doc_id"] == ends["doc_id"]) & (docs[_DIGEST] == ends["node"])).select("node", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    sets = materialise(_shingles(texts, words).dropDuplicates(["node"]), "simhash-shingles")
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    alike = links.join(side("a"), "a").join(side("b"), "b").where((both >= similarity * (F.size("a_set") + F.size("b_set") - both)))
+    roots = connected_components(alike.select("a", "b"))
+    classes = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_node = classes.join(named.hint("merge"), "root").select(F.col("node").alias(_DIGEST), "component_id")
+    return fps.select("doc_id", _DIGEST).join(by_node.hint("merge"), _DIGEST)
+
+
+def keep_one(docs: DataFrame, max_distance: int = 6, segments: int = 8, shingle: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each group of near copies, with all its columns: the one with the smallest doc_id.
+
+    Fingerprints of shingles of two words propose links; shingles of five words confirm them. Rows that repeat both id
+    and text count once. Rows with a null doc_id all stay, as nothing tells them apart.
     """
-    ids = near_duplicates(docs.select("doc_id", "text"), max_distance, segments)
-    stay = materialise(ids.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-stay")
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    marked = docs.withColumn(_DIGEST, F.sha1(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    known = marked.where("doc_id is not null").select("doc_id", "text", _DIGEST)
+    ids = verified_classes(known, max_distance, segments, shingle, words, similarity)
+    stay = materialise(ids.where("doc_id = component_id").groupBy("doc_id", _DIGEST).agg(F.count("*").alias("n")), "simhash-stay")
+    kept = marked.join(stay.select("doc_id", _DIGEST).hint("merge"), ["doc_id", _DIGEST], "left_semi")
     if not stay.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+        kept = kept.dropDuplicates(["doc_id", _DIGEST])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
