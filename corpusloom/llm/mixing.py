@@ -40,13 +40,15 @@ def budgets(supply: DataFrame, levels: tuple[str, ...], weights: DataFrame, shar
     path = [F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in levels[: i + 1])) for i in range(len(levels))]
     tree = supply.select("*", F.lit("").alias("_p0"), *(p.alias(f"_p{i + 1}") for i, p in enumerate(path)))
     tree = tree.withColumn("_give", F.col("supply") * epochs)
-    # Budgets of the level above, from the root down.
-    above = tree.agg((F.coalesce(F.sum("supply"), F.lit(0)) * share).alias("_b"), F.coalesce(F.sum("_give"), F.lit(0.0)).alias("_cap")).select(F.lit("").alias("_up"), F.least("_b", "_cap").alias("_budget"))
+    # Budgets of the level above, from the root down. The root's is one number.
+    total = supply.agg(F.coalesce(F.sum("supply"), F.lit(0))).first()[0]
+    above = None
     for i in range(1, len(levels) + 1):
         nodes = tree.groupBy(F.col(f"_p{i - 1}").alias("_up"), F.col(f"_p{i}").alias("_node")).agg(F.sum("_give").alias("_cap"))
         nodes = nodes.join(weights.select(F.col("node").alias("_node"), F.col("weight").alias("_w")), "_node", "left")
         # A node without a weight counts by what it can give.
-        nodes = nodes.withColumn("_w", F.greatest(F.coalesce(F.col("_w").cast("double"), F.col("_cap").cast("double")), F.lit(0.0))).join(above, "_up")
+        nodes = nodes.withColumn("_w", F.greatest(F.coalesce(F.col("_w").cast("double"), F.col("_cap").cast("double")), F.lit(0.0)))
+        nodes = nodes.withColumn("_budget", F.lit(float(total) * min(share, epochs))) if above is None else nodes.join(above, "_up")
         above = _shared(nodes)
     return tree.join(above.select(F.col("_up").alias(f"_p{len(levels)}"), "_budget"), f"_p{len(levels)}").select(*levels, "supply", "rows", F.col("_budget").alias("budget"))
 
@@ -91,7 +93,7 @@ def mix(docs: DataFrame, weights: DataFrame, levels: tuple[str, ...] = LEVELS, s
     prefix ends is sorted.
     """
     sized = materialise(docs.select("doc_id", *levels, tokens(F.col("text")).alias("_tokens")), "mix-tokens")
-    plan = materialise(budgets(leaves(sized, levels), levels, weights, share, epochs), "mix-budgets")
+    plan = materialise(budgets(materialise(leaves(sized, levels), "mix-leaves"), levels, weights, share, epochs), "mix-budgets")
     plan = plan.withColumn("_budget", F.floor(F.col("budget") + 0.5)).withColumn("_whole", F.when(F.col("supply") > 0, F.floor(F.col("_budget") / F.col("supply"))).otherwise(1))
     plan = plan.withColumn("_rest", F.col("_budget") - F.col("_whole") * F.col("supply"))
     small = plan.select(*levels, "_whole", "_rest")
