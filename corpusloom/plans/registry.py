@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import base, fixtures, records, scalars, similarity  # noqa: F401
+from corpusloom.plans import base, fixtures, media, records, scalars, similarity  # noqa: F401
 
 
 def queries() -> dict:

@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import audit, decisions, joins, markdown, transcripts, windows
+from corpusloom.operators import audit, decisions, extraction, joins, markdown, media, models, rendering, transcripts, windows
 from corpusloom.sources import manifests
 from corpusloom.sources.workbook import WorkbookSource
 from corpusloom.streaming import progress
@@ -136,3 +136,45 @@ def test_events_stream_like_a_table(spark, tmp_path):
     progress.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/ck")
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     assert got == sorted(map(tuple, progress.counts_by_window(rows, "ts", "event_type").collect()))
+
+
+def test_rendering(spark):
+    page = "<html><head><title>t</title></head><body><script>x</script><h2>A &amp; B</h2><p>One <b>two</b> <a href='u'>three</a><br>four</p><ol><li>x</li><li>y <img src='i' alt='z'></li></ol><ul><li>n</li></ul><pre>a\n  b</pre><blockquote>q</blockquote></body></html>"
+    assert rendering.render(page) == "## A & B\n\nOne **two** [three](u) four\n\n1. x\n\n2. y ![z](i)\n\n- n\n\n```\na\n  b\n```\n\n> q"
+    assert rendering.render(None) == "" and rendering.render("<p>open") == "open"
+    table = "before\n| | |\n| --- | --- |\n| 1<br>2 | import x<br>y = &lt;1 |\nafter"
+    got = spark.createDataFrame([(table,), (None,)], "t string").select(rendering.code_tables_to_fences("t").alias("v")).collect()
+    assert [r.v for r in got] == ["before\n```python\nimport x\ny = <1\n```\nafter", None]
+
+
+def test_reader_pages(spark):
+    rows = spark.createDataFrame([("x", "https://login.site/x"), ("Please sign in", "https://a/b"), ("", "https://a/b"), ("text", "https://a/pageid/12")], "c string, u string")
+    assert [r.v for r in rows.select(media.needs_manual_access(F.col("c"), F.col("u")).alias("v")).collect()] == ["login_url", "manual_message", "empty_page", None]
+    assert rows.select(media.reader_page_id(F.col("u")).alias("v")).collect()[3].v == "12"
+
+
+def test_stages_are_blocked_or_repaired(spark):
+    import pytest
+
+    prompts = spark.range(3)
+    bad = lambda df: df.withColumn("v", F.lit(-1))
+    good = lambda df: df.withColumn("v", F.col("id"))
+    check = lambda df: df.where("v < 0")
+    assert models.run_stage(prompts, bad, lambda d: d, check, good).count() == 3
+    with pytest.raises(ValueError):
+        models.run_stage(prompts, bad, lambda d: d, check)
+    router = models.Router({"a": models.Route("a", "m")}, {"x": "a"})
+    assert router.resolve("x").model == "m"
+    with pytest.raises(KeyError):
+        router.resolve("y")
+
+
+def test_reordering_and_roles(spark):
+    schema = "lesson_id int, segment_id string, label string, concept_ids array<string>"
+    before = spark.createDataFrame([(1, "a", "A", ["x", "y"]), (1, "b", "B", ["z"])], schema)
+    after = spark.createDataFrame([(1, "b", "B", ["z"]), (1, "a", "A", ["y", "x"])], schema)
+    assert extraction.same_segments(before, after).count() == 0
+    changed = spark.createDataFrame([(1, "b", "B2", ["z"]), (1, "c", "C", [])], schema)
+    assert {(r.segment_id, r.problem) for r in extraction.same_segments(before, changed).collect()} == {("a", "missing"), ("b", "changed"), ("c", "unknown")}
+    assert spark.range(1).select(extraction.canonical_roles(F.array(F.lit("Main"), F.lit("primary"), F.lit("ref"))).alias("v")).first().v == ["primary", "reference"]
+    assert [r.forbidden_key for r in extraction.forbidden_keys(spark.createDataFrame([(1, '{"edges":1,"a":2}')], "id int, j string"), "id", "j", ("edges", "b")).collect()] == ["edges"]

@@ -50,10 +50,10 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
-def test_every_query_has_sql():
+def test_every_query_but_rendering_has_sql():
     from corpusloom.plans import registry
 
-    assert registry.queries().keys() == registry.oracles().keys()
+    assert registry.queries().keys() - registry.oracles().keys() == {"page_markdown"}
 
 
 def test_entry(spark):
