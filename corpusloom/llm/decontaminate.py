@@ -25,7 +25,7 @@ from corpusloom.llm.common import materialise, table
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or b >= 0x61 and b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 WINDOW = 13
 #: Words after which a segment is closed, postings in a row, words of queries sought in one pass.
-SEGMENT_WORDS, BLOCK_POSTINGS, QUERY_WORDS = 2_000_000, 100_000, 200_000
+SEGMENT_WORDS, BLOCK_POSTINGS, QUERY_WORDS = 1_000_000, 100_000, 200_000
 
 _INDEX = "segment string, kind string, term binary, n bigint, places binary, doc_id {id}, start bigint, n_words bigint"
 
@@ -68,13 +68,9 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
             order = np.argsort(terms, kind="stable")
             places, counts = places[order], np.bincount(terms, minlength=len(numbers))
             ends = np.cumsum(counts)
-            rows: list[tuple] = []
-            for term, end, n in zip(numbers, ends.tolist(), counts.tolist()):
-                for a in range(end - n, end, BLOCK_POSTINGS):
-                    b = min(end, a + BLOCK_POSTINGS)
-                    rows.append((term, b - a, places[a:b].tobytes()))
-            for i in range(0, len(rows), 5_000):
-                t, n, p = zip(*rows[i : i + 5_000])
+            blocks = ((term, min(end, a + BLOCK_POSTINGS) - a, places[a : a + min(end - a, BLOCK_POSTINGS)].tobytes()) for term, end, n in zip(numbers, ends.tolist(), counts.tolist()) for a in range(end - n, end, BLOCK_POSTINGS))
+            while rows := list(itertools.islice(blocks, 5_000)):
+                t, n, p = zip(*rows)
                 k = len(t)
                 none = pa.nulls(k, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([segment] * k), pa.array(["term"] * k), pa.array(t, pa.binary()), pa.array(n, pa.int64()), pa.array(p, pa.binary()), pa.nulls(k, id_type), none, none], names=names)
