@@ -130,3 +130,15 @@ def image_label(alt, url):
 def route(url, title, resource_code):
     """book, video or article: the first that matches."""
     return F.when(netloc(url).contains("sophia.com.br") | (F.trim(text(resource_code)) != ""), "book").when(is_video(url, title), "video").otherwise("article")
+
+
+def page_data_url(url):
+    """Where a site made of page data keeps that of a page."""
+    p = F.regexp_replace(path(url), "/+$", "")
+    return F.concat(scheme(url), F.lit("://"), netloc(url), F.lit("/page-data"), F.when(p == "", "/").otherwise(p), F.lit("/page-data.json"))
+
+
+def first_url(c):
+    """The first address in a text, without the punctuation after it; null if there is none."""
+    found = F.regexp_replace(F.regexp_extract(text(c), r"(https?://[^\s\"'<>]+)", 1), r"[),.;]+$", "")
+    return F.nullif(found, F.lit(""))

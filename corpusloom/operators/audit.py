@@ -92,3 +92,20 @@ def distribution(rows: DataFrame, key: str, value: str, values: tuple[str, ...])
 def conflicts(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """(key, chosen, n_values, conflict): the first value in order wins; more than one different value is a conflict."""
     return rows.groupBy(key).agg(F.min_by(value, order).alias("chosen"), F.count_distinct(value).alias("n_values")).withColumn("conflict", F.col("n_values") > 1)
+
+
+def subject_guardrails(assigned: DataFrame, cited: DataFrame, inputs: DataFrame, concept_lessons: DataFrame, candidate_lessons: DataFrame) -> DataFrame:
+    """(flag, candidate_id): candidates that no assignment or no concept has, and those whose provenance a concept lost.
+
+    assigned, inputs: candidate_id. cited: concept_id, candidate_id. concept_lessons: concept_id, lesson_id, as the concept has
+    them; candidate_lessons: candidate_id, lesson_id.
+    """
+    ids = inputs.select("candidate_id").distinct()
+    covered = cited.join(assigned.select("candidate_id").distinct(), "candidate_id", "left_semi").select("candidate_id")
+    lacking = ids.join(covered, "candidate_id", "left_anti").select(F.lit("assignment_incomplete").alias("flag"), "candidate_id")
+    lessons = lambda df, key: df.groupBy(key).agg(F.sort_array(F.collect_list("lesson_id")).alias("l"))
+    expected = lessons(cited.join(candidate_lessons, "candidate_id"), "concept_id").withColumnRenamed("l", "e")
+    actual = lessons(concept_lessons, "concept_id").withColumnRenamed("l", "a")
+    differ = expected.join(actual, "concept_id", "full_outer").where(~F.col("e").eqNullSafe(F.col("a"))).select("concept_id")
+    lost = cited.join(differ, "concept_id", "left_semi").select(F.lit("provenance_loss").alias("flag"), "candidate_id").distinct()
+    return lacking.unionByName(lost)

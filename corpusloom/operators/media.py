@@ -101,3 +101,29 @@ def run_summary(gates: DataFrame, key: str) -> DataFrame:
     """(status, n, ids): how many of each status, and which, in order of integer ids first."""
     order = F.struct(F.col(key).cast("string").try_cast("bigint").isNull().alias("a"), F.col(key).cast("string").try_cast("bigint").alias("b"), F.col(key).cast("string").alias("c"))
     return gates.groupBy("status").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(order)), lambda x: x["c"]).alias("ids"))
+
+
+#: Words of titles of Portuguese videos, and languages to prefer.
+PORTUGUESE_MARKERS = ("aprender", "forma", "linguagem", "nuvem", "pln", "processamento", "programador", "regulares", "melhor", "express", "vídeo", "video")
+PORTUGUESE_FIRST, ENGLISH_FIRST = ("pt", "pt-BR", "pt-PT", "en", "en-US"), ("en", "en-US", "pt", "pt-BR", "pt-PT")
+
+
+def preferred_languages(title: Column) -> Column:
+    """Caption languages from the best on, by a video's title."""
+    low = F.lower(text(title))
+    return F.when(low.rlike("|".join(PORTUGUESE_MARKERS)), F.array(*map(F.lit, PORTUGUESE_FIRST))).otherwise(F.array(*map(F.lit, ENGLISH_FIRST)))
+
+
+def retry_after(value: Column, now: Column) -> Column:
+    """Seconds to wait, from a number or an HTTP date; null for others."""
+    seconds = text(value).try_cast("double")
+    date = F.try_to_timestamp(F.regexp_extract(text(value), r"^\w{3}, (\d{1,2} \w{3} \d{4} \d\d:\d\d:\d\d)", 1), F.lit("d MMM yyyy HH:mm:ss"))
+    return F.greatest(F.lit(0.0), F.coalesce(seconds, (F.unix_seconds(date) - F.unix_seconds(now)).cast("double")))
+
+
+#: What passing errors of a provider say.
+TRANSIENT_MARKERS = ("HTTP 429", "HTTP 503", "request timed out", "request failed", "returned an empty message", "RemoteDisconnected", "IncompleteRead")
+
+
+def is_transient(message: Column) -> Column:
+    return text(message).rlike("|".join(TRANSIENT_MARKERS))

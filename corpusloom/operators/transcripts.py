@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import collapse_space, containment, jaccard, overlap_tokens, text
-from corpusloom.functions.times import section_timestamp
+from corpusloom.functions.times import section_timestamp, timestamp_label
 
 _STAMP = r"\d{1,2}:\d{2}(?::\d{2})?(?:\.\d{1,3})?"
 
@@ -76,3 +79,43 @@ def unusable_reasons(words: Column, repeated_lines: Column, n_lines: Column, lan
         ((text(language) != "") & (text(expected) != "") & (text(language) != text(expected)), "language_mismatch"),
     ]
     return F.array_compact(F.array(*(F.when(c, n) for c, n in flags)))
+
+
+TRUNCATED = "\n[transcript truncated for this chunk]"
+
+
+def context(overlaps: DataFrame, keys: list[str], max_chars: int) -> DataFrame:
+    """(keys, context): what is said in each window, of rows that joins.overlapping gives, cut at max_chars."""
+    line = F.concat(F.when(F.col("start_seconds").isNull(), "").otherwise(F.concat(F.lit("["), timestamp_label("start_seconds"), F.lit("] "))), collapse_space("text"))
+    listed = F.array_sort(F.collect_list(F.struct("cue", line.alias("line"))))
+    whole = overlaps.where(F.trim(text("text")) != "").groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("_c"))
+    cut = F.concat(F.rtrim(F.left("_c", F.lit(max_chars))), F.lit(TRUNCATED))
+    return whole.select(*keys, F.when(F.length("_c") > max_chars, cut).otherwise(F.col("_c")).alias("context"))
+
+
+def without_repeats(frames: DataFrame, key: str, order: str) -> DataFrame:
+    """frames (key, order, text) without those that repeat the last one kept, of each key in order.
+
+    What is kept depends on what was kept before, so a key's frames are read in order by one task: frames of one video.
+    Exact repeats of the frame before go first, without that.
+    """
+    from pyspark.sql import Window
+
+    before = F.lag("text").over(Window.partitionBy(key).orderBy(order))
+    some = frames.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col("text"))).drop("_before")
+
+    def tokens(said: str) -> set[str]:
+        return set(re.findall(r"[\w']+", said.lower()))
+
+    def keep(found: pd.DataFrame) -> pd.DataFrame:
+        last, rows = None, []
+        for i, said in zip(found.sort_values(order).index, found.sort_values(order)["text"].fillna("")):
+            a, b = (tokens(last), tokens(said)) if last is not None else (set(), set())
+            both = len(a & b)
+            same = last is not None and (said.strip().lower() == last.strip().lower() if not a or not b else both / min(len(a), len(b)) >= 0.9 or both / len(a | b) >= 0.82)
+            if not same:
+                last = said
+                rows.append(i)
+        return found.loc[rows]
+
+    return some.groupBy(key).applyInPandas(keep, some.schema)

@@ -178,3 +178,33 @@ def test_reordering_and_roles(spark):
     assert {(r.segment_id, r.problem) for r in extraction.same_segments(before, changed).collect()} == {("a", "missing"), ("b", "changed"), ("c", "unknown")}
     assert spark.range(1).select(extraction.canonical_roles(F.array(F.lit("Main"), F.lit("primary"), F.lit("ref"))).alias("v")).first().v == ["primary", "reference"]
     assert [r.forbidden_key for r in extraction.forbidden_keys(spark.createDataFrame([(1, '{"edges":1,"a":2}')], "id int, j string"), "id", "j", ("edges", "b")).collect()] == ["edges"]
+
+
+def test_contexts_and_repeats(spark):
+    schema = "k int, w int, cue int, start_seconds double, text string"
+    rows = spark.createDataFrame([(1, 1, 0, 61.0, " a  b "), (1, 1, 1, None, "c"), (1, 2, 0, 5.0, "x" * 50), (1, 2, 1, 6.0, " ")], schema)
+    got = {r.w: r.context for r in transcripts.context(rows, ["k", "w"], 30).collect()}
+    assert got == {1: "[01:01] a b\nc", 2: "[00:05] " + "x" * 22 + transcripts.TRUNCATED}
+    frames = spark.createDataFrame([(1, i, t) for i, t in enumerate(["one two three four five six seven eight nine ten", "One two three four five six seven eight nine", "else", "else", "", None, "one"])], "k int, o int, text string")
+    assert sorted(r.o for r in transcripts.without_repeats(frames, "k", "o").collect()) == [0, 2, 4, 6]
+
+
+def test_guardrails(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    cited = t([("k1", "a"), ("k1", "b"), ("k2", "c")], "concept_id string, candidate_id string")
+    lessons = t([("a", "l1"), ("b", "l2"), ("c", "l3")], "candidate_id string, lesson_id string")
+    ids = t([("a",), ("b",), ("c",), ("d",)], "candidate_id string")
+    got = audit.subject_guardrails(ids, cited, ids, t([("k1", "l1"), ("k2", "l3")], "concept_id string, lesson_id string"), lessons)
+    assert {(r.flag, r.candidate_id) for r in got.collect()} == {("assignment_incomplete", "d"), ("provenance_loss", "a"), ("provenance_loss", "b")}
+
+
+def test_small_rules(spark):
+    row = spark.range(1).select(
+        media.preferred_languages(F.lit("Aprender Python"))[0].alias("a"), media.retry_after(F.lit("3.5"), F.current_timestamp()).alias("b"),
+        media.retry_after(F.lit("Wed, 21 Oct 2015 07:28:10 GMT"), F.to_timestamp(F.lit("2015-10-21 07:28:00"))).alias("c"), media.is_transient(F.lit("X HTTP 429: wait")).alias("d"),
+    ).first()
+    assert tuple(row) == ("pt", 3.5, 10.0, True)
+    from corpusloom.functions import urls
+
+    row = spark.range(1).select(urls.page_data_url(F.lit("https://s.io/usage/x/")).alias("a"), urls.first_url(F.lit("see (https://a.b/c?d=1).")).alias("b")).first()
+    assert tuple(row) == ("https://s.io/page-data/usage/x/page-data.json", "https://a.b/c?d=1")
