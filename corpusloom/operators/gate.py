@@ -97,14 +97,14 @@ def corpus_index(rows: DataFrame, gates: DataFrame, texts: DataFrame) -> DataFra
 
     A row without a gate is missing its acquisition; one without text is not available.
     """
-    one = rows.join(gates, "id", "left").join(texts, "id", "left")
+    # Texts are measured where they are read; what moves to the rows is their figures.
+    figures = texts.where("text is not null").select("id", word_count("text").alias("word_count"), F.octet_length("text").cast("bigint").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    one = rows.join(gates, "id", "left").join(figures, "id", "left")
     status = F.coalesce("status", F.lit("missing_acquisition_artifact"))
     failures = F.coalesce("failures", F.array(F.lit("missing_acquisition_artifact")))
-    has_text = F.col("text").isNotNull()
     return one.select(
         "id", "type", "title", status.alias("status"), failures.alias("failures"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
-        (~is_blocked(status, failures, has_text)).alias("available"), F.when(has_text, word_count("text")).alias("word_count"),
-        F.when(has_text, F.octet_length("text").cast("bigint")).alias("bytes"), F.when(has_text, F.sha2(F.col("text").cast("binary"), 256)).alias("sha256"),
+        (~is_blocked(status, failures, F.col("sha256").isNotNull())).alias("available"), "word_count", "bytes", "sha256",
     )
 
 
