@@ -7,7 +7,9 @@ document labels through the noisy-or, so they settle on the sentences that expla
 
 from __future__ import annotations
 
+import ctypes
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,29 +116,33 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray | None = None,
     for t in texts:
         own = [{vocabulary.setdefault(w, len(vocabulary)) for w in words(t[a:b])} for a, b in sentences(t)]
         split.append([np.fromiter(x, dtype=np.int32, count=len(x)) for x in own])
-    features: dict[str, int] = {}
-    of_word = [np.array([features.setdefault(f, len(features)) for f in traits(w)], dtype=np.int32) for w in vocabulary]
-    names = list(features)
-    both, either = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
+    # Features are told apart by a 32-bit hash, so that the driver holds numbers and no string for each stem.
+    lengths = np.fromiter((len(traits(w)) for w in vocabulary), dtype=np.int64, count=len(vocabulary))
+    hashes = np.fromiter((zlib.crc32(f.encode()) for w in vocabulary for f in traits(w)), dtype=np.uint32, count=int(lengths.sum()))
+    values, dense = np.unique(hashes, return_inverse=True)
+    ends = np.cumsum(lengths)
+    of = lambda w: dense[ends[w] - lengths[w] : ends[w]]
+    both, either = np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=np.int64)
     for own, y in zip(split, positive.tolist()):
         if own:
-            seen = np.unique(np.concatenate([of_word[w] for w in np.unique(np.concatenate(own)).tolist()]))
+            seen = np.unique(np.concatenate([of(w) for w in np.unique(np.concatenate(own)).tolist()]))
             either[seen] += 1
             both[seen] += y
     n1 = int(positive.sum())
     det = (both * (n - n1 - (either - both)) - (n1 - both) * (either - both)).astype(float)
     chi2 = n * det * det / np.maximum(either * (n - either) * float(n1) * (n - n1), 1e-9)
     good = np.flatnonzero((either >= 3) & (either < n) & (chi2 >= CHI2))
-    good = sorted(good.tolist(), key=lambda i: (-chi2[i], names[i]))[:MAX_FEATURES]
-    number = np.full(len(names), -1)
+    good = sorted(good.tolist(), key=lambda i: (-chi2[i], int(values[i])))[:MAX_FEATURES]
+    number = np.full(len(values), -1)
     number[good] = np.arange(len(good))
-    of_word = [number[x][number[x] >= 0] for x in of_word]
+    kept = number[dense]
     # Sentences without a known word behave alike: they are counted, not listed.
     sent_doc, pair_sent, pair_word = [], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     flat = np.zeros(n)
     for d, own in enumerate(split):
         for s in own:
-            known = np.concatenate([of_word[w] for w in s.tolist()]) if len(s) else s
+            known = np.concatenate([kept[ends[w] - lengths[w] : ends[w]] for w in s.tolist()]) if len(s) else s
+            known = known[known >= 0]
             if not len(known):
                 flat[d] += 1
                 continue
@@ -144,7 +150,7 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray | None = None,
             pair_word.append(known)
             sent_doc.append(d)
     sent_doc, pair_sent, pair_word = np.array(sent_doc, dtype=np.int64), np.concatenate(pair_sent), np.concatenate(pair_word)
-    number = {names[i]: k for k, i in enumerate(good)}
+    number = {f: int(kept[ends[i] - lengths[i] + j]) for i, w in enumerate(vocabulary) for j, f in enumerate(traits(w)) if kept[ends[i] - lengths[i] + j] >= 0}
     theta = np.zeros(len(number) + 1)
     theta[-1] = np.log(max(1e-4, weight[positive].sum()) / max(1.0, np.mean([len(x) for x in split]))) - 1
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -162,6 +168,15 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray | None = None,
     return Model({f: float(theta[i]) for f, i in number.items() if abs(theta[i]) >= LEAST_WEIGHT}, float(theta[-1]))
 
 
+def give_back() -> None:
+    """Return what training has freed to the system, where the C library can: a driver lives long after it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
     """Learn from labelled rows outside the held-out fold: about so many toxic and clean ones, by a hash of doc_id.
 
@@ -178,7 +193,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
     sample = sample.limit(2 * (toxic + clean))  # so it is small enough to be sent to all tasks: texts are not moved
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").limit(2 * (toxic + clean)).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     labels_of = np.array(rows.column("toxic").to_pylist(), dtype=bool)
-    return fit(rows.column("text").to_pylist(), labels_of.astype(np.int64), np.where(labels_of, 1 / share[True], 1 / share[False]))
+    texts_of = rows.column("text").to_pylist()
+    del rows
+    model = fit(texts_of, labels_of.astype(np.int64), np.where(labels_of, 1 / share[True], 1 / share[False]))
+    del texts_of
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
