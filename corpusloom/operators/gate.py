@@ -31,8 +31,12 @@ BLOCKING_FAILURES = (
 )
 
 
-def has_phrase(c: Column, phrases: tuple[str, ...]) -> Column:
-    return c.rlike(r"(?i)\b(" + "|".join(phrases) + r")\b")
+def has_phrase(low: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a lower-cased text has one of the phrases between word boundaries; plain searches rule most texts out."""
+    some = F.lit(False)
+    for p in phrases:
+        some = some | low.contains(p)
+    return some & low.rlike(r"\b(" + "|".join(phrases) + r")\b")
 
 
 def _set(*flags: tuple[Column, Column | str]) -> Column:
@@ -41,23 +45,29 @@ def _set(*flags: tuple[Column, Column | str]) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*named))))
 
 
-def suspicious_flags(content: Column, requested_title: Column, found_title: Column, strategy: Column, min_words: int = MIN_WORDS) -> Column:
-    """Sorted flags of a content; walls and error pages are sought in titles and the first part of it."""
-    body = F.regexp_replace(text(content), r"^\s+|\s+$", "")
-    words = word_count(body)
-    probe = F.concat_ws("\n", text(found_title), text(requested_title), F.left(body, F.lit(PROBE_CHARS)))
-    return _set(
+def with_flags(rows: DataFrame, content: str, requested_title: Column, found_title: Column, strategy: Column, min_words: int = MIN_WORDS) -> DataFrame:
+    """rows with flags: sorted flags of a content; walls and error pages are sought in titles and the first part of it.
+
+    What several flags look at (the trimmed text, its lower case, its words, the probe) is a column of its own below
+    them, so it is made once a row.
+    """
+    r = rows.withColumns({"_body": F.regexp_replace(text(content), r"^\s+|\s+$", ""), "_titles": F.concat_ws("\n", text(found_title), text(requested_title)), "_strategy": text(strategy)})
+    r = r.withColumns({"_words": word_count("_body"), "_low": F.lower("_body"), "_images": markdown_images("_body")})
+    r = r.withColumn("_probe", F.concat_ws("\n", F.lower("_titles"), F.left("_low", F.lit(PROBE_CHARS))))
+    body, words, low, probe = F.col("_body"), F.col("_words"), F.col("_low"), F.col("_probe")
+    flags = _set(
         (body == "", "empty_content"),
         ((body != "") & (words < min_words), "short_content"),
         (words > MAX_WORDS, "very_long_content"),
-        (markdown_images(body) > MAX_IMAGES, "many_images"),
+        (F.col("_images") > MAX_IMAGES, "many_images"),
         (has_phrase(probe, ERROR_PHRASES), "looks_like_error_page"),
         (has_phrase(probe, PAYWALL_PHRASES), "possible_paywall"),
-        (has_phrase(body, BOILERPLATE_PHRASES), "possible_boilerplate"),
+        (has_phrase(low, BOILERPLATE_PHRASES), "possible_boilerplate"),
         (has_phrase(probe, BOT_WALL_PHRASES), "possible_bot_wall"),
-        (has_phrase(probe, AUTH_WALL_PHRASES) & (words < AUTH_WORDS), "possible_auth_wall"),
-        (text(strategy) == "interactive_shell", "interactive_shell_review"),
+        ((words < AUTH_WORDS) & has_phrase(probe, AUTH_WALL_PHRASES), "possible_auth_wall"),
+        (F.col("_strategy") == "interactive_shell", "interactive_shell_review"),
     )
+    return r.withColumn("flags", flags).drop("_body", "_titles", "_strategy", "_words", "_low", "_images", "_probe")
 
 
 def status_of(failures: Column, warnings: Column) -> Column:
@@ -66,8 +76,9 @@ def status_of(failures: Column, warnings: Column) -> Column:
 
 def gate(pages: DataFrame) -> DataFrame:
     """pages (content, title, status_code, content_type, strategy, screenshot_blank) with failures, warnings and status."""
-    title, content = text("title"), text("content")
-    probe, words = F.concat_ws("\n", title, F.left(content, F.lit(PROBE_CHARS))), word_count("content")
+    staged = pages.withColumns({"word_count": word_count("content"), "_title": F.lower(text("title")), "_head": F.lower(F.left(text("content"), F.lit(PROBE_CHARS)))})
+    staged = staged.withColumn("_probe", F.concat_ws("\n", "_title", "_head"))
+    title, probe, words = F.col("_title"), F.col("_probe"), F.col("word_count")
     kind = F.lower(text("content_type"))
     pdf = text("strategy") == "pdf"
     failures = _set(
@@ -84,7 +95,7 @@ def gate(pages: DataFrame) -> DataFrame:
         (text("strategy") == "interactive_shell", "interactive_shell_requires_manual_review"),
         ((title != "") & has_phrase(title, ERROR_PHRASES), "title_error_review"),
     )
-    gated = pages.withColumns({"failures": failures, "warnings": warnings, "word_count": words})
+    gated = staged.withColumns({"failures": failures, "warnings": warnings}).drop("_title", "_head", "_probe")
     return gated.withColumn("status", status_of(F.col("failures"), F.col("warnings")))
 
 

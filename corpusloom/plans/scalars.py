@@ -32,7 +32,7 @@ f as (select *, list_sort(list_filter([
 
 def _flagged(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
-    return t.documents.select("doc_id", "lang", "source", gate.suspicious_flags(F.col("text"), F.col("source"), none, none).alias("flags"))
+    return gate.with_flags(t.documents.select("doc_id", "lang", "source", "text"), "text", F.col("source"), none, none).select("doc_id", "lang", "source", "flags")
 
 
 @query(_FLAGS + "select lang, case when len(flags) > 0 then 'passed_with_warnings' else 'passed' end as status, count(*) as n_docs, cast(count(*) filter (where list_contains(flags, 'short_content')) as bigint) as n_short from f group by 1, 2")
