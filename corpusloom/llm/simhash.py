@@ -276,6 +276,14 @@ def near_duplicates(docs: DataFrame, max_distance: int = 2, segments: int = 3, s
 # ---- one document of each group of near copies -----------------------------------------------------------------
 
 _DIGEST = "_simhash_digest"
+#: The second fingerprint: bands of smallest hashes of the shingles. Texts with a Jaccard of j share a band with
+#: probability 1 - (1 - j ** BAND_ROWS) ** BANDS: all but 3 of a million pairs at 0.8.
+BANDS, BAND_ROWS = 24, 4
+#: Members of one band that are compared with each other in one unit of work; a larger one is dealt out in pairs of slices.
+PAIR_SLICE = 1024
+
+_MIX = np.fromiter((xxhash.xxh64_intdigest(b"band %d" % i, SEED) for i in range(2 * BANDS * BAND_ROWS)), dtype=np.uint64).reshape(2, -1, 1)
+_XOR, _TIMES = _MIX[0], _MIX[1] | np.uint64(1)
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -287,37 +295,95 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((h(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))), dtype=np.uint64)).view(np.int64)
 
 
+def bands(hashes: np.ndarray) -> list[int]:
+    """The second fingerprint of a set of shingle hashes: a signed number for each band, alike where the set is empty."""
+    low = np.full(BANDS * BAND_ROWS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(low, ((hashes[at : at + 4096].view(np.uint64) ^ _XOR) * _TIMES).min(axis=1), out=low)
+    return [_signed(xxhash.xxh64_intdigest(low[i * BAND_ROWS : (i + 1) * BAND_ROWS].tobytes(), i)) for i in range(BANDS)]
+
+
+def _signatures(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, digest, fp, size (of the shingle set) and bands, a row for each row of docs (doc_id, text, digest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, found = np.empty(batch.num_rows, dtype=np.uint64), [], []
+            for i, t in enumerate(batch.column("_text")):
+                text = t.as_py() or b""
+                fps[i] = fingerprint(text, shingle)
+                hashes = shingle_hashes(text, words)
+                sizes.append(len(hashes))
+                found.append(bands(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(_DIGEST), pa.array(fps.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", _DIGEST, "fp", "size", "bands"])
+
+    chosen = docs.select("doc_id", _DIGEST, F.col("text").cast("binary").alias("_text"))
+    return chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_DIGEST} string, fp bigint, size bigint, bands array<bigint>")
+
+
 def _shingles(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("no"), pa.array(found, pa.list_(pa.int64()))], names=["no", "shingles"])
+
+    return texts.mapInArrow(run, "no bigint, shingles array<bigint>")
 
-    return texts.mapInArrow(run, "node string, shingles array<bigint>")
 
+def _apart(members: DataFrame, roots: DataFrame, similarity: float, slice_size: int) -> DataFrame:
+    """Pairs (a, b) of members (bucket, no, size, head) of one bucket that no link connects yet; heads have been compared.
 
-def verified_classes(docs: DataFrame, max_distance: int, segments: int, shingle: int, words: int, similarity: float) -> DataFrame:
+    Pairs whose sizes alone keep the Jaccard below similarity are left out.
+    """
+    own = members.where("no <> head").join(roots.select(F.col("node").alias("no"), "root").hint("merge"), "no", "left").select("bucket", "no", "size", F.coalesce("root", "no").alias("root"))
+    split = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    own = own.join(split.select("bucket", F.ceil(F.col("n") / slice_size).cast("int").alias("k")).hint("merge"), "bucket").withColumn("s", F.pmod(F.xxhash64("no"), "k").cast("int"))
+    units = own.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", "no", "size", "root", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"))
+    units = materialise(units, "simhash-apart")
+    x = units.where("s = i").select("bucket", "i", "j", F.col("no").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
+    y = units.where("s = j").select("bucket", "i", "j", F.col("no").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+    pairs = x.join(y.hint("merge"), ["bucket", "i", "j"]).where("a_root <> b_root and (i < j or a < b)").where(F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified_classes(docs: DataFrame, max_distance: int, segments: int, shingle: int, words: int, similarity: float, slice_size: int = PAIR_SLICE) -> DataFrame:
     """(doc_id, digest of the text, component_id) of docs (doc_id, text, digest): near copies, checked exactly.
 
-    Links come from the index; one counts if the shingle sets of its texts have a Jaccard of at least similarity.
-    Equal texts are one node; texts with one fingerprint are linked to the first of them. Texts without words are alike.
+    A link counts if the shingle sets of its texts have a Jaccard of at least similarity. Equal texts are one node; texts
+    without words are alike. First each text is compared with the head of its fingerprint, heads with those that the
+    index links, and each member of a band with the band's head. Then members of a band that these links leave
+    apart are all compared with each other, so no pair that shares a band is passed over because another one failed.
     """
-    fps = materialise(fingerprints(docs, shingle, keys=("doc_id", _DIGEST)), "simhash-fp")
-    nodes = materialise(fps.groupBy("fp", F.col(_DIGEST).alias("node")).agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    heads = nodes.groupBy("fp").agg(F.min(F.struct("first", "node"))["node"].alias("head"))
-    same = nodes.join(heads.hint("merge"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    fps = materialise(_signatures(docs, shingle, words), "simhash-fp")
+    nodes = fps.groupBy("fp", F.col(_DIGEST).alias("node")).agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes.withColumn("no", F.monotonically_increasing_id()), "simhash-nodes")
+    heads = nodes.groupBy("fp").agg(F.min("no").alias("head"))
+    same = nodes.select("fp", "no").join(heads.hint("merge"), "fp").where("no <> head").select(F.col("head").alias("a"), F.col("no").alias("b"))
     near = near_links(heads.select("fp"), max_distance, segments)
     of = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
     across = near.join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-    links = materialise(same.unionByName(across), "simhash-candidates")
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id"))
-    texts = docs.join(ends.hint("merge"), (docs["doc_id"] == ends["doc_id"]) & (docs[_DIGEST] == ends["node"])).select("node", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    sets = materialise(_shingles(texts, words).dropDuplicates(["node"]), "simhash-shingles")
-    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
+    rows = nodes.select("no", "size", F.explode("bands").alias("bucket"))
+    buckets = rows.groupBy("bucket").agg(F.min("no").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
+    members = materialise(rows.join(buckets.hint("merge"), "bucket"), "simhash-members")
+    shared = members.where("no <> head").select(F.col("head").alias("a"), F.col("no").alias("b"))
+    links = same.unionByName(across).unionByName(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = materialise(links, "simhash-candidates")
+    ends = links.select(F.col("a").alias("no")).union(links.select(F.col("b").alias("no"))).distinct().join(nodes, "no").select("no", "node", F.col("first").alias("doc_id"))
+    texts = docs.join(ends.hint("merge"), (docs["doc_id"] == ends["doc_id"]) & (docs[_DIGEST] == ends["node"])).select("no", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    sets = materialise(_shingles(texts, words).dropDuplicates(["no"]), "simhash-shingles")
+    side = lambda end: sets.select(F.col("no").alias(end), F.col("shingles").alias(f"{end}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    alike = links.join(side("a"), "a").join(side("b"), "b").where((both >= similarity * (F.size("a_set") + F.size("b_set") - both)))
-    roots = connected_components(alike.select("a", "b"))
-    classes = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        checked = pairs.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * (F.size("a_set") + F.size("b_set") - both))
+        return materialise(checked.select("a", "b"), "simhash-alike")
+
+    found = alike(links)
+    roots = connected_components(found)
+    more = alike(_apart(members, roots, similarity, slice_size))
+    if not more.isEmpty():
+        roots = connected_components(found.union(more))
+    classes = nodes.join(roots, nodes["no"] == roots["node"], "left").select(nodes["node"], "first", F.coalesce("root", "no").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     by_node = classes.join(named.hint("merge"), "root").select(F.col("node").alias(_DIGEST), "component_id")
     return fps.select("doc_id", _DIGEST).join(by_node.hint("merge"), _DIGEST)
@@ -326,7 +392,8 @@ def verified_classes(docs: DataFrame, max_distance: int, segments: int, shingle:
 def keep_one(docs: DataFrame, max_distance: int = 6, segments: int = 8, shingle: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each group of near copies, with all its columns: the one with the smallest doc_id.
 
-    Fingerprints of shingles of two words propose links; shingles of five words confirm them. Rows that repeat both id
+    Fingerprints of shingles of two words, and bands of the smallest hashes of shingles of five words, propose links;
+    shingles of five words confirm them. Rows that repeat both id
     and text count once. Rows with a null doc_id all stay, as nothing tells them apart.
     """
     marked = docs.withColumn(_DIGEST, F.sha1(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))

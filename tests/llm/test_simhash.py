@@ -98,6 +98,73 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 5, 6, 8, None], key=str)
 
 
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"other{rng.getrandbits(40)}"
+    return out
+
+
+def own_words(rng, n):
+    return [f"w{rng.getrandbits(40)}" for _ in range(n)]
+
+
+def test_copies_behind_long_filler_are_all_compared(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):  # each has the fingerprint of its filler
+        tail = own_words(rng, 60)
+        texts += [tail, changed(rng, tail, 1), changed(rng, tail, 2)]
+    rng.shuffle(texts)
+    texts = ["spam " * 200 + " ".join(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= 0.8]
+    want = {r for r in components(range(len(texts)), pairs).values()}
+    assert len({simhash.fingerprint(t, 2) for t in texts}) == 1 and len(want) <= len(texts) - 12
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, list(enumerate(texts)))).collect()} == want
+
+
+def test_members_of_a_band_left_apart_by_its_head_are_compared(spark):
+    rng = random.Random(12)
+    stem = own_words(rng, 200)
+    texts = []
+    for _ in range(15):  # ends of their own keep the groups apart (Jaccard about 0.66), yet most share bands
+        group = stem + own_words(rng, 50)
+        texts += [" ".join(changed(rng, group, 1)) for _ in range(3)]
+    rng.shuffle(texts)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= 0.8]
+    want = {r for r in components(range(len(texts)), pairs).values()}
+    assert len(want) == 15
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, list(enumerate(texts)))).collect()} == want
+    marked = docs(spark, list(enumerate(texts))).selectExpr("doc_id", "text", f"sha1(cast(text as binary)) as {simhash._DIGEST}")
+    sliced = simhash.verified_classes(marked, 6, 8, 2, 5, 0.8, slice_size=4)
+    assert {r.component_id for r in sliced.collect()} == want
+
+
+def test_copies_of_each_similarity_are_found(spark):
+    rng = random.Random(13)
+    texts, groups = [], 0
+    for n in (60, 200, 600):
+        for _ in range(60):
+            base = own_words(rng, n)
+            copy = changed(rng, base, rng.randint(1, max(1, n // 40)))
+            if jaccard(" ".join(base), " ".join(copy)) >= 0.8:
+                texts += [" ".join(base), " ".join(copy)]
+                groups += 1
+    near = [(a, b) for a, b in zip(texts[::2], texts[1::2]) if jaccard(a, b) < 0.9]
+    assert len(near) > 50 and sum((simhash.fingerprint(a, 2) ^ simhash.fingerprint(b, 2)).bit_count() > 6 for a, b in near) > 5
+    assert simhash.keep_one(docs(spark, list(enumerate(texts)))).count() == groups
+
+
 def test_components_of_long_chains_and_hubs(spark):
     from corpusloom.llm.components import connected_components
 
