@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -169,7 +170,8 @@ def disguised(text: str) -> bool:
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base identifiers, all identifiers) of a text, as (kind, start, end) in code points, end exclusive.
 
-    All are the base ones and those of the normalised text that overlap none of them.
+    All are the base ones and those of the normalised text that are not inside a base one of their kind, overlapping
+    or not. One only goes beyond a base one: a plain e-mail with a bracketed dot after it stays as it is.
     """
     text = text or ""
     base = identifiers(text)
@@ -177,10 +179,13 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         return base, base
     plain, starts, ends = normalise(text)
     extra = [(kind, starts[a], ends[b - 1]) for kind, a, b in identifiers(plain)]
-    taken = sorted((a, b) for _, a, b in base)
+    bracketed = {x for x, y in zip(starts, ends) if y - x > 1}
+    own = {kind: [(x, y) for k, x, y in base if k == kind] for kind in KINDS}
     out = list(base)
     for kind, a, b in extra:
-        if not any(a < y and x < b for x, y in taken):
+        at = bisect_right(own[kind], a, key=lambda x: x[0]) - 1
+        x, y = own[kind][at] if at >= 0 else (0, 0)
+        if b > y and not (kind == "email" and x == a and y in bracketed):
             out.append((kind, a, b))
     return base, sorted(out, key=lambda x: (x[1], _RANK[x[0]]))
 
@@ -193,7 +198,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text): counts and digest of base identifiers, spans of all.
 
     Null and empty texts have none. Rows are treated apart, so repeated and null ids come back as they went in;
-    other columns are not read. Each kind's spans don't overlap; spans of different kinds can.
+    other columns are not read. Base spans of a kind don't overlap; those added can overlap them, and other kinds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

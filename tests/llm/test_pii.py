@@ -50,6 +50,14 @@ def test_added_spans_never_touch_base_ones():
     assert base == [("email", 0, 6)] and every == [("email", 0, 6), ("email", 20, 38)]
 
 
+def test_look_alikes_beside_plain_fragments_are_found_whole():
+    for text, fragment in (("jоhn.smith@example.com", "hn.smith@example.com"), ("john@example.cоm", "john@example.c"), ("jоhn@exаmple.co.uk", None)):
+        base, every = pii.find(f"to {text} now")
+        assert [f"to {text} now"[a:b] for _, a, b in base] == ([fragment] if fragment else [])
+        assert ("email", 3, 3 + len(text)) in every and set(base) <= set(every)
+    assert found("é а a@b.co") == [("email", "a@b.co")]
+
+
 def test_long_runs_stay_linear():
     for text in ("1" * 300_000, "a." * 150_000 + "@", "1." * 150_000, "+1" * 100_000, "one " * 60_000, "x at " * 60_000, "@" * 200_000):
         pii.find(text)
