@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,7 +95,7 @@ _DIGIT_WORD = "|".join(SPELLED)
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 #: Three spelled digits or more, with digits or dots among them; brackets around at/dot; an at with 'x dot y' after it.
 _SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|\+) ?)?(?:{_DIGIT_WORD})(?:[ ,-]+(?:{_DIGIT_WORD}|{_DOT}|[0-9]+)){{2,}}(?![^\W_])", re.I)
-_SPELLED_PAIR = re.compile(rf"(?:{_DIGIT_WORD})[ ,-]+(?:{_DIGIT_WORD}|[0-9])")  # of lower-cased texts
+_SPELLED_PAIR = re.compile(rf"(?:{_DIGIT_WORD})[ ,-]+(?:{_DIGIT_WORD}|{_DOT}|[0-9])")  # of lowered texts
 _BRACKETED = re.compile(rf"[\[({{<] ?(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.)) ?[\])}}>] ?", re.I)
 _BARE = re.compile(rf" (?:{_AT}) ", re.I)
 _BARE_DOMAIN = re.compile(rf"[\w-]++(?:(?: (?:{_DOT}) |\.)[\w-]++)+", re.I)
@@ -103,6 +103,11 @@ _BARE_DOT = re.compile(rf" (?:{_DOT}) ", re.I)
 _TOKEN = re.compile(rf"(?P<plus>(?:plus|\+) ?)|(?P<digit>{_DIGIT_WORD})|(?P<dot>{_DOT})|(?P<sep>[ ,-]+)|(?P<own>[0-9]+)", re.I)
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, with all letters that patterns without case take for i and s as these."""
+    return text.lower() if text.isascii() else text.replace("İ", "i").replace("ı", "i").replace("ſ", "s").lower()
+
+
 def fold(char: str) -> str:
     """The ASCII character that a single one stands for, or itself: full-width forms, other scripts' digits, look-alikes."""
     if "！" <= char <= "～":
@@ -122,9 +127,9 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
         if m.start() and text[m.start() - 1] in _LOCAL and (domain := _BARE_DOMAIN.match(text, m.end())):
             found.append((*m.span(), "@"))
             found += [(*d.span(), ".") for d in _BARE_DOT.finditer(text, *domain.span())]
-    for run in _SPELLED_RUN.finditer(text) if _SPELLED_PAIR.search(text.lower()) else ():
+    for run in _SPELLED_RUN.finditer(text) if _SPELLED_PAIR.search(lowered(text)) else ():
         for t in _TOKEN.finditer(text, *run.span()):
-            found.append((*t.span(), SPELLED[t["digit"].lower()] if t["digit"] else "." if t["dot"] else "+" if t["plus"] else t["own"] or ""))
+            found.append((*t.span(), SPELLED[lowered(t["digit"])] if t["digit"] else "." if t["dot"] else "+" if t["plus"] else t["own"] or ""))
     out: list[tuple[int, int, str]] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or x[0] >= out[-1][1]:
@@ -162,7 +167,7 @@ _OPEN = re.compile(rf"[\[({{<] ?(?:{_AT}|@|{_DOT}|\.) ?[\])}}>]")
 def disguised(text: str) -> bool:
     if not text.isascii() and _FOREIGN.search(text):
         return True
-    low = text.lower()
+    low = lowered(text)
     hinted = any(h in low for h in _HINTS) or _OPEN.search(low) or any(h in low for h in _DIGIT_HINTS) and _SPELLED_PAIR.search(low)
     return bool(hinted) and bool(rewrites(text))
 
@@ -179,13 +184,17 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         return base, base
     plain, starts, ends = normalise(text)
     extra = [(kind, starts[a], ends[b - 1]) for kind, a, b in identifiers(plain)]
-    bracketed = {x for x, y in zip(starts, ends) if y - x > 1}
+
+    def bracketed(at: int) -> bool:
+        i = bisect_left(starts, at)
+        return i < len(starts) and starts[i] == at and ends[i] - at > 1
+
     own = {kind: [(x, y) for k, x, y in base if k == kind] for kind in KINDS}
     out = list(base)
     for kind, a, b in extra:
         at = bisect_right(own[kind], a, key=lambda x: x[0]) - 1
         x, y = own[kind][at] if at >= 0 else (0, 0)
-        if b > y and not (kind == "email" and x == a and y in bracketed):
+        if b > y and not (kind == "email" and x == a and bracketed(y)):
             out.append((kind, a, b))
     return base, sorted(out, key=lambda x: (x[1], _RANK[x[0]]))
 

@@ -58,6 +58,18 @@ def test_look_alikes_beside_plain_fragments_are_found_whole():
     assert found("é а a@b.co") == [("email", "a@b.co")]
 
 
+def test_spelled_runs_pass_the_filter():
+    for text in ("eight dot eight dot eight dot eight", "one dot one dot one dot one", "one dot 1 dot two dot 3"):
+        assert found(f"ask {text} now") == [("ip", text)]
+    rng = random.Random(5)
+    words = [*pii.SPELLED, *pii.DOT_WORDS, "7", "42", "SEVEN", "ſix", "fıve", "FİVE", "Point"]
+    for _ in range(4000):
+        text = "".join(rng.choice(words) + rng.choice((" ", ", ", "-", ".")) for _ in range(rng.randint(2, 7)))
+        if pii._SPELLED_RUN.search(text):
+            assert pii._SPELLED_PAIR.search(pii.lowered(text)) and pii.disguised(text), text
+            pii.find(text)
+
+
 def test_long_runs_stay_linear():
     for text in ("1" * 300_000, "a." * 150_000 + "@", "1." * 150_000, "+1" * 100_000, "one " * 60_000, "x at " * 60_000, "@" * 200_000):
         pii.find(text)
