@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialise, table
 
-#: Rounds of the ordering at most; references that lead further through later calls count as a cycle.
-MAX_ROUNDS = 200
-
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
@@ -58,32 +55,39 @@ def ordered(calls: DataFrame) -> DataFrame:
     """calls (conv_id, call_id, ord, parents, ...) with level and cyclic: sorting by (level, ord) is topological.
 
     A call's level is the most references to later calls on any way back from it, so conversations that only refer
-    back, whatever their length, are settled at level 0 without a round. Rounds go on while a level rises. A call
-    whose level would exceed the number of references to later calls, or MAX_ROUNDS, hangs on a cycle: its level is 0.
-    References to unknown calls count as none.
+    back, whatever their length, are settled at level 0 without a round. A round takes in references to calls whose
+    level is known, and leads those to a call with a single open reference on to where that one leads, so a chain
+    takes logarithmically many rounds. Rounds go on while there is such a reference. A way with more references to
+    later calls than the conversation has, or calls left without one, hang on a cycle: their level is 0. References to
+    unknown calls count as none, and a null ord stands before all others.
     """
     ids = calls.select("conv_id", "call_id", "ord")
     links = calls.select("conv_id", F.col("call_id").alias("child"), F.col("ord").alias("c"), F.explode("parents").alias("call_id")).join(ids, ["conv_id", "call_id"])
-    links = links.select("conv_id", F.col("call_id").alias("parent"), "child", (F.col("ord") >= F.col("c")).cast("int").alias("later"))
-    later = links.where("later = 1").groupBy("conv_id").agg(F.count("*").alias("_most"))
-    later = materialise(later, "chat-later")
-    if later.isEmpty():
+    later = F.coalesce(F.col("ord") >= F.col("c"), F.col("c").isNull()).cast("bigint")
+    links = links.select("conv_id", "child", F.col("call_id").alias("parent"), later.alias("w"))
+    most = links.where("w = 1").groupBy("conv_id").agg(F.count("*").alias("_most"))
+    most = materialise(most, "chat-later")
+    if most.isEmpty():
         return calls.withColumns({"level": F.lit(0), "cyclic": F.lit(False)})
-    links = materialise(links.join(later, "conv_id"), "chat-links")
-    levels = links.select("conv_id", F.col("child").alias("call_id")).distinct().withColumn("level", F.lit(0))
-    for _ in range(MAX_ROUNDS):
-        parents = levels.select("conv_id", F.col("call_id").alias("parent"), F.col("level").alias("above"))
-        up = links.join(parents, ["conv_id", "parent"], "left").groupBy("conv_id", F.col("child").alias("call_id")).agg(F.max(F.least(F.coalesce("above", F.lit(0)) + F.col("later"), F.col("_most") + 1)).alias("up"))
-        new = materialise(levels.join(up, ["conv_id", "call_id"]).select("conv_id", "call_id", F.greatest("level", "up").cast("int").alias("level"), (F.col("up") > F.col("level")).alias("rose")), "chat-levels")
-        levels = new.select("conv_id", "call_id", "level")
-        if new.where("rose").isEmpty():
-            rising = None
+    # A row without a parent holds the level that the settled references of child give; one beyond _most is on a cycle.
+    own = ids.select("conv_id", F.col("call_id").alias("child"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("w"))
+    ways = links.unionByName(own).groupBy("conv_id", "child", "parent").agg(F.max("w").alias("w")).join(most, "conv_id")
+    while True:
+        ways = materialise(ways, "chat-ways")
+        settled = F.max(F.when(F.col("parent").isNull(), F.col("w")))
+        calls_ = ways.groupBy("conv_id", F.col("child").alias("call_id")).agg(settled.alias("level"), F.count("parent").alias("open"), F.max("parent").alias("to"), F.max(F.when(F.col("parent").isNotNull(), F.col("w"))).alias("by"), F.first("_most").alias("_most"))
+        calls_ = materialise(calls_.withColumn("cyclic", F.col("level") > F.col("_most")).withColumn("open", F.when(F.col("cyclic"), 0).otherwise(F.col("open"))), "chat-calls")
+        above = calls_.select("conv_id", F.col("call_id").alias("parent"), "level", "open", "to", "by")
+        led = ways.join(calls_.where("open > 0").select("conv_id", F.col("call_id").alias("child")), ["conv_id", "child"]).where("parent is not null").join(above, ["conv_id", "parent"])
+        if led.where("open <= 1").isEmpty():
             break
-        rising = new
-    levels = levels.join(later, "conv_id", "left").withColumn("cyclic", F.col("level") > F.col("_most"))
-    if rising is not None:
-        levels = levels.join(rising.where("rose").select("conv_id", "call_id", F.lit(True).alias("_r")), ["conv_id", "call_id"], "left").withColumn("cyclic", F.col("cyclic") | F.col("_r").isNotNull())
-    found = levels.select("conv_id", "call_id", F.when(F.col("cyclic"), 0).otherwise(F.col("level")).alias("level"), "cyclic")
+        way = lambda to, w: F.struct(F.when(F.col("_most") >= w, to).alias("parent"), F.least(w, F.col("_most") + 1).alias("w"))
+        w, none = F.col("w"), F.lit(None).cast("string")
+        on = F.when(F.col("open") == 0, F.array(way(none, w + F.col("level")))).when(F.col("open") == 1, F.array(way(none, w + F.col("level")), way(F.col("to"), w + F.col("by")))).otherwise(F.array(way(F.col("parent"), w)))
+        led = led.select("conv_id", "child", "_most", F.explode(on).alias("way")).select("conv_id", "child", "way.parent", "way.w", "_most")
+        ways = led.unionByName(ways.where("parent is null")).groupBy("conv_id", "child", "parent").agg(F.max("w").alias("w"), F.first("_most").alias("_most"))
+    found = calls_.select("conv_id", "call_id", "level", (F.col("cyclic") | (F.col("open") > 0)).alias("cyclic"))
+    found = found.select("conv_id", "call_id", F.when(F.col("cyclic"), 0).otherwise(F.col("level")).cast("int").alias("level"), "cyclic")
     return calls.join(found, ["conv_id", "call_id"], "left").withColumns({"level": F.coalesce("level", F.lit(0)), "cyclic": F.coalesce("cyclic", F.lit(False))})
 
 

@@ -44,6 +44,34 @@ def test_cycles_are_told(spark):
     assert got[0][1] == got[1][1] == "cyclic" and got[2] == (1, "pending") and got[3] == (0, "pending")
 
 
+def test_long_chains_of_later_calls_are_settled(spark):
+    n = 300
+    got = levels(spark, [(i, i + 1) for i in range(n - 1)], n)
+    assert got == {i: (n - 1 - i, "pending") for i in range(n)}
+
+
+def test_levels_and_cycles_of_any_graph(spark):
+    import random
+
+    rng = random.Random(4)
+    for cycles in (False, True):
+        n, edges = 45, [(0, 1), (1, 2), (2, 0)] if cycles else []
+        for c in range(3, n):
+            edges += [(c, p) for p in rng.sample(range(c + 1, n), min(n - c - 1, rng.choice((0, 1, 1, 2))))]
+        if cycles:
+            edges += [(10, 5), (44, 3), (7, 0)]
+        else:  # places that don't follow the references
+            place = rng.sample(range(n), n)
+            edges = [(place[c], place[p]) for c, p in edges]
+        most = sum(p >= c for c, p in edges)
+        level = dict.fromkeys(range(n), 0)
+        for _ in range(n * (most + 2)):
+            for c, p in edges:
+                level[c] = max(level[c], min(level[p] + (p >= c), most + 1))
+        want = {i: (0, "cyclic") if x > most else (x, "pending") for i, x in level.items()}
+        assert levels(spark, edges, n) == want and cycles == ((0, "cyclic") in want.values())
+
+
 def test_long_conversations_need_no_rounds(spark):
     got = levels(spark, [(i, i - 1) for i in range(1, 500)], 500)
     assert {x for x, _ in got.values()} == {0}
