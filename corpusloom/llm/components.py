@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise
+from corpusloom.llm.common import materialise, release
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Of undirected links (a, b): one row (node, root) for each node, root the smallest node reachable.
 
-    Each round contracts the graph: every root hooks onto the smallest root next to it, chains of hooks are
-    halved by pointer jumping until they are stars, and links inside a star go. Roots at least halve each round,
-    so the number of rounds is logarithmic whatever the shape. All state stays in tables of the shared folder;
-    minima are pre-aggregated before their shuffle, so a hub with a third of all links costs one row a task.
+    Each round contracts the graph: every node hooks onto the smallest node next to it if that is smaller, chains of
+    hooks are halved by pointer jumping until they are stars, and links inside a star go. A node that neither hooks nor
+    gains another in a round has a smaller neighbour in the next, so two rounds at least halve the nodes that still
+    have links. All state stays in tables of the shared folder, those of past rounds are deleted; minima are
+    pre-aggregated before their shuffle, so a hub with a third of all links costs one row a task.
     Links with a null end, and self-links, count as none. Empty input gives an empty table.
     """
     edges = (
@@ -32,21 +33,30 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
             up = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
             jumped = hooks.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), (F.coalesce("above", "parent") != F.col("parent")).alias("moved"))
             jumped = materialise(jumped, "cc-jump")
+            release(hooks)
+            settled = jumped.where("moved").isEmpty()
             hooks = jumped.select("node", "parent")
-            if jumped.where("moved").isEmpty():
+            hooks._written_at = jumped._written_at
+            if settled:
                 break
         parents.append(hooks)
         to = lambda end: hooks.select(F.col("node").alias(end), F.col("parent").alias(f"{end}_root"))
-        edges = (
+        rest = (
             edges.join(to("u"), "u").join(to("v"), "v").where("u_root <> v_root")
             .select(F.least("u_root", "v_root").alias("u"), F.greatest("u_root", "v_root").alias("v")).distinct()
         )
-        edges = materialise(edges, "cc-links")
+        rest = materialise(rest, "cc-links")
+        release(edges)
+        edges = rest
         if edges.isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
+    if len(parents) == 1:
+        return parents[0].select("node", F.col("parent").alias("root"))
     found = parents[0].select("node", F.col("parent").alias("root"))
     for later in parents[1:]:
         found = found.join(later.select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
+    found = materialise(found, "cc-roots")
+    release(*parents)
     return found

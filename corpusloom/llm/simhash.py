@@ -14,6 +14,7 @@ needs to be sought only below equal top nodes of some orientation, so nothing is
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, table
+from corpusloom.llm.common import free_name, materialise, release, table
 from corpusloom.llm.components import connected_components
 
 BITS = 64
@@ -189,14 +190,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_links(codes: DataFrame, max_distance: int = 2, segments: int = 3, slice_size: int = SLICE) -> DataFrame:
+def segments_for(n: int, max_distance: int) -> int:
+    """How many segments cost the least for n fingerprints: each orientation holds all of them once, and compares those
+    of equal top patterns, of which a tree looks at one in FAN_OUT or so."""
+    runs = range(max_distance + 1, min(BITS, 4 * (max_distance + 1)) + 1)
+    cost = lambda s: math.comb(s, max_distance) * (1 + n / 2.0 ** (BITS * (s - max_distance) // s) / FAN_OUT)
+    return min(runs, key=cost)
+
+
+def near_links(codes: DataFrame, max_distance: int = 2, segments: int | None = 3, slice_size: int = SLICE) -> DataFrame:
     """Links (a, b) between the distinct values of codes.fp that connect all at most max_distance apart.
 
+    segments: None picks the number by the count of fingerprints, so that buckets stay small however many there are.
+
     Every bucket (orientation, top pattern) is indexed by itself. A bucket of more than slice_size fingerprints is
     parted by hash into slices; each pair of slices is a task's work of its own, so that one bucket with a third of
     all fingerprints spreads over the cluster, whole. Within a unit of work only a spanning forest is emitted.
     """
-    masks = segment_masks(max_distance, segments)
+    masks = segment_masks(max_distance, segments or segments_for(codes.count(), max_distance))
     spread = codes.select("fp", F.posexplode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("o", "mask"))
     spread = spread.select("fp", F.col("o").cast("int").alias("o"), F.col("fp").bitwiseAND(F.col("mask")).alias("top"))
     sizes = spread.groupBy("o", "top").agg(F.count("*").alias("n")).where("n > 1")
@@ -254,7 +265,7 @@ def near_links(codes: DataFrame, max_distance: int = 2, segments: int = 3, slice
     return units.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = 2, segments: int = 3, shingle: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_distance: int = 2, segments: int | None = None, shingle: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable).
 
     Equal fingerprints are one node of the graph, so exact copies, however many, cost one row in the join.
@@ -264,7 +275,7 @@ def near_duplicates(docs: DataFrame, max_distance: int = 2, segments: int = 3, s
     """
     key = keys[0]
     fps = materialise(fingerprints(docs, shingle, keys=keys), "simhash-fp")
-    nodes = fps.groupBy("fp").agg(F.min(key).alias("first"))
+    nodes = materialise(fps.groupBy("fp").agg(F.min(key).alias("first")), "simhash-nodes")
     links = near_links(nodes.select("fp"), max_distance, segments)
     roots = connected_components(links)
     classes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -279,8 +290,10 @@ _DIGEST = "_simhash_digest"
 #: The second fingerprint: bands of smallest hashes of the shingles. Texts with a Jaccard of j share a band with
 #: probability 1 - (1 - j ** BAND_ROWS) ** BANDS: all but 3 of a million pairs at 0.8.
 BANDS, BAND_ROWS = 24, 4
-#: Members of one band that are compared with each other in one unit of work; a larger one is dealt out in pairs of slices.
-PAIR_SLICE = 1024
+#: Members of one band, and shingles of these, that meet in one unit of work; a larger band is dealt out in pairs of slices.
+PAIR_SLICE, SLICE_SHINGLES = 4096, 1 << 20
+#: Slices from which a band is parted by a second band that its members share, before it is dealt out.
+MANY_SLICES = 64
 
 _MIX = np.fromiter((xxhash.xxh64_intdigest(b"band %d" % i, SEED) for i in range(2 * BANDS * BAND_ROWS)), dtype=np.uint64).reshape(2, -1, 1)
 _XOR, _TIMES = _MIX[0], _MIX[1] | np.uint64(1)
@@ -330,31 +343,96 @@ def _shingles(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "no bigint, shingles array<bigint>")
 
 
-def _apart(members: DataFrame, roots: DataFrame, similarity: float, slice_size: int) -> DataFrame:
-    """Pairs (a, b) of members (bucket, no, size, head) of one bucket that no link connects yet; heads have been compared.
+def links_within(sets: list[np.ndarray], classes: np.ndarray, similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Places (a, b) of sets with a Jaccard of at least similarity that join different classes, a forest of them.
+
+    Every pair of different classes is compared, as long as they are different: from each set outside the largest class
+    to all others at once, so a group that is one class but for a few costs those few passes. side: only pairs with one
+    set on either side (False, True) count.
+    """
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, dtype=np.int64)
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    starts = np.cumsum(sizes) - sizes
+    full = np.flatnonzero(sizes)
+    marks = np.zeros(len(flat) + 1, dtype=bool)
+    forest = _Forest(len(sets))
+    first: dict[int, int] = {}
+    for i, c in enumerate(classes.tolist()):
+        forest.join(first.setdefault(c, i), i)
+    root = np.array([forest.find(i) for i in range(len(sets))])
+    out = []
+    for x in sorted(range(len(sets)), key=lambda i: -int(sizes[i])):
+        names, counts = np.unique(root, return_counts=True)
+        if len(names) < 2:
+            break
+        if root[x] == names[np.argmax(counts)]:
+            continue
+        own = flat[starts[x] : starts[x] + sizes[x]]
+        both = np.zeros(len(sets), dtype=np.int64)
+        if len(full):
+            marks[own] = True
+            both[full] = np.add.reduceat(marks[flat].astype(np.int32), starts[full])
+            marks[own] = False
+        near = (both >= similarity * (sizes + sizes[x] - both)) & (root != root[x])
+        if side is not None:
+            near &= side != side[x]
+        for y in np.flatnonzero(near).tolist():
+            if forest.join(x, y):
+                out.append((min(x, y), max(x, y)))
+        if near.any():
+            root = np.array([forest.find(i) for i in range(len(sets))])
+    return out
+
+
+def _apart(members: DataFrame, bands_of: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, slice_size: int, many: int) -> DataFrame:
+    """Verified links (a, b) of members (bucket, no, size, head) of one bucket that no link connects yet; heads have been compared.
 
-    Pairs whose sizes alone keep the Jaccard below similarity are left out.
+    A bucket whose members are connected already is left. The others' members meet with their shingle sets in units of
+    work of bounded size: (i, j) compares slice i with slice j, so a bucket with a third of all rows spreads over the
+    cluster, whole. One of many slices is parted by second bands before: members meet where two of their bands are
+    alike, which two texts with a Jaccard of 0.8 miss once in 20,000 times.
     """
     own = members.where("no <> head").join(roots.select(F.col("node").alias("no"), "root").hint("merge"), "no", "left").select("bucket", "no", "size", F.coalesce("root", "no").alias("root"))
-    split = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    own = own.join(split.select("bucket", F.ceil(F.col("n") / slice_size).cast("int").alias("k")).hint("merge"), "bucket").withColumn("s", F.pmod(F.xxhash64("no"), "k").cast("int"))
-    units = own.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", "no", "size", "root", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"))
-    units = materialise(units, "simhash-apart")
-    x = units.where("s = i").select("bucket", "i", "j", F.col("no").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-    y = units.where("s = j").select("bucket", "i", "j", F.col("no").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-    pairs = x.join(y.hint("merge"), ["bucket", "i", "j"]).where("a_root <> b_root and (i < j or a < b)").where(F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verified_classes(docs: DataFrame, max_distance: int, segments: int, shingle: int, words: int, similarity: float, slice_size: int = PAIR_SLICE) -> DataFrame:
-    """(doc_id, digest of the text, component_id) of docs (doc_id, text, digest): near copies, checked exactly.
-
-    A link counts if the shingle sets of its texts have a Jaccard of at least similarity. Equal texts are one node; texts
-    without words are alike. First each text is compared with the head of its fingerprint, heads with those that the
-    index links, and each member of a band with the band's head. Then members of a band that these links leave
-    apart are all compared with each other, so no pair that shares a band is passed over because another one failed.
+
+    def split(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.greatest(F.count("*") / slice_size, F.sum("size") / SLICE_SHINGLES)).cast("int").alias("k"))
+        return rows.join(counts.where("low <> high").select("bucket", "k").hint("merge"), "bucket")
+
+    own = materialise(split(own), "simhash-split")
+    large = own.where(F.col("k") > many)
+    if not large.isEmpty():
+        seconds = large.select("bucket", "no", "size", "root").join(bands_of.select("no", "bands").hint("merge"), "no").select("no", "size", "root", "bucket", F.explode("bands").alias("_o")).where("_o <> bucket")
+        pairs = seconds.select(F.xxhash64(F.least("bucket", "_o"), F.greatest("bucket", "_o")).alias("bucket"), "no", "size", "root").distinct()
+        own = own.where(F.col("k") <= many).unionByName(split(pairs))
+    units = own.withColumn("s", F.pmod(F.xxhash64("no"), "k").cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    units = units.select("bucket", "no", "root", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")).join(sets.hint("merge"), "no")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        no, s = rows.column("no").to_numpy(), rows.column("s").to_numpy()
+        lists = rows.column("shingles").combine_chunks()
+        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        found = links_within([values[a:b] for a, b in itertools.pairwise(offsets)], rows.column("root").to_numpy(), similarity, None if i == j else s == j)
+        ends = no[np.array(found, dtype=np.int64).reshape(-1, 2)]
+        return pa.table({"a": pa.array(ends.min(axis=1, initial=np.iinfo(np.int64).max)), "b": pa.array(ends.max(axis=1, initial=0))})
+
+    return units.groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def verified_classes(docs: DataFrame, max_distance: int, segments: int | None, shingle: int, words: int, similarity: float, slice_size: int = PAIR_SLICE, many: int = MANY_SLICES) -> DataFrame:
+    """(digest of the text, doc_id, component_id, stays) of docs (doc_id, text, digest): near copies, checked exactly.
+
+    A row for each different text: doc_id is the smallest of the rows with that text (null where all are null),
+    component_id that of its group, stays true for one text of each group, the one with the smallest doc_id (then
+    digest). A link counts if the shingle sets of its texts have a Jaccard of at least similarity. Equal texts are one
+    node; texts without words are alike. First each text is compared with the head of its fingerprint, heads with those
+    that the index links, and each member of a band with the band's head. Then members of a band that these links leave
+    apart are compared with each other, so no pair that shares a band is passed over because another one failed.
     """
-    fps = materialise(_signatures(docs, shingle, words), "simhash-fp")
+    return _classes(docs, materialise(_signatures(docs, shingle, words), "simhash-fp"), max_distance, segments, words, similarity, slice_size, many)
+
+
+def _classes(docs: DataFrame, fps: DataFrame, max_distance: int, segments: int | None, words: int, similarity: float, slice_size: int = PAIR_SLICE, many: int = MANY_SLICES) -> DataFrame:
     nodes = fps.groupBy("fp", F.col(_DIGEST).alias("node")).agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = materialise(nodes.withColumn("no", F.monotonically_increasing_id()), "simhash-nodes")
     heads = nodes.groupBy("fp").agg(F.min("no").alias("head"))
@@ -369,42 +447,46 @@ def verified_classes(docs: DataFrame, max_distance: int, segments: int, shingle:
     links = same.unionByName(across).unionByName(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialise(links, "simhash-candidates")
     ends = links.select(F.col("a").alias("no")).union(links.select(F.col("b").alias("no"))).distinct().join(nodes, "no").select("no", "node", F.col("first").alias("doc_id"))
-    texts = docs.join(ends.hint("merge"), (docs["doc_id"] == ends["doc_id"]) & (docs[_DIGEST] == ends["node"])).select("no", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    texts = docs.join(ends.hint("merge"), (docs["doc_id"].eqNullSafe(ends["doc_id"])) & (docs[_DIGEST] == ends["node"])).select("no", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     sets = materialise(_shingles(texts, words).dropDuplicates(["no"]), "simhash-shingles")
     side = lambda end: sets.select(F.col("no").alias(end), F.col("shingles").alias(f"{end}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        checked = pairs.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * (F.size("a_set") + F.size("b_set") - both))
-        return materialise(checked.select("a", "b"), "simhash-alike")
-
-    found = alike(links)
+    checked = links.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * (F.size("a_set") + F.size("b_set") - both))
+    found = materialise(checked.select("a", "b"), "simhash-alike")
     roots = connected_components(found)
-    more = alike(_apart(members, roots, similarity, slice_size))
+    more = materialise(_apart(members, nodes, roots, sets, similarity, slice_size, many), "simhash-alike")
     if not more.isEmpty():
-        roots = connected_components(found.union(more))
-    classes = nodes.join(roots, nodes["no"] == roots["node"], "left").select(nodes["node"], "first", F.coalesce("root", "no").alias("root"))
-    named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_node = classes.join(named.hint("merge"), "root").select(F.col("node").alias(_DIGEST), "component_id")
-    return fps.select("doc_id", _DIGEST).join(by_node.hint("merge"), _DIGEST)
+        release(roots)
+        roots = connected_components(found.unionByName(more))
+    release(members, links, sets)
+    classes = nodes.join(roots, nodes["no"] == roots["node"], "left").select(nodes["node"].alias(_DIGEST), F.col("first").alias("doc_id"), F.coalesce("root", "no").alias("_root"))
+    best = classes.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _DIGEST)).alias("_best"))
+    return classes.join(best.hint("merge"), "_root").select(_DIGEST, "doc_id", F.col("_best.doc_id").alias("component_id"), (F.col(_DIGEST) == F.col(f"_best.{_DIGEST}")).alias("stays"))
 
 
-def keep_one(docs: DataFrame, max_distance: int = 6, segments: int = 8, shingle: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, max_distance: int = 6, segments: int | None = 8, shingle: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each group of near copies, with all its columns: the one with the smallest doc_id.
 
     Fingerprints of shingles of two words, and bands of the smallest hashes of shingles of five words, propose links;
-    shingles of five words confirm them. Rows that repeat both id
-    and text count once. Rows with a null doc_id all stay, as nothing tells them apart.
+    shingles of five words confirm them. Rows are told apart by their own text: one with a null doc_id takes part like
+    any other and stays only where no row of its group has an id; of different texts with one id in a group that with
+    the smaller digest stays; rows that repeat both id and text count once. Null and empty texts, and those of white
+    space only, are alike. An empty table gives an empty one.
     """
-    marked = docs.withColumn(_DIGEST, F.sha1(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    known = marked.where("doc_id is not null").select("doc_id", "text", _DIGEST)
-    ids = verified_classes(known, max_distance, segments, shingle, words, similarity)
-    stay = materialise(ids.where("doc_id = component_id").groupBy("doc_id", _DIGEST).agg(F.count("*").alias("n")), "simhash-stay")
-    kept = marked.join(stay.select("doc_id", _DIGEST).hint("merge"), ["doc_id", _DIGEST], "left_semi")
-    if not stay.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", _DIGEST])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    digest = free_name(docs.columns, _DIGEST)
+    marked = docs.withColumn(digest, F.sha1(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    known = marked.select("doc_id", "text", F.col(digest).alias(_DIGEST))
+    fps = materialise(_signatures(known, shingle, words), "simhash-fp")
+    classes = _classes(known, fps, max_distance, segments, words, similarity)
+    stay = materialise(classes.where("stays").select(F.col("doc_id").alias("_stay"), F.col(_DIGEST).alias("_text")), "simhash-stay")
+    kept = marked.join(stay.hint("merge"), (marked[digest] == stay["_text"]) & marked["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    repeated = not fps.groupBy("doc_id", _DIGEST).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    release(fps)
+    if repeated:
+        kept = kept.dropDuplicates(["doc_id", digest])
+    return kept.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10: fingerprints of whole texts of documents, and their groups at two bits or fewer apart. See near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -176,3 +176,65 @@ def test_components_of_long_chains_and_hubs(spark):
     roots = {r.node: r.root for r in connected_components(table).collect()}
     assert {roots[x] for x in chain} == {1} and roots[1049] == 1000 and roots[5000] == 4951
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def removable(texts):
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= 0.8]
+    return set(components(range(len(texts)), pairs).values())
+
+
+def test_edited_groups_are_found_whole(spark):
+    rng = random.Random(14)
+    texts, want = [], set()
+    for _ in range(60):
+        base = own_words(rng, 120)
+        group = [" ".join(changed(rng, base, rng.randint(1, 3))) for _ in range(7)]
+        want |= {len(texts) + i for i in removable(group)}
+        texts += group
+    kept = {r.doc_id for r in simhash.keep_one(docs(spark, list(enumerate(texts)))).collect()}
+    gone = len(texts) - len(want)
+    assert gone > 100 and len(texts) - len(kept) >= 0.99 * gone and len(kept) >= len(want)
+
+
+def test_a_large_band_is_parted_by_second_bands(spark):
+    rng = random.Random(15)
+    stem = own_words(rng, 200)
+    texts = [" ".join(changed(rng, stem + own_words(rng, 50), 1)) for _ in range(6)]
+    texts += [" ".join(changed(rng, t.split(), 1)) for t in texts for _ in range(3)]
+    marked = docs(spark, list(enumerate(texts))).selectExpr("doc_id", "text", f"sha1(cast(text as binary)) as {simhash._DIGEST}")
+    for size, many in ((2, 0), (2, 64), (4096, 64)):
+        found = simhash.verified_classes(marked, 6, 8, 2, 5, 0.8, slice_size=size, many=many).collect()
+        assert {r.component_id for r in found} == removable(texts) and sum(r.stays for r in found) == len(removable(texts))
+
+
+def test_links_within_are_those_of_all_pairs():
+    rng = random.Random(16)
+    for n in (1, 2, 30):
+        base = list(range(40))
+        sets = [np.array(sorted({*rng.sample(base, 36), *rng.sample(range(100, 400), rng.randint(0, 8))})) for _ in range(n)] + [np.empty(0, dtype=np.int64)] * 2
+        classes = np.array([rng.randint(0, 3) if i % 2 else 10 + i for i in range(len(sets))])
+        side = np.array([rng.random() < 0.5 for _ in sets])
+        alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))  # noqa: E731, B023
+        for of in (None, side):
+            pairs = [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j]) and (of is None or of[i] != of[j])]
+            given = [(i, j) for i in range(len(sets)) for j in range(i) if classes[i] == classes[j]]
+            found = simhash.links_within(sets, classes, 0.8, of)
+            assert set(found) <= {(j, i) for i, j in pairs}
+            assert components(range(len(sets)), given + found) == components(range(len(sets)), given + pairs)
+
+
+def test_rows_are_told_by_their_text(spark):
+    text, other = "one text that comes again and again here", "quite another text that has nothing of it"
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs(spark, rows)).collect()), key=str)
+    assert kept([(None, text), (4, text), (None, other), (None, other)]) == sorted([(4, text), (None, other)], key=str)
+    twin = text + " " + " ".join(f"w{i}" for i in range(60))
+    assert len(kept([(7, twin), (7, twin + " end"), (8, twin)])) == 1
+    clash = docs(spark, [(1, text), (2, text), (2, other)]).withColumnRenamed("html", simhash._DIGEST)
+    out = simhash.keep_one(clash)
+    assert out.columns == clash.columns and sorted(r.doc_id for r in out.collect()) == [1, 2]
+    assert {r[simhash._DIGEST] for r in out.collect()} == {None}
+
+
+def test_segments_follow_the_count():
+    assert simhash.segments_for(10, 2) == 3 and simhash.segments_for(10**10, 2) > 3
+    assert all(d < simhash.segments_for(n, d) <= 64 for n in (1, 10**6, 10**12) for d in (0, 1, 2, 6))
