@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,16 @@ MEANING_STOPWORDS = ("a", "an", "and", "as", "by", "can", "concept", "definition
 #: Words that carry no meaning when titles are compared.
 TITLE_STOPWORDS = ("a", "an", "and", "com", "de", "do", "da", "das", "dos", "e", "em", "for", "in", "o", "of", "os", "the", "to", "um", "uma", "with")
 
-_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _folds(last: int = 0x1FFFF) -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that decompose to one character of ASCII beside marks, and those that decompose to several."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, last + 1)):
+        if ascii_ := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode():
+            (one if len(ascii_) == 1 else several)[c] = ascii_
+    return one, several
+
+
+_ONE, _SEVERAL = _folds()
 
 
 def col(c: Column | str) -> Column:
@@ -53,8 +63,13 @@ def normalize_lines(c: Column | str) -> Column:
 
 
 def fold_accents(c: Column | str) -> Column:
-    """Latin-1 letters without their accents; anything else outside ASCII goes, as if decomposed and cut to ASCII."""
-    return F.regexp_replace(F.translate(text(c), _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
+    """A text decomposed (compatibility forms included) and cut to ASCII; 0 characters for letters that don't decompose."""
+    c = text(c)
+    pairs = F.create_map(*(F.lit(x) for kv in _SEVERAL.items() for x in kv))
+    spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
+    wide = F.when(c.rlike("[" + "".join(f"\\x{{{ord(x):x}}}" for x in _SEVERAL) + "]"), spread).otherwise(c)
+    cut = F.regexp_replace(F.translate(wide, "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7F]", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), cut).otherwise(c)
 
 
 def _dashes(c: Column, dash: str) -> Column:

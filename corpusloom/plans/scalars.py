@@ -88,7 +88,7 @@ def word_counts(t: Tables) -> DataFrame:
 
 
 @query(r"""with s as (select doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '-') as p,
-  rtrim(left(trim(regexp_replace(lower(regexp_replace(translate(coalesce(text, ''), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy'), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), 90), '-') as a from documents)
+  rtrim(left(trim(regexp_replace(lower(regexp_replace(strip_accents(coalesce(text, '')), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), 90), '-') as a from documents)
 select doc_id, sha256(case when p = '' then 'untitled' else p end) as plain_sha256, case when a = '' then 'source' else a end as ascii_slug from s""")
 def doc_slugs(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", jsons.sha256_text(X.plain_slug("text")).alias("plain_sha256"), X.ascii_slug("text", "source").alias("ascii_slug"))
