@@ -65,26 +65,63 @@ def with_next_start(rows: DataFrame, key: str, start: str, order: str, end: str
     return rows.withColumn("section_end", F.coalesce(following, col(end)))
 
 
+#: Most frequent tokens that are told apart by their frequency; all rarer ones come before them, ordered by hash.
+FREQUENT = 20_000
+
+
+def _classes(rows: DataFrame, key: str, tokens: str, block: str | None) -> DataFrame:
+    """(_k, _b, _t, _d): rows with tokens, and a digest that is alike for equal sets of a block."""
+    sets = rows.select(F.col(key).alias("_k"), F.col(tokens).alias("_t"), (F.col(block) if block else F.lit("")).alias("_b")).where(F.size("_t") > 0)
+    return sets.withColumn("_d", F.md5(F.to_json(F.struct(F.array_sort("_t").alias("t"))).cast("binary")))
+
+
+def _similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(_b, left_d, right_d, left_first, right_first, overlap): different sets of a block with a Jaccard of at least threshold.
+
+    Equal sets are one, so copies cost nothing. Tokens are hashed to 64 bits and ordered from the rarest; two sets that
+    are similar enough share one of the first few (len - ceil(threshold * len) + 1) of each. That makes it an equality
+    join, on which lengths, places in the order and a bitmap of 256 bits (their differing bits are at most the tokens
+    that differ) rule out most pairs before whole sets meet.
+    """
+    heads = sets.groupBy("_b", "_d").agg(F.min("_k").alias("_first"), F.first(F.transform("_t", lambda x: F.xxhash64(x))).alias("_h"))
+    each = heads.select("_b", "_d", "_first", F.explode("_h").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    word = F.shiftright("h", 6).bitwiseAND(3)
+    known = each.join(F.broadcast(often), "h", "left").groupBy("_b", "_d").agg(
+        F.first("_first").alias("_first"), F.count("*").alias("len"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h"))).alias("_r"),
+        *(F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0)).alias(f"m{i}") for i in range(4)),
+    )
+    taken = F.col("len") - F.ceil(F.lit(threshold) * F.col("len") - 1e-9) + 1
+    rows = known.select("_b", "_d", "_first", "len", "m0", "m1", "m2", "m3", F.posexplode(F.slice("_r", F.lit(1), taken.cast("int"))).alias("p", "_x"))
+    rows = rows.select("_b", F.col("_x.h").alias("h"), "_d", "_first", "len", "p", "m0", "m1", "m2", "m3")
+    side = lambda end: rows.select("_b", "h", *(F.col(c).alias(f"{end}{c}") for c in rows.columns if c not in ("_b", "h")))
+    least = F.lit(threshold) / (1 + threshold) * (F.col("llen") + F.col("rlen")) - 1e-9
+    ahead = F.least(F.col("llen") - F.col("lp"), F.col("rlen") - F.col("rp"))  # places from 0: the shared token and all after it
+    differ = sum((F.bit_count(F.col(f"lm{i}").bitwiseXOR(F.col(f"rm{i}"))) for i in range(4)), F.lit(0))
+    met = side("l").join(side("r"), ["_b", "h"]).where((F.col("l_first") < F.col("r_first")) & (F.least("llen", "rlen") >= threshold * F.greatest("llen", "rlen") - 1e-9))
+    met = met.where((ahead >= least) & (differ <= F.col("llen") + F.col("rlen") - 2 * least)).select("_b", "l_d", "r_d", "l_first", "r_first").distinct()
+    whole = lambda end: known.select("_b", F.col("_d").alias(f"{end}_d"), F.transform("_r", lambda x: x["h"]).alias(f"{end}_t"))
+    scored = met.join(whole("l"), ["_b", "l_d"]).join(whole("r"), ["_b", "r_d"]).withColumn("overlap", jaccard("l_t", "r_t"))
+    return scored.where(F.col("overlap") >= threshold).select("_b", F.col("l_d").alias("left_d"), F.col("r_d").alias("right_d"), F.col("l_first").alias("left_first"), F.col("r_first").alias("right_first"), "overlap")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("left_key"), F.greatest("a", "b").alias("right_key"), "overlap")
+
+
 def overlap_pairs(rows: DataFrame, key: str, tokens: str, threshold: float, block: str | None = None) -> DataFrame:
     """(left_key, right_key, overlap) of rows of the same block whose token sets have a Jaccard of at least threshold.
 
-    A prefix filter makes it an equality join: tokens are ranked from the rarest, and two sets that are similar enough
-    share one of the first few (len - ceil(threshold * len) + 1) of each. Candidates are then compared whole. Empty sets
-    pair with none.
+    All pairs, those of equal sets included; most_similar() gives the best of them without listing all. Empty sets pair
+    with none.
     """
-    sets = rows.select(F.col(key).alias("_k"), F.col(tokens).alias("_t"), (F.col(block) if block else F.lit("")).alias("_b")).where(F.size("_t") > 0)
-    each = sets.select("_k", "_b", F.explode("_t").alias("w"))
-    often = each.groupBy("w").agg(F.count("*").alias("n"))
-    ranked = each.join(often, "w").withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("n", "w")))
-    lengths = sets.select("_k", F.size("_t").alias("_len"))
-    prefix = ranked.join(lengths, "_k").where(F.col("_r") <= F.col("_len") - F.ceil(F.lit(threshold) * F.col("_len") - 1e-9) + 1)
-    a = prefix.select(F.col("_k").alias("left_key"), "_b", "w", F.col("_len").alias("_l"))
-    b = prefix.select(F.col("_k").alias("right_key"), "_b", "w", F.col("_len").alias("_m"))
-    fits = (F.least("_l", "_m") >= threshold * F.greatest("_l", "_m") - 1e-9) & (F.col("left_key") < F.col("right_key"))
-    pairs = a.join(b, ["_b", "w"]).where(fits).select("left_key", "right_key").distinct()
-    left, right = sets.select(F.col("_k").alias("left_key"), F.col("_t").alias("_lt")), sets.select(F.col("_k").alias("right_key"), F.col("_t").alias("_rt"))
-    scored = pairs.join(left, "left_key").join(right, "right_key").withColumn("overlap", jaccard("_lt", "_rt"))
-    return scored.where(F.col("overlap") >= threshold).select("left_key", "right_key", "overlap")
+    sets = _classes(rows, key, tokens, block)
+    members = sets.select("_b", "_d", "_k")
+    near = _similar_sets(sets, threshold)
+    across = near.join(members.select("_b", F.col("_d").alias("left_d"), F.col("_k").alias("a")), ["_b", "left_d"]).join(members.select("_b", F.col("_d").alias("right_d"), F.col("_k").alias("b")), ["_b", "right_d"]).select("a", "b", "overlap")
+    within = members.withColumnRenamed("_k", "a").join(members.withColumnRenamed("_k", "b"), ["_b", "_d"]).where("a < b").select("a", "b", F.lit(1.0).alias("overlap"))
+    return _ordered(across.unionByName(within))
 
 
 def top_overlaps(pairs: DataFrame, k: int = 24) -> DataFrame:
@@ -92,6 +129,25 @@ def top_overlaps(pairs: DataFrame, k: int = 24) -> DataFrame:
     return pairs.orderBy(F.desc("overlap"), "left_key", "right_key").limit(k)
 
 
+def most_similar(rows: DataFrame, key: str, tokens: str, threshold: float, block: str | None = None, k: int = 24) -> DataFrame:
+    """top_overlaps() of overlap_pairs(), without the pairs that cannot be among them.
+
+    A pair of sets stands for all pairs of their members, of which that of the smallest keys comes first: only the k
+    first pairs of sets count, and of each set the k + 1 smallest keys. So a set that many rows share costs k + 1 of them.
+    """
+    sets = _classes(rows, key, tokens, block)
+    few = sets.select("_b", "_d", "_k").withColumn("_n", F.row_number().over(Window.partitionBy("_b", "_d").orderBy("_k"))).where(F.col("_n") <= k + 1).drop("_n")
+    lists = few.groupBy("_b", "_d").agg(F.array_sort(F.collect_list("_k")).alias("_m"))
+    near = _similar_sets(sets, threshold).select("_b", "left_d", "right_d", F.least("left_first", "right_first").alias("left_key"), F.greatest("left_first", "right_first").alias("right_key"), "overlap")
+    best = top_overlaps(near, k)
+    side = lambda end: lists.select("_b", F.col("_d").alias(f"{end}_d"), F.col("_m").alias(f"{end}_m"))
+    across = best.join(side("left"), ["_b", "left_d"]).join(side("right"), ["_b", "right_d"])
+    across = across.select(F.explode("left_m").alias("a"), "right_m", "overlap").select("a", F.explode("right_m").alias("b"), "overlap")
+    copies = top_overlaps(lists.where(F.size("_m") > 1).select("_m", F.lit(1.0).alias("overlap"), F.get("_m", F.lit(0)).alias("left_key"), F.get("_m", F.lit(1)).alias("right_key")), k)
+    within = copies.select("_m", "overlap", F.explode("_m").alias("a")).select("a", F.explode("_m").alias("b"), "overlap").where("a < b")
+    return top_overlaps(_ordered(across.unionByName(within)), k)
+
+
 def ordered_union(entries: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """(key, values): different values of the entries in order; scalars as well as arrays."""
     rows = entries

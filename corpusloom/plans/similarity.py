@@ -25,7 +25,7 @@ j as (select a.doc_id as left_key, b.doc_id as right_key, len(list_intersect(a.t
 select left_key, right_key, i / (s - i) as overlap from j where i / (s - i) >= 0.8 order by overlap desc, left_key, right_key limit 24""")
 def most_similar_documents(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "lang", X.overlap_tokens("text").alias("tokens"))
-    return joins.top_overlaps(joins.overlap_pairs(rows, "doc_id", "tokens", 0.8, "lang"))
+    return joins.most_similar(rows, "doc_id", "tokens", 0.8, "lang")
 
 
 @query(f"""select c_custkey, case when len(a) > 0 and len(b) > 0 then len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) else 0 end as similarity
