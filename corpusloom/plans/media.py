@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import decisions, extraction, media, models, rendering, residual
+from corpusloom.operators import decisions, media, models, rendering
 from corpusloom.plans.base import Tables, query
 
 
@@ -22,15 +22,6 @@ def conversation_pace(t: Tables) -> DataFrame:
     return g.select("conv_id", F.when(F.col("w") < 0.25 * F.col("n") * 60, "failed_gate").otherwise("passed_with_warnings").alias("status"))
 
 
-@query("""select * from (values ('a', 'passed', '', ''), ('b', 'failed_gate', 'timestamp_span_short', 'no_visual_placeholders,short_output,title_mismatch'), ('c', 'failed_gate', 'empty_output,missing_timestamps', 'duration_unknown,no_visual_placeholders,source_title_unknown'))
-  as t(id, status, failures, warnings)""")
-def video_gates(t: Tables) -> DataFrame:
-    long = "# Intro 00:01 ![x](y) " + "word " * 100 + "10:00"
-    rows = [("a", "Trees and graphs", "Graphs and trees", 600.0, long, 0), ("b", "Trees", "Cooking", 600.0, "at 01:00 only", 0), ("c", "Trees", None, None, "  ", 0)]
-    videos = t.spark.createDataFrame(rows, "id string, title string, source_title string, duration_seconds double, markdown string, n_empty_chunks int")
-    return media.video_gate(videos).select("id", "status", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"))
-
-
 @query("""with p as (select l_orderkey as book_id, list(l_linenumber order by l_linenumber, l_partkey) as got, count(*) filter (where l_partkey % 50 = 0) as n_missing, count(*) filter (where l_quantity < 20) as n_low from lineitem group by 1),
 f as (select o_orderkey as book_id, list_filter([case when got is null then 'empty_page_manifest' end, case when n_missing > 0 then 'missing_reader_pageid' end, case when got is distinct from [1, 2, 3] then 'page_coverage_mismatch' end], lambda x: x is not null) as fails, coalesce(n_low, 0) as n_low from orders left join p on book_id = o_orderkey)
 select book_id, array_to_string(fails, ',') as failures, case when len(fails) > 0 then 'failed_gate' when n_low > 0 then 'passed_with_warnings' else 'passed' end as status from f""")
@@ -66,42 +57,6 @@ def run_summary(t: Tables) -> DataFrame:
     return media.run_summary(gates, "doc_id").select("status", "n", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"))
 
 
-@query("""select * from (values ('s1', 's1_001', 'anchors are invalid'), ('s1', 's1_001', 'candidate_id is repeated'), ('s1', 'x', 'candidate_id is not scoped'), ('s1', 'x', 'label is missing'), ('s1', 'x', 'source_roles are invalid'), ('s1', 'zz', 'connector to_candidate_id is unknown'), ('s1', 's1_001', 'connector reason is missing'))
-  as t(self_study_id, candidate_id, violation)""")
-def candidate_violations(t: Tables) -> DataFrame:
-    schema = "self_study_id string, candidate_id string, label string, description string, coverage_criteria array<string>, source_roles array<string>, anchors array<struct<kind:string,locator:string>>"
-    ok = ("s1", "s1_001", "l", "d", ["c"], ["primary"], [("page", "1")])
-    rows = [ok, (*ok[:6], []), ("s1", "x", " ", "d", ["c"], ["odd"], [("page", "1")])]
-    links = t.spark.createDataFrame([("s1", "s1_001", "zz", " ")], "self_study_id string, from_candidate_id string, to_candidate_id string, reason string")
-    return extraction.candidate_violations(t.spark.createDataFrame(rows, schema), links)
-
-
-@query("select * from (values (1, 'a', 'factual'), (1, 'b', 'conceptual'), (1, 'c', 'procedural'), (2, 'a', 'applied')) as t(id, label, knowledge_type)")
-def answer_classifications(t: Tables) -> DataFrame:
-    raw = [(1, '{"classifications":[{"label":"a","knowledge_type":"Applied"},{"concept":"b","type":"conceptual"}],"facts":["a"],"procedures":["c"," "]}'), (2, '{"applications":["a"]}'), (3, "no json")]
-    return extraction.classifications(t.spark.createDataFrame(raw, "id int, answer string"), "id", "answer")
-
-
-@query("select * from (values (1, 'see [Image: a tree] and [Image: image not available] end'), (2, '')) as t(id, content)")
-def image_replacement(t: Tables) -> DataFrame:
-    docs = t.spark.createDataFrame([(1, "see ![x](u1) and ![](u2) end"), (2, None)], "id int, content string")
-    return rendering.replace_images(docs, "id", "content", t.spark.createDataFrame([("u1", "a tree")], "url string, description string"))
-
-
-@query("select * from (values (1, 1, '## A 00:10', 70.0::double, 'always early'), (1, 2, '## B 01:10', 100.0, 'always late')) as t(id, pos, heading, section_end, spoken)")
-def transcript_sections(t: Tables) -> DataFrame:
-    docs = t.spark.createDataFrame([(1, "intro\n## A 00:10\nx\n## B 01:10\ny", 100.0)], "id int, content string, duration double")
-    said = t.spark.createDataFrame([(1, 0, 15.0, "early"), (1, 1, 70.0, "late"), (1, 2, None, "always"), (1, 3, 5.0, "before")], "id int, cue int, start_seconds double, text string")
-    return rendering.merge_transcript(docs, said, "id", "content", "duration")
-
-
-@query("""select * from (values ('s', 1, 2), ('s', 4, 5)) as t(scope, left_key, right_key)""")
-def residual_duplicates(t: Tables) -> DataFrame:
-    rows = [("s", 1, 1, "TF IDF", "weights words"), ("s", 2, 2, "tfidf", "how rare words count"), ("s", 3, 3, "Bag of words with scikit", "vectors"), ("s", 4, 4, "Gradient descent", "steps down slopes"), ("s", 5, 5, "Gradient descent", "steps down hills"), ("s", 6, 6, "Gradient descent", "steps down valleys")]
-    concepts = t.spark.createDataFrame(rows, "scope string, id int, ord int, label string, description string")
-    return residual.greedy_pairs(residual.candidates(concepts, "scope", "id", "ord"), "scope").select("scope", "left_key", "right_key")
-
-
 @query("""select p_partkey::varchar as concept_id, case when regexp_matches(lower(p_name || ' ' || p_type), '\\b(apply|applied|application|project|case)\\b') then 'applied'
   when regexp_matches(lower(p_name || ' ' || p_type), '\\b(how to|step|steps|procedure|implement|build|code)\\b') then 'procedural' when regexp_matches(lower(p_name || ' ' || p_type), '\\b(date|history|name|fact|facts)\\b') then 'factual' else 'conceptual' end as knowledge_type, 0.8::double as confidence from part""")
 def stand_in_classification(t: Tables) -> DataFrame:

@@ -152,11 +152,11 @@ def classification_conflicts(t: Tables) -> DataFrame:
     return audit.conflicts(t.events, "user_id", "event_type", "event_id")
 
 
-@query("""with d as (select l_suppkey, case when l_quantity > 40 then 'math' when l_quantity > 20 then 'application' else 'definition' end as v from lineitem where l_orderkey % 50 = 1)
+@query("""with d as (select l_suppkey, case when l_quantity > 40 then 'math' when l_quantity > 20 then 'application' else 'definition' end as v from lineitem)
 select s_suppkey, case when count(v) = 0 then 'definition' when min(v) = max(v) then min(v) else 'mixed' end as depth from supplier left join d on s_suppkey = l_suppkey group by 1""")
 def merged_depth(t: Tables) -> DataFrame:
     q = F.col("l_quantity")
-    d = t.lineitem.where("l_orderkey % 50 = 1").select("l_suppkey", F.when(q > 40, "math").when(q > 20, "application").otherwise("definition").alias("v"))
+    d = t.lineitem.select("l_suppkey", F.when(q > 40, "math").when(q > 20, "application").otherwise("definition").alias("v"))
     return audit.merged_depth(t.supplier.join(d, F.col("s_suppkey") == F.col("l_suppkey"), "left"), "s_suppkey", "v")
 
 
