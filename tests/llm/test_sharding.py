@@ -49,3 +49,92 @@ def test_query_form(spark):
     assert out.select("_version").distinct().count() == 1
     empty = sharding.sharded(docs(spark, []).select("doc_id", "text"))
     assert empty.count() == 0 and empty.columns == ["doc_id", "text", "_shard", "_version"]
+
+
+def test_a_lost_writer_leaves_the_store_as_it_was(spark):
+    store = sharding.ShardStore(spark, scratch(spark, "store"))
+    store.append(docs(spark, [(1, "a")]).select("doc_id", "text"))
+    fs, path = store._fs, lambda at: store._path(f"{store.root}/{at}")
+    fs.create(path(f"versions/{2:012d}"), False).close()  # created and not yet written, as other tools may do
+    fs.create(path("versions/.v-lost"), False).close()  # a writer lost before its commit
+    assert store.versions() == [1] and store.read().count() == 1
+    fs.delete(path(f"versions/{2:012d}"), False)
+    assert store.append(docs(spark, [(2, "b")]).select("doc_id", "text")) == 2 and store.read().count() == 2
+
+
+def test_writers_build_on_each_other(spark, monkeypatch):
+    a = sharding.ShardStore(spark, scratch(spark, "store"), target_bytes=20_000, base_bytes=1000, least_runs=2)
+    b = sharding.ShardStore(spark, a.root, target_bytes=20_000, base_bytes=1000, least_runs=2)
+    row = lambda i: docs(spark, [(i, "x")]).select("doc_id", "text").coalesce(1)
+    for i in range(3):
+        a.append(row(i))
+    commit, raced = a._commit, []
+
+    def late(manifest, base):
+        if not raced:
+            raced.append(b.append(row(9)))
+        return commit(manifest, base)
+
+    monkeypatch.setattr(a, "_commit", late)
+    assert a.compact() == 5 and sorted(r.doc_id for r in a.read().collect()) == [0, 1, 2, 9]
+
+    raced.clear()
+    for i in range(3, 6):
+        b.append(row(i))
+
+    def merged(manifest, base):
+        if not raced:
+            raced.append(b.compact())
+        return commit(manifest, base)
+
+    monkeypatch.setattr(a, "_commit", merged)
+    with pytest.raises(sharding.CommitConflict):
+        a.compact()
+    assert sorted(r.doc_id for r in a.read().collect()) == [0, 1, 2, 3, 4, 5, 9]
+
+
+def test_vacuum_leaves_what_is_about_to_be_committed(spark):
+    store = sharding.ShardStore(spark, scratch(spark, "store"))
+    for i in range(2):
+        store.append(docs(spark, [(i, "x")]).select("doc_id", "text"))
+    folder = f"{store.root}/data/arrival-of-another"
+    docs(spark, [(5, "y")]).select("doc_id", "text").coalesce(1).write.parquet(folder)
+    store.vacuum()
+    assert store._add(store._shards(folder)) == 3 and sorted(r.doc_id for r in store.read().collect()) == [0, 1, 5]
+    docs(spark, [(6, "z")]).select("doc_id", "text").write.parquet(f"{store.root}/data/lost")
+    store.vacuum(grace_seconds=-5)
+    names = {x.getPath().getName() for x in store._fs.listStatus(store._path(f"{store.root}/data"))}
+    assert "lost" not in names and "arrival-of-another" in names and store.read().count() == 3
+    assert store._fs.listStatus(store._path(f"{store.root}/manifests")).__len__() == 1
+
+
+def test_names_that_clash(spark):
+    data = docs(spark, ODD).selectExpr("doc_id", "text", "1 as _metadata", "2 as _shard", "3 as _version", "4 as arrival", "5 as path")
+    out = sharding.sharded(data)
+    assert out.columns == [*data.columns, "_shard_", "_version_"]
+    assert rows_of(out, data.columns) == rows_of(data, data.columns) and out.where("_shard_ = ''").isEmpty()
+
+
+def test_merges_are_those_of_the_tiers(spark):
+    store = sharding.ShardStore(spark, scratch(spark, "store"), target_bytes=60_000, base_bytes=1500, factor=3, least_runs=3)
+    import random
+
+    rng = random.Random(2)
+    for n in (1, 1, 1, 40, 300, 45, 50, 2):
+        store.append(docs(spark, [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(40))) for i in range(n)]).select("doc_id", "text").coalesce(1))
+    before = {r.path: r.asDict() for r in store.manifest().collect()}
+    tier = lambda size: next(t for t in range(40) if size <= 1500 * 3**t)
+    by_tier = {}
+    for path, r in before.items():
+        assert r["tier"] == tier(r["bytes"])
+        if r["bytes"] < 0.75 * 60_000:
+            by_tier.setdefault(r["tier"], []).append(path)
+    merged = {t: paths for t, paths in by_tier.items() if len(paths) >= 3}
+    assert len(merged) >= 1
+    version = store.compact()
+    after = {r.path: r.asDict() for r in store.manifest().collect()}
+    gone = {p for paths in merged.values() for p in paths}
+    assert before.keys() - after.keys() == gone and {p for p in after if after[p]["added"] == version} == after.keys() - before.keys()
+    new = [after[p] for p in after.keys() - before.keys()]
+    assert sum(r["rows"] for r in new) == sum(before[p]["rows"] for p in gone)
+    assert len(new) <= sum(max(1, round(sum(before[p]["bytes"] for p in paths) / 60_000)) for paths in merged.values())
