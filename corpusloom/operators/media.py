@@ -21,7 +21,7 @@ def video_gate(videos: DataFrame, min_words: int = 80, min_span: float = 0.6, to
     words, stamps, d = word_count("markdown"), timestamps_in("markdown"), F.col("duration_seconds")
     last = F.array_max(stamps)
     alike = F.when(text("source_title") != "", jaccard(title_tokens("title"), title_tokens("source_title")))
-    blank = F.trim(text("markdown")) == ""
+    blank = text("markdown").rlike(r"^\s*$")
     failures = _set(
         (blank, "empty_output"), (F.size(stamps) == 0, "missing_timestamps"), (d <= 0, "invalid_duration"),
         ((d > 120) & (last < d * min_span), "timestamp_span_short"), (F.coalesce("n_empty_chunks", F.lit(0)) > 0, "empty_chunk_output"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from html.parser import HTMLParser
 
@@ -120,26 +121,60 @@ def html_to_markdown(pages: pd.Series) -> pd.Series:
     return pages.map(render)
 
 
-_TABLE = re.compile(r"\|[ \t]*\|[ \t]*\|\n\|[ \t]*-+[ \t]*\|[ \t]*-+[ \t]*\|\n\|([\d \t]|<br>)+\|([^|\n]*<br>[^|\n]*)\|", re.I)
+#: What tells the language of a piece of code, the first that holds: signs anywhere, or at its start.
+CODE_LANGUAGES = (
+    ("python", "anywhere", ("from ", "import ", "model.", "dataset=")),
+    ("sh", "start", ("python ", "pip ", "conda ")),
+)
 
 
 def code_language(code: str) -> str:
+    """The language named on a fence around code; text if nothing tells."""
     low = code.lower()
-    if any(x in low for x in ("from ", "import ", "model.", "dataset=")):
-        return "python"
-    return "sh" if low.strip().startswith(("python ", "pip ", "conda ")) else "text"
+    for language, where, signs in CODE_LANGUAGES:
+        places = [low.find(s) for s in signs] if where == "anywhere" else [0 if low.lstrip().startswith(s) else -1 for s in signs]
+        if max(places) >= 0:
+            return language
+    return "text"
 
 
-def _fenced(m: re.Match) -> str:
-    lines = [html.unescape(x).strip() for x in re.split(r"<br\s*/?>", m[2], flags=re.I)]
-    code = "\n".join(lines).strip("\n")
-    return f"```{code_language(code)}\n{code}\n```"
+def _numbers(cell: str) -> bool:
+    """Whether a cell holds line numbers, a break after each but perhaps the last."""
+    parts = [p.split() for p in re.split("<br>", cell.strip(), flags=re.I)]
+    parts = parts[:-1] if len(parts) > 1 and not parts[-1] else parts
+    return all(p and all(map(str.isdecimal, p)) for p in parts)
+
+
+def _code(cell: str) -> str:
+    """The code in a cell whose lines end in breaks: no blank lines, no indentation."""
+    lines = html.unescape(re.sub(r"<br\s*/?>", "\n", cell, flags=re.I)).splitlines()
+    return "\n".join(x for x in map(str.strip, lines) if x)
+
+
+def fence_code_tables(content: str) -> str:
+    """content with each table of line numbers beside code as a fenced block.
+
+    A table is read as what stands between its bars: two empty cells, a line's end, two rules, a line's end, the numbers
+    and the code. One without code stays.
+    """
+    bars = [m.start() for m in re.finditer(r"\|", content)]
+    out, at, i = [], 0, 0
+    while i + 8 < len(bars):
+        empty, also, end, rule, other, last, numbers, code = (content[a + 1 : b] for a, b in itertools.pairwise(bars[i : i + 9]))
+        ruled = all(set(x.strip()) == {"-"} for x in (rule, other))
+        if ruled and end == last == "\n" and not empty.strip() and not also.strip() and "<br>" in code.lower() and _numbers(numbers) and (said := _code(code)):
+            out += [content[at : bars[i]], f"```{code_language(said)}\n{said}\n```"]
+            at = bars[i + 8] + 1
+            i += 9
+        else:
+            i += 1
+    return "".join([*out, content[at:]])
 
 
 @F.pandas_udf(StringType())
 def code_tables_to_fences(texts: pd.Series) -> pd.Series:
     """Tables of line numbers beside code, as fenced code."""
-    return texts.map(lambda t: None if t is None else _TABLE.sub(_fenced, t))
+    return texts.map(lambda t: None if t is None else fence_code_tables(t))
 
 
 def sections(docs: DataFrame, key: str, content: str) -> DataFrame:
