@@ -19,9 +19,14 @@ _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What in value breaks schema (type, enum, required, properties, additionalProperties, items, minLength, minimum, maximum)."""
+    """What in value breaks schema (type, enum, required, properties, additionalProperties, items, minLength, minimum, maximum).
+
+    A type that JSON does not have is a violation too, whatever the value.
+    """
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
+    if odd := [str(k) for k in kinds if k not in _TYPES]:
+        return [f"{at}: the schema asks for {'|'.join(odd)}, which is no type"]
     fits = lambda k: isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number"))
     if kinds and not any(map(fits, kinds)):
         return [f"{at}: not of type {'|'.join(kinds)}"]
@@ -47,8 +52,23 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces, and non-ASCII characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no spaces, and non-ASCII characters as they are. ValueError for what JSON or UTF-8 cannot say."""
+    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    out.encode()  # a lone surrogate is no character
+    return out
+
+
+def checked(arguments: str | None, schema: dict | None, name: str | None) -> tuple[object, list[str]]:
+    """(value, errors) of a call's arguments. The value is null where they are no JSON that can be written again.
+
+    That is so for null, broken JSON, NaN and infinite numbers, lone surrogates, and nesting beyond what the parser takes.
+    """
+    try:
+        value = json.loads(arguments or "")
+        canonical([[value]])  # with room for what it is put into
+        return value, violations(value, schema) if schema is not None else [f"{name}: no schema"]
+    except (ValueError, RecursionError):
+        return None, ["$: no JSON"]
 
 
 def ordered(calls: DataFrame) -> DataFrame:
@@ -97,7 +117,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     Gives conv_id, call_id, level, ord, status, repeats, valid (false for orphans), errors, json. status: linked; pending (no result); orphan (no
     call); cyclic (linked or not, on a cycle of references). Of rows that repeat an identifier the one with the
     smallest ord (then text) counts, and repeats tells how many there were besides. Rows without conv_id or call_id
-    have no identifier and are left out. arguments that are null or no JSON, and tools without a schema, are invalid.
+    have no identifier and are left out. arguments that are null or no JSON (see checked()), and tools without a schema,
+    are invalid; other columns are not read.
     """
     def firsts(rows: DataFrame, *columns: str) -> DataFrame:
         known = rows.where("conv_id is not null and call_id is not null")
@@ -114,14 +135,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         for batch in batches:
             valid, errors, out = [], [], []
             for call_id, status, name, arguments, content in zip(*(batch.column(k).to_pylist() for k in ("call_id", "status", "name", "arguments", "content"))):
-                value, found = None, []
-                if status != "orphan":
-                    try:
-                        value = json.loads(arguments or "")
-                    except ValueError:
-                        found = ["$: no JSON"]
-                    else:
-                        found = violations(value, schemas[name]) if name in schemas else [f"{name}: no schema"]
+                value, found = (None, []) if status == "orphan" else checked(arguments, schemas.get(name), name)
                 valid.append(status != "orphan" and not found)
                 errors.append(found)
                 out.append(canonical({"arguments": value, "id": call_id, "name": name, "result": content}))
@@ -146,22 +160,70 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+#: Tools that the query deals user turns to by the length of their text, so that some calls break their schema.
+TOOLS = {
+    "respond": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "after": {"type": "array", "items": {"type": "string"}}}},
+    "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string", "minLength": 40}, "limit": {"type": "integer", "minimum": 1, "maximum": 4}}},
+    "note": {"type": "object", "required": ["body"], "additionalProperties": False, "properties": {"body": {"type": "string"}, "kind": {"enum": ["long", "short"]}}},
+}
+
+
+def tool_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, results) of conversations: a user's turn calls one of TOOLS, any other turn is the result of the one before it.
+
+    By conv_id modulo 4 a call refers to the user's turn before, the one after, one of both (which makes cycles), or the
+    two before. So the order, the cycles and the schema errors follow from the table.
+    """
+    identifier = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id"), turn)
+    rows = turns.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text")
+    turn, n = F.col("turn"), F.coalesce(F.length("text"), F.lit(0))
+    back, on = F.array(turn - 2), F.array(turn + 2)
+    kind = F.col("conv_id") % 4
+    ways = F.when(kind == 0, back).when(kind == 1, on).when(kind == 2, F.when(turn % 4 < 2, back).otherwise(on)).otherwise(F.array(turn - 2, turn - 4))
+    parents = F.transform(ways, identifier)
+    tool = F.when(n % 3 == 0, "respond").when(n % 3 == 1, "search").otherwise("note")
+    of = {
+        "respond": F.struct(parents.alias("after"), F.col("text").alias("prompt"), "turn"),
+        "search": F.struct((n % 7 - 1).alias("limit"), F.col("text").alias("query")),
+        "note": F.struct(F.col("text").alias("body"), F.when(n % 5 == 0, "odd").when(n > 200, "long").otherwise("short").alias("kind"), F.when(turn < 2, True).alias("pinned")),
+    }
+    arguments = F.when(tool == "respond", F.to_json(of["respond"])).when(tool == "search", F.to_json(of["search"])).otherwise(F.to_json(of["note"]))
+    calls = rows.where("role = 'user'").select("conv_id", identifier(turn).alias("call_id"), turn.alias("ord"), tool.alias("name"), arguments.alias("arguments"), parents.alias("parents"))
+    results = rows.where("role is null or role <> 'user'").select("conv_id", identifier(turn - 1).alias("call_id"), turn.alias("ord"), F.col("text").alias("content"))
+    return calls, results
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(*from_turns(table(spark, sf_dir, "conversations")), {"respond": RESPOND}).select("conv_id", "call_id", "level", "ord", "status", "repeats", "valid", "json")
+    """op6: tool calls made of all conversations, linked to results, ordered and checked. See tool_turns() and link()."""
+    found = link(*tool_turns(table(spark, sf_dir, "conversations")), TOOLS)
+    return found.select("conv_id", "call_id", "level", "ord", "status", "repeats", "valid", F.array_join("errors", "; ").alias("errors"), "json")
 
 
 SQL = """
-with t as (select * from conversations where conv_id is not null and turn is not null),
-c as (select conv_id, 'call-' || conv_id || '-' || turn as call_id, turn as ord, count(*) over (partition by conv_id, turn) as n,
-  row_number() over (partition by conv_id, turn order by text nulls first) as k, text,
-  '{' || case when turn >= 2 then '"after":"call-' || conv_id || '-' || (turn - 2) || '",' else '' end || case when text is null then '' else '"prompt":' || to_json(text)::varchar || ',' end || '"turn":' || turn || '}' as arguments
-  from t where role = 'user'),
-r as (select conv_id, 'call-' || conv_id || '-' || (turn - 1) as call_id, turn as ord, count(*) over (partition by conv_id, turn) as n,
-  row_number() over (partition by conv_id, turn order by text nulls first) as k, text as content from t where role is null or role <> 'user'),
-j as (select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, coalesce(c.ord, r.ord) as ord, c.ord is not null as called, r.ord is not null as answered,
-  coalesce(c.n - 1, 0) + coalesce(r.n - 1, 0) as repeats, c.text, arguments, content from (select * from c where k = 1) c full join (select * from r where k = 1) r on c.conv_id = r.conv_id and c.call_id = r.call_id)
-select conv_id, call_id, 0::integer as level, ord, case when not called then 'orphan' when not answered then 'pending' else 'linked' end as status, repeats::bigint as repeats,
-  called and coalesce(text, '') <> '' and ord >= 0 as valid,
-  '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(call_id)::varchar || ',"name":' || case when called then '"respond"' else 'null' end || ',"result":' || coalesce(to_json(content)::varchar, 'null') || '}' as json
-from j
+with recursive t as (select * from conversations where conv_id is not null and turn is not null),
+u as (select conv_id, turn, text, coalesce(length(text), 0) as n,
+  case conv_id % 4 when 0 then [turn - 2] when 1 then [turn + 2] when 2 then [case when turn % 4 < 2 then turn - 2 else turn + 2 end] else [turn - 2, turn - 4] end as refs from t where role = 'user'),
+a as (select *, ['respond', 'search', 'note'][n % 3 + 1] as name, case n % 3
+  when 0 then '{"after":[' || array_to_string(list_transform(refs, lambda x: '"call-' || conv_id || '-' || x || '"'), ',') || ']' || coalesce(',"prompt":' || to_json(text)::varchar, '') || ',"turn":' || turn || '}'
+  when 1 then '{"limit":' || (n % 7 - 1) || ',"query":' || to_json(text)::varchar || '}'
+  else '{"body":' || to_json(text)::varchar || ',"kind":"' || case when n % 5 = 0 then 'odd' when n > 200 then 'long' else 'short' end || '"' || case when turn < 2 then ',"pinned":true' else '' end || '}' end as arguments from u),
+c as (select *, count(*) over (partition by conv_id, turn) as m, row_number() over (partition by conv_id, turn order by name, arguments) as k from a),
+r as (select conv_id, turn, text as content, count(*) over (partition by conv_id, turn) as m, row_number() over (partition by conv_id, turn order by text nulls first) as k from t where role is null or role <> 'user'),
+refs as (select conv_id, turn as child, unnest(refs) as parent from c where k = 1),
+e as (select refs.* from refs join c on c.k = 1 and c.conv_id = refs.conv_id and c.turn = refs.parent),
+w(conv_id, root, at_, d) as (select conv_id, turn, turn, 0 from c where k = 1 and conv_id % 4 <> 2
+  union select w.conv_id, root, parent, d + (parent >= child)::integer from w join e on e.conv_id = w.conv_id and e.child = w.at_),
+lv as (select conv_id, root as turn, max(d) as level from w group by all),
+cyc as (select distinct conv_id, child as turn from e where conv_id % 4 = 2),
+j as (select coalesce(c.conv_id, r.conv_id) as conv_id, 'call-' || coalesce(c.conv_id, r.conv_id) || '-' || coalesce(c.turn, r.turn - 1) as call_id, coalesce(c.turn, r.turn) as ord, c.turn as called, r.turn as answered,
+  coalesce(c.m - 1, 0) + coalesce(r.m - 1, 0) as repeats, c.n, c.name, c.arguments, content,
+  array_to_string(list_filter(case when c.turn is null then [] when c.n % 3 = 0 then [case when c.text is null then '$.prompt: missing' when c.text = '' then '$.prompt: too short' end, case when c.turn < 0 then '$.turn: out of range' end]
+    when c.n % 3 = 1 then [case when c.n % 7 - 1 not between 1 and 4 then '$.limit: out of range' end, case when c.n < 40 then '$.query: too short' end]
+    else [case when c.n % 5 = 0 then '$.kind: not one of the values allowed' end, case when c.turn < 2 then '$.pinned: not known' end] end, lambda x: x is not null), '; ') as errors
+  from (select * from c where k = 1) c full join (select * from r where k = 1) r on c.conv_id = r.conv_id and c.turn = r.turn - 1)
+select j.conv_id, call_id, coalesce(case when cyc.turn is null then lv.level end, 0)::integer as level, ord,
+  case when cyc.turn is not null then 'cyclic' when called is null then 'orphan' when answered is null then 'pending' else 'linked' end as status, repeats::bigint as repeats,
+  called is not null and errors = '' as valid, errors,
+  '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(call_id)::varchar || ',"name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(to_json(content)::varchar, 'null') || '}' as json
+from j left join cyc on cyc.conv_id = j.conv_id and cyc.turn = called left join lv on lv.conv_id = j.conv_id and lv.turn = called
 """

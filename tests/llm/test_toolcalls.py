@@ -83,3 +83,22 @@ def test_plain_turns(spark):
     assert {k: v.status for k, v in got.items()} == {(1, 0): "orphan", (1, 1): "linked", (1, 3): "pending", (3, 0): "orphan", (4, 0): "pending"}
     assert got[1, 1].json == '{"arguments":{"prompt":"say \\"hé\\"\\n","turn":1},"id":"call-1-1","name":"respond","result":"hé"}'
     assert got[1, 3].repeats == 1 and not got[1, 3].valid and got[4, 0].valid
+
+
+def test_arguments_that_json_cannot_say_are_invalid(spark):
+    odd = {"nan": '{"a":NaN}', "inf": '{"a":1e999}', "half": '{"a":"\\ud800"}', "deep": "[" * 100_000 + "]" * 100_000, "most": "[" * 900 + "]" * 900, "digits": "9" * 5000, "null": "null", "big": '{"a":1,"b":' + "1" * 4000 + "}"}
+    got = {k[1]: r for k, r in link(spark, [(1, k, i, "add", v, []) for i, (k, v) in enumerate(odd.items())], []).items()}
+    for k in ("nan", "inf", "half", "deep", "digits"):
+        assert not got[k].valid and got[k].errors == ["$: no JSON"] and json.loads(got[k].json)["arguments"] is None, k
+    assert not got["null"].valid and not got["most"].valid and got["big"].valid
+    assert m.violations(3, {"type": ["whole", "integer"]}) == ["$: the schema asks for whole, which is no type"]
+
+
+def test_turns_that_call_tools(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "word " * (t + c)) for c in range(4, 8) for t in range(9)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.ord): r for r in m.link(*m.tool_turns(turns), m.TOOLS).collect()}
+    assert [got[4, t].level for t in (0, 2, 4, 6, 8)] == [0] * 5 and [got[5, t].level for t in (0, 2, 4, 6, 8)] == [4, 3, 2, 1, 0]
+    assert [got[6, t].status for t in (0, 2, 4, 6, 8)] == ["linked", "cyclic", "cyclic", "cyclic", "cyclic"]
+    assert got[7, 8].status == "pending" and {r.valid for r in got.values()} == {True, False}
+    assert {json.loads(r.json)["name"] for r in got.values()} == {"respond", "search", "note"}
