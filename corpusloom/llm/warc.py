@@ -14,6 +14,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -27,6 +28,8 @@ LEAST_BYTES = 0
 #: Bytes of an archive until a new one is begun; of a coalesced read at most (a longer record is read alone); of a gap
 #: that is read over.
 ARCHIVE_BYTES, READ_BYTES, GAP_BYTES = 256 << 20, 8 << 20, 64 << 10
+#: Repeated payloads that are sent to all tasks at most (60 bytes each); of more, pages are shuffled by digest.
+SENT_DIGESTS = 100_000
 DATE = "1970-01-01T00:00:00Z"
 _CRLF = b"\r\n"
 #: Fixed value: RFC 4648's alphabet.
@@ -45,16 +48,20 @@ def plan(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """pages (page_id, url, html) as records to write: page_id, url, payload, digest, refers_to (null for responses).
 
     Of equal payloads the smallest page_id is the response. Rows that repeat its id are responses too. A null id
-    revisits where another has the payload; a null html is an empty payload.
+    revisits where another has the payload; a null html is an empty payload. Only payloads that come more than once
+    have to be looked up: where they are few, the table of them goes to the pages and no page is moved.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
-    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("_first"))
+    first = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
+    first = materialise(first.where("_n > 1 and _first is not null").select("digest", "_first"), "warc-repeated")
+    first = F.broadcast(first) if first.count() <= SENT_DIGESTS else first.hint("merge")
     return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first")).alias("refers_to"))
 
 
 def _uri(page_id) -> bytes:
-    return f"<urn:x-page:{'none' if page_id is None else page_id}>".encode()
+    """A page's identifier as a URI; characters of text ids that URIs or header lines can't hold are percent-encoded."""
+    return b"<urn:x-no-page:>" if page_id is None else f"<urn:x-page:{quote(str(page_id), safe='')}>".encode()
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
@@ -148,8 +155,7 @@ def read(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()] + [pa.binary()] * with_payload
 
     def page(uri: str | None) -> str | None:
-        own = None if uri is None else uri.removeprefix("<urn:x-page:").removesuffix(">")
-        return None if own == "none" else own
+        return None if uri is None or uri == "<urn:x-no-page:>" else unquote(uri.removeprefix("<urn:x-page:").removesuffix(">"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(folder)
@@ -183,7 +189,11 @@ def read(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Write all pages, and read all of them back through the index."""
+    """Write all pages, and read all of them back through the index: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
+
+    A row for each page, repeated and null ids included; an empty table gives an empty one. Columns other than page_id,
+    url and html are not read.
+    """
     folder = scratch(pages.sparkSession, "warc")
     id_type = pages.schema["page_id"].dataType.simpleString()
     found = read(write(plan(pages), folder), folder)
@@ -191,6 +201,7 @@ def archive_and_read(pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9: a record of every page as read back from archives. See plan() and archive_and_read()."""
     return archive_and_read(table(spark, sf_dir, "pages")).drop("url")
 
 

@@ -68,3 +68,17 @@ def test_selected_ranges_are_coalesced(spark, monkeypatch):
 def test_least_bytes(spark):
     rows = {(r.page_id, r.refers_to) for r in warc.plan(pages(spark), least_bytes=5).collect()}
     assert (9, None) in rows and (8, None) in rows and (5, 3) in rows
+
+
+def test_text_ids_come_back_as_they_were(spark):
+    ids = ["none", "", "a>b", "x\r\nWARC-Type: revisit", "ü %20", None, "<>", "twin"]
+    rows = [(x, "http://u", f"<p>{i}</p>") for i, x in enumerate(ids)] + [("twin2", "http://u", "<p>7</p>")]
+    out = warc.archive_and_read(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert sorted((r.page_id for r in out), key=str) == sorted([*ids, "twin2"], key=str)
+    assert {(r.page_id, r.refers_to) for r in out if r.refers_to} == {("twin2", "twin")}
+
+
+def test_many_repeated_payloads_are_joined(spark, monkeypatch):
+    few = sorted(map(tuple, warc.archive_and_read(pages(spark)).drop("url").collect()), key=str)
+    monkeypatch.setattr(warc, "SENT_DIGESTS", 0)
+    assert sorted(map(tuple, warc.archive_and_read(pages(spark)).drop("url").collect()), key=str) == few == want(PAGES)
