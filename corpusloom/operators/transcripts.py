@@ -73,12 +73,35 @@ def near_duplicate(a: Column, b: Column) -> Column:
     return F.when(either_empty, F.lower(F.trim(text(a))) == F.lower(F.trim(text(b)))).otherwise((containment(ta, tb) >= 0.9) | (jaccard(ta, tb) >= 0.82))
 
 
-def unusable_reasons(words: Column, repeated_lines: Column, n_lines: Column, language: Column, expected: Column) -> Column:
+#: Phrases of English boilerplate that recognisers hear in silence, and the words below which it is all there is.
+ENGLISH_BOILERPLATE, TINY_WORDS = ("we'll be right back", "we will be right back", "thanks for watching", "don't forget to subscribe", "music"), 40
+
+
+def tiny_english_boilerplate(said: Column, words: Column) -> Column:
+    low, some = F.lower(said), F.lit(False)
+    for phrase in ENGLISH_BOILERPLATE:
+        some = some | low.contains(phrase)
+    return (words < TINY_WORDS) & some
+
+
+def _dominant(units: Column) -> Column:
+    """The share of the most frequent of a text's units; 0 for none."""
+    counts = F.transform(F.array_distinct(units), lambda x: F.size(F.filter(units, lambda y: y == x)))
+    return F.when(F.size(units) > 0, F.array_max(counts) / F.size(units)).otherwise(0.0)
+
+
+def unusable_reasons(said: Column, duration: Column, language: Column) -> Column:
+    """Why a recognised text is of no use: empty; too few words for a minute or more; one line or phrase over and over;
+    English boilerplate where the preferred language is Portuguese. Nothing for a usable one."""
+    words = F.regexp_count(F.lower(text(said)), F.lit(r"[\p{L}\p{M}\p{N}_']+"))
+    split = lambda sign: F.filter(F.transform(F.split(F.lower(text(said)), sign), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    lines, phrases = split(r"[\r\n]+"), split(r"[.!?]+")
+    over = lambda units: (F.size(units) >= 3) & (_dominant(units) >= 0.75)
     flags = [
-        (words == 0, "empty"), ((words > 0) & (words < 15), "very_low_word_count"), ((n_lines >= 3) & (repeated_lines >= 0.75), "repeated_lines"),
-        ((text(language) != "") & (text(expected) != "") & (text(language) != text(expected)), "language_mismatch"),
+        ((duration >= 60) & (words < F.greatest(F.lit(15), F.floor(duration / 4))), "very_low_word_count"), (over(lines), "repeated_lines"), (over(phrases), "repeated_phrase"),
+        (text(language).startswith("pt") & tiny_english_boilerplate(text(said), words), "language_mismatch"),
     ]
-    return F.array_compact(F.array(*(F.when(c, n) for c, n in flags)))
+    return F.when(words == 0, F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*(F.when(c, n) for c, n in flags))))
 
 
 TRUNCATED = "\n[transcript truncated for this chunk]"
