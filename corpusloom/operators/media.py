@@ -118,7 +118,8 @@ def retry_after(value: Column, now: Column) -> Column:
     """Seconds to wait, from a number or an HTTP date; null for others."""
     seconds = text(value).try_cast("double")
     date = F.try_to_timestamp(F.regexp_extract(text(value), r"^\w{3}, (\d{1,2} \w{3} \d{4} \d\d:\d\d:\d\d)", 1), F.lit("d MMM yyyy HH:mm:ss"))
-    return F.greatest(F.lit(0.0), F.coalesce(seconds, (F.unix_seconds(date) - F.unix_seconds(now)).cast("double")))
+    wait = F.coalesce(seconds, (F.unix_seconds(date) - F.unix_seconds(now)).cast("double"))
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait))
 
 
 #: What passing errors of a provider say.
