@@ -157,3 +157,27 @@ def concept_depths(t: Tables) -> DataFrame:
 def stand_in_candidates(t: Tables) -> DataFrame:
     rows = t.documents.where("source is not null").select(F.col("doc_id").cast("string").alias("self_study_id"), F.col("source").alias("title"), "text")
     return models.stand_in_extraction(rows).select("candidate_id", "label", F.get("coverage_criteria", F.lit(0)).alias("criterion"), F.get("source_roles", F.lit(0)).alias("role"))
+
+
+@query("""select p_partkey, case when p_partkey % 5 = 0 then null else '# ' || case when p_partkey % 2 = 0 then p_name else p_type end || chr(10) || chr(10) || case when p_partkey % 3 = 0 then 'about it' || chr(10) || chr(10) else '' end
+  || '## 7. Exercise (' || p_brand || ')' || chr(10) || chr(10) || 'see **' || p_name || '** and [`x`](http://l)' || chr(10) || chr(10) || '- one' || chr(10) || '- twodeep' || chr(10) || '    - deep' || chr(10) || chr(10) || chr(10) || '```' || chr(10) || 'a = ' || p_size || chr(10) || '```' || chr(10) || chr(10) || '> quoted' || chr(10) || chr(10) || chr(10) || '![i](s)' || chr(10) end as markdown from part""")
+def page_data(t: Tables) -> DataFrame:
+    from corpusloom.operators import pagedata
+
+    k = F.col("p_partkey")
+    quoted = lambda c: F.to_json(F.struct(c.alias("v")))
+    said = lambda c: F.concat(F.lit('{"type":"text","value":'), F.regexp_replace(quoted(c), r'^\{"v":|\}$', ""), F.lit("}"))
+    plain = lambda x: said(F.lit(x))
+
+    def element(tag, *children, props="{}"):
+        parts = [x if i % 2 == 0 else F.concat(F.lit(","), x) for i, x in enumerate(children)] if len(children) < 2 else [F.concat_ws(",", *children)]
+        return F.concat(F.lit(f'{{"type":"element","tagName":"{tag}","properties":'), props if not isinstance(props, str) else F.lit(props), F.lit(',"children":['), *parts, F.lit("]}"))
+
+    exercise = element(
+        "exercise", element("p", plain("see "), element("strong", said(F.col("p_name"))), plain(" and "), element("a", element("code", plain("x")), props='{"href":"http://l"}')),
+        element("ul", plain("\n"), element("li", plain("one")), element("li", plain("two"), element("ul", element("li", plain("deep"))))),
+        element("pre", element("code", said(F.concat(F.lit("a = "), "p_size", F.lit("\n"))))), element("blockquote", element("p", plain("quoted"))), props=F.concat(F.lit('{"id":7,"type":"'), "p_brand", F.lit('"}')),
+    )
+    front = F.to_json(F.struct(F.when(k % 2 == 0, F.col("p_name")).alias("title"), F.when(k % 3 == 0, "about it").alias("description")))
+    page = F.concat(F.lit('{"result":{"data":{"markdownRemark":{"frontmatter":'), front, F.lit(',"htmlAst":{"children":['), exercise, F.lit(","), element("img", props='{"src":"s","alt":"i"}'), F.lit("]}}}}}"))
+    return t.part.select("p_partkey", pagedata.page_data_to_markdown(F.when(k % 5 != 0, page).otherwise("[1]"), "p_type").alias("markdown"))
