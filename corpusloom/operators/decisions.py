@@ -57,34 +57,47 @@ def references(assignments: DataFrame) -> DataFrame:
 
 
 def decision_violations(accepted: DataFrame, sources: DataFrame, assignments: DataFrame, inputs: DataFrame) -> DataFrame:
-    """(scope_id, subject, violation) rows; none for a valid decision."""
-    row = lambda df, subject, code: df.select("scope_id", F.col(subject).cast("string").alias("subject"), F.lit(code).alias("violation"))
+    """(scope_id, subject, violation) rows; none for a valid decision.
+
+    What a row shows by itself is checked where it is read. What tables have to agree on is counted: once by candidate,
+    once by concept and candidate, and from there by concept; so each table is moved once for each of these, not for each rule.
+    """
     blank = lambda c: F.trim(text(c)) == ""
-    known = inputs.select("scope_id", "candidate_id").distinct()
-    ids = accepted.select("scope_id", F.col("id").alias("accepted_id")).distinct()
-    used = sources.select("scope_id", "candidate_id").distinct()
-    refs = references(assignments)
-    dropped = assignments.where(F.col("status").isin("pruned", "review"))
+    said = lambda *checks: F.explode(F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in checks))))
+    times = lambda code, n: F.array_repeat(F.lit(code), F.greatest(F.lit(0), n).cast("int"))
+    row = lambda df, subject, violation: df.select("scope_id", F.col(subject).cast("string").alias("subject"), violation.alias("violation"))
+    status = F.col("status")
+    own = said(*((blank(f), f"{f} is missing") for f in ("label", "description", "merge_rationale")), (~F.coalesce(F.exists("coverage_criteria", lambda x: F.trim(x) != ""), F.lit(False)), "coverage_criteria are missing"))
+    given = said(
+        (~F.coalesce(status.isin(*STATUSES), F.lit(False)), "status is unknown"), ((status == "used_in") & (F.coalesce(F.size("accepted_ids"), F.lit(0)) <= 0), "accepted_ids are missing"),
+        ((status == "merged_into") & blank("merged_into"), "merged_into is missing"), ((status == "pruned") & ~F.coalesce(F.col("reason").isin(*PRUNING_REASONS), F.lit(False)), "reason is unknown"),
+        (status.isin("pruned", "review") & blank("explanation"), "explanation is missing"),
+    )
+    # By candidate: rows of inputs, assignments (dropped ones among them) and sources.
+    kind = lambda df, i, a, d, s: df.select("scope_id", "candidate_id", F.lit(i).alias("i"), F.lit(a).alias("a"), d.alias("d"), F.lit(s).alias("s"))
+    no = F.lit(0)
+    rows = kind(inputs, 1, 0, no, 0).unionByName(kind(assignments, 0, 1, F.when(status.isin("pruned", "review"), 1).otherwise(0), 0)).unionByName(kind(sources, 0, 0, no, 1))
+    by = rows.groupBy("scope_id", "candidate_id").agg(*(F.sum(c).alias(c) for c in "iads"))
+    known = (F.col("i") > 0) & F.col("candidate_id").isNotNull()
+    found = F.explode(F.flatten(F.array(
+        times("source is unknown", F.when(~known, F.col("s")).otherwise(0)), times("assigned candidate is unknown", F.when(~known, F.col("a")).otherwise(0)), times("candidate is assigned twice", (F.col("a") > 1).cast("int")),
+        times("candidate has no assignment", ((F.col("i") > 0) & ((F.col("a") == 0) | F.col("candidate_id").isNull())).cast("int")), times("dropped candidate is used as evidence", F.when((F.col("s") > 0) & F.col("candidate_id").isNotNull(), F.col("d")).otherwise(0)),
+    )))
+    # By concept and candidate: references and citations; then what concepts there are.
+    refs = references(assignments).select("scope_id", "accepted_id", "candidate_id", F.lit(1).alias("r"), F.lit(0).alias("s"))
+    cites = refs.unionByName(sources.select("scope_id", "accepted_id", "candidate_id", F.lit(0).alias("r"), F.lit(1).alias("s"))).groupBy("scope_id", "accepted_id", "candidate_id").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
+    again = row(cites.where("s > 1"), "candidate_id", F.lit("source is repeated"))
+    ids = accepted.groupBy("scope_id", F.col("id").alias("accepted_id")).agg(F.count("*").alias("n"))
+    both = cites.join(ids, ["scope_id", "accepted_id"], "left")
+    loose = row(both.where("n is null and r > 0").withColumn("_v", F.explode(times("referenced concept is unknown", F.col("r")))), "accepted_id", F.col("_v"))
+    uncited = row(both.where("n is not null and s = 0").withColumn("_v", F.explode(times("concept does not cite its candidate", F.col("r")))), "candidate_id", F.col("_v"))
+    have = cites.where("s > 0").groupBy("scope_id", "accepted_id").agg(F.lit(True).alias("_has"))
+    named = F.trim(text("accepted_id")) != ""
+    of_ids = F.explode(F.flatten(F.array(times("accepted has no source", F.when(F.col("_has").isNull(), F.col("n")).otherwise(0)), times("accepted id is repeated", (named & (F.col("n") > 1)).cast("int")))))
     checks = [
-        row(accepted.where(blank("id")), "ord", "accepted id is missing"),
-        row(accepted.where(~blank("id")).groupBy("scope_id", "id").count().where("count > 1"), "id", "accepted id is repeated"),
-        *(row(accepted.where(blank(f)), "id", f"{f} is missing") for f in ("label", "description", "merge_rationale")),
-        row(accepted.where(~F.coalesce(F.exists("coverage_criteria", lambda x: F.trim(x) != ""), F.lit(False))), "id", "coverage_criteria are missing"),
-        row(accepted.join(sources.select("scope_id", F.col("accepted_id").alias("id")).distinct(), ["scope_id", "id"], "left_anti"), "id", "accepted has no source"),
-        row(sources.join(known, ["scope_id", "candidate_id"], "left_anti"), "candidate_id", "source is unknown"),
-        row(sources.groupBy("scope_id", "accepted_id", "candidate_id").count().where("count > 1"), "candidate_id", "source is repeated"),
-        row(assignments.join(known, ["scope_id", "candidate_id"], "left_anti"), "candidate_id", "assigned candidate is unknown"),
-        row(assignments.groupBy("scope_id", "candidate_id").count().where("count > 1"), "candidate_id", "candidate is assigned twice"),
-        row(known.join(assignments.select("scope_id", "candidate_id"), ["scope_id", "candidate_id"], "left_anti"), "candidate_id", "candidate has no assignment"),
-        row(assignments.where(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))), "candidate_id", "status is unknown"),
-        row(assignments.where((F.col("status") == "used_in") & (F.coalesce(F.size("accepted_ids"), F.lit(0)) <= 0)), "candidate_id", "accepted_ids are missing"),
-        row(assignments.where((F.col("status") == "merged_into") & blank("merged_into")), "candidate_id", "merged_into is missing"),
-        row(assignments.where((F.col("status") == "pruned") & ~F.coalesce(F.col("reason").isin(*PRUNING_REASONS), F.lit(False))), "candidate_id", "reason is unknown"),
-        row(dropped.where(blank("explanation")), "candidate_id", "explanation is missing"),
-        row(dropped.join(used, ["scope_id", "candidate_id"], "left_semi"), "candidate_id", "dropped candidate is used as evidence"),
-        row(refs.join(ids, ["scope_id", "accepted_id"], "left_anti"), "accepted_id", "referenced concept is unknown"),
-        row(refs.join(ids, ["scope_id", "accepted_id"], "left_semi").join(sources.select("scope_id", "accepted_id", "candidate_id"), ["scope_id", "accepted_id", "candidate_id"], "left_anti"), "candidate_id", "concept does not cite its candidate"),
-    ]
+        row(accepted.where(blank("id")), "ord", F.lit("accepted id is missing")), row(accepted.withColumn("_v", own), "id", F.col("_v")), row(ids.join(have, ["scope_id", "accepted_id"], "left").withColumn("_v", of_ids), "accepted_id", F.col("_v")),
+        row(assignments.withColumn("_v", given), "candidate_id", F.col("_v")), row(by.withColumn("_v", found), "candidate_id", F.col("_v")), again, loose, uncited,
+    ]
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)
