@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import held_out, table
 
-#: Hashed features (2 ** FEATURE_BITS), texts of each language to learn from at most, and languages at most.
-FEATURE_BITS, TRAIN_TEXTS, MAX_LANGS = 14, 400, 64
+#: Hashed features (2 ** FEATURE_BITS); texts to learn from at most: of each language, and of all together (many languages
+#: have fewer each, but LEAST_TEXTS of every one).
+FEATURE_BITS, TRAIN_TEXTS, TRAIN_ALL, LEAST_TEXTS = 14, 400, 12_800, 8
 UNKNOWN = "und"
 
 #: Families of ISO 639-1 codes. A code that is not here is a family of its own.
@@ -39,7 +41,7 @@ _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.spli
 
 # Everything of ASCII but letters becomes a space; upper case is folded before, for all scripts.
 _TO_SPACE = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile("[A-Za-z]")
 
 
 def family(lang: str) -> str:
@@ -47,7 +49,8 @@ def family(lang: str) -> str:
 
 
 def has_letters(text: str | None) -> bool:
-    return bool(text) and bool(_LETTER.search(text))
+    """Whether a text has a character of Unicode's letter categories; numbers that look like letters are none."""
+    return bool(text) and (_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def features(text: str) -> np.ndarray:
@@ -60,46 +63,68 @@ def features(text: str) -> np.ndarray:
     return mixed >> np.uint32(32 - FEATURE_BITS)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 120) -> np.ndarray:
+class Rows(NamedTuple):
+    """Sparse rows: each row's feature numbers and values, one row after the other, and where each starts (and the last ends)."""
+
+    ids: np.ndarray
+    values: np.ndarray
+    at: np.ndarray
+
+    def pick(self, which: np.ndarray) -> Rows:
+        n = np.diff(self.at)[which]
+        own = np.repeat(self.at[:-1][which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return Rows(self.ids[own], self.values[own], np.append(0, np.cumsum(n)))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """Each row's inner product with w, whose last number is the bias. Every row has a feature."""
+        return np.add.reduceat(self.values * w[self.ids], self.at[:-1]) + w[-1]
+
+    def back(self, u: np.ndarray, size: int) -> np.ndarray:
+        """The sum of the rows, each times its number in u, the sum of u for the bias."""
+        return np.append(np.bincount(self.ids, weights=self.values * np.repeat(u, np.diff(self.at)), minlength=size), u.sum())
+
+
+def train_svm(x: Rows, y: np.ndarray, c: float = 10.0, steps: int = 120, size: int = 1 << FEATURE_BITS) -> np.ndarray:
     """Weights (the bias last) of a linear SVM with squared hinge loss, classes weighted alike; y is -1 or 1."""
-    x = np.concatenate([x, np.ones((len(x), 1), dtype=x.dtype)], axis=1)
-    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype) * c
-    v = np.ones(x.shape[1], dtype=x.dtype)
+    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
+    v = np.ones(size + 1)
     for _ in range(8):  # the largest curvature, by power iteration
-        v = x.T @ (cost * (x @ v))
+        v = x.back(cost * x.times(v), size)
         top = np.linalg.norm(v)
         v /= top or 1
     rate = 1 / (1 + 2 * 1.1 * top)
-    w = z = np.zeros(x.shape[1], dtype=x.dtype)
+    w = z = np.zeros(size + 1)
     for t in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ z))
-        new = z - rate * (z - 2 * (x.T @ (cost * y * slack)))
+        slack = np.maximum(0, 1 - y * x.times(z))
+        new = z - rate * (z - 2 * x.back(cost * y * slack, size))
         z = new + t / (t + 3) * (new - w)
         w = new
-    return w
+    return w.astype(np.float32)
 
 
 class Model:
     """Families' classifiers and, within families, those of pairs of languages, as columns of one weight matrix."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: Rows, langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family(x) for x in self.langs})
         own = np.array(langs)
         fam = np.array([family(x) for x in langs])
         self.members = {f: [x for x in self.langs if family(x) == f] for f in self.families}
-        self.scale = 1 / max(1e-9, float(np.median(np.linalg.norm(x, axis=1)))) if len(x) else 1.0
-        x = x * np.float32(self.scale)
+        self.scale = 1.0
+        if langs:
+            self.scale = 1 / max(1e-9, float(np.median(np.sqrt(np.add.reduceat(x.values * x.values, x.at[:-1])))))
+        x = x._replace(values=x.values * self.scale)
         columns = []
         for f in self.families if len(self.families) > 1 else []:
-            columns.append(train_svm(x, np.where(fam == f, 1, -1).astype(np.float32)))
+            columns.append(train_svm(x, np.where(fam == f, 1, -1)))
         self.pairs: list[tuple[str, str]] = []
         for f in self.families:
             for a, b in itertools.combinations(self.members[f], 2):
-                at = (own == a) | (own == b)
-                columns.append(train_svm(x[at], np.where(own[at] == a, 1, -1).astype(np.float32)))
+                at = np.flatnonzero((own == a) | (own == b))
+                columns.append(train_svm(x.pick(at), np.where(own[at] == a, 1, -1)))
                 self.pairs.append((a, b))
-        self.weights = np.stack(columns, axis=1) if columns else np.zeros((x.shape[1] + 1, 0), dtype=np.float32)
+        self.weights = np.stack(columns, axis=1) if columns else np.zeros(((1 << FEATURE_BITS) + 1, 0), dtype=np.float32)
         self.columns = np.ascontiguousarray(self.weights[:-1].T)
 
     def predict(self, text: str | None) -> tuple[str, float, str]:
@@ -111,7 +136,7 @@ class Model:
             margins = self.columns @ np.bincount(found, minlength=1 << FEATURE_BITS).astype(np.float32)
         else:
             margins = np.array([c.take(found).sum(dtype=np.float64) for c in self.columns])
-        margins = (margins * (self.scale / len(found)) + self.weights[-1]).astype(np.float64)
+        margins = (margins * (self.scale / max(1, len(found))) + self.weights[-1]).astype(np.float64)
         confidence, best = 1.0, 0
         if len(self.families) > 1:
             of_family = margins[: len(self.families)]
@@ -140,13 +165,14 @@ def _sigmoid(x: float) -> float:
 def train(docs: DataFrame, per_lang: int = TRAIN_TEXTS) -> Model:
     """Learn from (doc_id, text, lang) rows outside the held-out fold with a lang and letters.
 
-    A bounded sample is enough for the margins: about per_lang texts of each language, by a hash of doc_id, and never
-    more than twice that of one text size; the most frequent MAX_LANGS languages. Each text counts whole.
+    A bounded sample is enough for the margins: about per_lang texts of each language, by a hash of doc_id, fewer where
+    all languages together would have more than TRAIN_ALL. Every language with a label is learned. Each text counts whole.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().collect()  # a row a language
     if not counts:
-        return Model(np.zeros((0, 1 << FEATURE_BITS), dtype=np.float32), [])
+        return Model(Rows(np.empty(0, dtype=np.int32), np.empty(0), np.zeros(1, dtype=np.int64)), [])
+    per_lang = min(per_lang, max(LEAST_TEXTS, TRAIN_ALL // len(counts)))
     share = F.create_map(*itertools.chain.from_iterable((F.lit(r["lang"]), F.lit(per_lang / r["count"])) for r in counts))
     picked = rows.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
 
@@ -154,18 +180,17 @@ def train(docs: DataFrame, per_lang: int = TRAIN_TEXTS) -> Model:
         for batch in batches:
             langs, ids, values = [], [], []
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                if has_letters(t := text.as_py()):
-                    f, n = np.unique(features(t), return_counts=True)
+                if has_letters(t := text.as_py()) and len(own := features(t)):
+                    f, n = np.unique(own, return_counts=True)
                     langs.append(lang)
                     ids.append(f.astype(np.int32))
                     values.append((n / n.sum()).astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "ids", "values"])
 
     found = picked.select("lang", "text").mapInArrow(count, "lang string, ids array<int>, values array<float>").limit(2 * per_lang * len(counts)).toArrow()
-    x = np.zeros((found.num_rows, 1 << FEATURE_BITS), dtype=np.float32)
-    for i, (ids, values) in enumerate(zip(found.column("ids"), found.column("values"))):
-        x[i, ids.values.to_numpy()] = values.values.to_numpy()
-    return Model(x, found.column("lang").to_pylist())
+    lists = found.column("ids").combine_chunks()
+    values = found.column("values").combine_chunks().values.to_numpy().astype(np.float64)
+    return Model(Rows(lists.values.to_numpy(), values, lists.offsets.to_numpy().astype(np.int64)), found.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -187,5 +212,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1: the language of every document, learned outside the held-out fold. See train() and identify()."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))

@@ -92,3 +92,24 @@ def test_toxicity_of_odd_texts(spark):
     found = toxicity.score(docs(spark, ODD), model).collect()
     assert len(found) == len(ODD) and all(r.predicted == 0 for r in found)
     assert toxicity.score(docs(spark, []), model).count() == 0
+
+
+def test_letters_are_those_of_unicode():
+    for text in ("½", "²", "Ⅷ", "①", "12 ٣", "", None, "_ -", "🙂"):
+        assert not langid.has_letters(text)
+    for text in ("a", "12 é", "日", "ªb", "1 ʰ", "ß"):
+        assert langid.has_letters(text)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(9)
+    names = [f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
+    sounds = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)] for x in names}
+    rows = [(i, " ".join(rng.choice(sounds[x]) for _ in range(40)), x) for i, x in enumerate(names * 12)]
+    monkeypatch.setattr(langid, "TRAIN_ALL", 70 * 8)
+    model = langid.train(docs(spark, rows))
+    assert model.langs == sorted(names)
+    found = langid.identify(docs(spark, rows), model).collect()
+    held = [r for r in found if r.held_out]
+    truth = {i: x for i, _, x in rows}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
