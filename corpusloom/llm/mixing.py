@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, table
+from corpusloom.llm.common import free_name, materialise, table
 
 SEED = 11
 #: Ranges that the order of an epoch is cut into. A task sorts only the range in which a leaf's prefix ends.
@@ -30,6 +30,15 @@ def domain_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("domain"), (F.regexp_extract(source, r"(\d+)", 1).try_cast("bigint") % 4).cast("string")), F.lit("domain-"))
 
 
+def node_of(*values: Column) -> Column:
+    """The name of a node of the tree: the values down to it joined with '/', a null as the empty-set sign.
+
+    A value's own '/', '%' and empty-set sign are written %2F, %25 and %E2%88%85, so no two nodes have one name.
+    """
+    plain = lambda v: F.replace(F.replace(F.replace(v.cast("string"), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), F.lit("∅"), F.lit("%E2%88%85"))
+    return F.concat_ws("/", *(F.coalesce(plain(v), F.lit("∅")) for v in values))
+
+
 def leaves(docs: DataFrame, levels: tuple[str, ...]) -> DataFrame:
     """(levels, supply) of each leaf; nulls are a value of their own."""
     return docs.groupBy(*levels).agg(F.sum("_tokens").alias("supply"), F.count("*").alias("rows"))
@@ -37,7 +46,7 @@ def leaves(docs: DataFrame, levels: tuple[str, ...]) -> DataFrame:
 
 def budgets(supply: DataFrame, levels: tuple[str, ...], weights: DataFrame, share: float, epochs: float) -> DataFrame:
     """(levels, supply, rows, budget) of each leaf. supply: a row a leaf, so few; weights: (node, weight), see mix()."""
-    path = [F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in levels[: i + 1])) for i in range(len(levels))]
+    path = [node_of(*map(F.col, levels[: i + 1])) for i in range(len(levels))]
     tree = supply.select("*", F.lit("").alias("_p0"), *(p.alias(f"_p{i + 1}") for i, p in enumerate(path)))
     tree = tree.withColumn("_give", F.col("supply") * epochs)
     # Budgets of the level above, from the root down. The root's is one number.
@@ -45,7 +54,7 @@ def budgets(supply: DataFrame, levels: tuple[str, ...], weights: DataFrame, shar
     above = None
     for i in range(1, len(levels) + 1):
         nodes = tree.groupBy(F.col(f"_p{i - 1}").alias("_up"), F.col(f"_p{i}").alias("_node")).agg(F.sum("_give").alias("_cap"))
-        nodes = nodes.join(weights.select(F.col("node").alias("_node"), F.col("weight").alias("_w")), "_node", "left")
+        nodes = nodes.join(weights.groupBy(F.col("node").alias("_node")).agg(F.max("weight").alias("_w")), "_node", "left")
         # A node without a weight counts by what it can give.
         nodes = nodes.withColumn("_w", F.greatest(F.coalesce(F.col("_w").cast("double"), F.col("_cap").cast("double")), F.lit(0.0)))
         nodes = nodes.withColumn("_budget", F.lit(float(total) * min(share, epochs))) if above is None else nodes.join(above, "_up")
@@ -79,8 +88,8 @@ def _shared(nodes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: DataFrame, levels: tuple[str, ...] = LEVELS, share: float = 0.5, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
     """(doc_id, levels, _tokens, epoch): a row for each time that a document is selected, epochs from 0.
 
-    docs: doc_id, text and the levels. weights: (node, weight), node the values down to it joined with '/', a null as
-    the empty-set sign; siblings' weights are relative, a node without one weighs what it can give. share: the whole
+    docs: doc_id, text and the levels. weights: (node, weight), the node named as node_of() does; of a node named more than
+    once the largest weight counts; siblings' weights are relative, a node without one weighs what it can give. share: the whole
     budget as a part of all tokens; epochs: how often a document may be used at most.
 
     A leaf's prefix is the longest with at most the budget, up to rounding half a token up; documents without words
@@ -96,8 +105,8 @@ def mix(docs: DataFrame, weights: DataFrame, levels: tuple[str, ...] = LEVELS, s
     plan = materialise(budgets(materialise(leaves(sized, levels), "mix-leaves"), levels, weights, share, epochs), "mix-budgets")
     plan = plan.withColumn("_budget", F.floor(F.col("budget") + 0.5)).withColumn("_whole", F.when(F.col("supply") > 0, F.floor(F.col("_budget") / F.col("supply"))).otherwise(1))
     plan = plan.withColumn("_rest", F.col("_budget") - F.col("_whole") * F.col("supply"))
-    small = plan.select(*levels, "_whole", "_rest")
-    rows = sized.alias("s").join(small.alias("p"), [F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")) for c in levels]).select("s.*", "_whole", "_rest", leaf_of(levels, "s").alias("_leaf"))
+    small = plan.select(*levels, "_whole", "_rest", F.xxhash64(node_of(*map(F.col, levels))).alias("_leaf"))
+    rows = sized.alias("s").join(small.alias("p"), [F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")) for c in levels]).select("s.*", "_whole", "_rest", "_leaf")
     whole = rows.where("_whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("_whole") - 1).cast("int")))).select("doc_id", *levels, "_tokens", "epoch")
     place = F.xxhash64(F.lit(seed), F.col("_whole"), F.col("doc_id").cast("string"))
     part = rows.where("_rest > 0").withColumn("_place", place).withColumn("_range", F.shiftrightunsigned("_place", 64 - (RANGES - 1).bit_length()).cast("int"))
@@ -111,11 +120,6 @@ def mix(docs: DataFrame, weights: DataFrame, levels: tuple[str, ...] = LEVELS, s
     return whole.unionByName(inside).unionByName(edge)
 
 
-def leaf_of(levels: tuple[str, ...], alias: str) -> Column:
-    """A number for a leaf."""
-    return F.xxhash64(*(F.coalesce(F.col(f"{alias}.{c}").cast("string"), F.lit("∅")) for c in levels))
-
-
 #: Target weights of the synthetic tables' languages, in each domain; domains and sources weigh what they have.
 LANG_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}
 
@@ -130,6 +134,7 @@ def with_domain(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8: the documents that a mix of 60 % of all tokens, two epochs at most, selects. See mix()."""
     docs = with_domain(table(spark, sf_dir, "documents"))
     return mix(docs, default_weights(spark), share=0.6, epochs=2.0).withColumnRenamed("_tokens", "n_tokens")
 
@@ -137,9 +142,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_mixed(docs: DataFrame, share: float, weights: DataFrame | None = None) -> DataFrame:
     """The rows of docs that a mix of one epoch at most selects, all columns as they were.
 
-    Rows with the same doc_id go together if any of them is selected; rows with a null doc_id stay, as nothing tells
-    them apart.
+    A row is told by its doc_id and text together, so rows with a null or repeated doc_id are drawn like any other;
+    rows that repeat both go together if any of them is selected.
     """
     weights = default_weights(docs.sparkSession) if weights is None else weights
-    chosen = mix(with_domain(docs), weights, share=share, epochs=1.0).select("doc_id").distinct()
-    return docs.join(chosen.hint("merge"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    key = free_name(docs.columns, "_key")
+    marked = docs.withColumn(key, F.sha1(F.concat(F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.lit("no id")), F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary")))
+    keyed = with_domain(marked.select(F.col(key).alias("doc_id"), "text", "source", "lang"))
+    chosen = mix(keyed, weights, share=share, epochs=1.0).select(F.col("doc_id").alias("_chosen")).distinct()
+    return marked.join(chosen.hint("merge"), marked[key] == chosen["_chosen"], "left_semi").select(*docs.columns)

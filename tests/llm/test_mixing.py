@@ -95,3 +95,20 @@ def test_odd_rows(spark):
     assert mixing.keep_mixed(docs(spark, []), 0.5).count() == 0
     null = data.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
     assert mixing.keep_mixed(null, 1.0).count() == len(ODD)
+
+
+def test_slashes_and_empty_sets_in_names(spark):
+    rows = [(i, "w " * 10, *leaf) for i in range(30) for leaf in [(("a/b", "c", "s"), ("a", "b/c", "s"), ("∅", "x%2Fy", "s"))[i % 3]]]
+    rows += [(100 + i, "w " * 10, None, "x/y", "s") for i in range(10)]
+    out = mixing.mix(table(spark, rows), spark.createDataFrame([("a%2Fb", 1.0), ("a", 1.0), ("∅", 1.0), ("%E2%88%85", 2.0)], "node string, weight double"), share=0.5).collect()
+    taken = {}
+    for r in out:
+        taken[r.domain] = taken.get(r.domain, 0) + r._tokens
+    assert len({r.doc_id for r in out}) == len(out) and taken == {"a/b": 40, "a": 40, None: 40, "∅": 80}
+    assert sorted(r.n for r in table(spark, rows).select(mixing.node_of(F.col("domain"), F.col("lang")).alias("n")).distinct().collect()) == ["%E2%88%85/x%252Fy", "a%2Fb/c", "a/b%2Fc", "∅/x%2Fy"]
+
+
+def test_rows_without_an_id_are_drawn_like_others(spark):
+    data = docs(spark, [(None, f"text number {i} of these") for i in range(40)] + [(i, f"text number {i} with an id") for i in range(40)])
+    kept = mixing.keep_mixed(data, 0.5).collect()
+    assert 36 <= len(kept) <= 40 and 8 < sum(r.doc_id is None for r in kept) < 32
