@@ -137,25 +137,49 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def normalise(text: str) -> tuple[str, list[int], list[int]]:
-    """The normalised text, and for each of its characters where the source it stands for starts and ends."""
+class Spans:
+    """Where the pieces of a normalised text come from: a run of each rewrite and of each stretch between two of them.
+
+    Memory follows the number of rewrites, not the text's length.
+    """
+
+    def __init__(self):
+        self.at: list[int] = []
+        self.source: list[tuple[int, int, bool]] = []
+        self.length = 0
+
+    def add(self, n: int, start: int, end: int, same: bool) -> None:
+        """n characters were written for source [start, end): one for one if same, else all of them for the whole."""
+        if n:
+            self.at.append(self.length)
+            self.source.append((start, end, same))
+            self.length += n
+
+    def back(self, a: int, b: int) -> tuple[int, int]:
+        """The source span of the written characters [a, b)."""
+        i, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1) - 1
+        first, last = self.source[i], self.source[j]
+        return first[0] + (a - self.at[i]) * first[2], last[0] + b - self.at[j] if last[2] else last[1]
+
+    def wide_at(self, place: int) -> bool:
+        """Whether a rewrite of more than one source character starts at this place of the source."""
+        i = bisect_left(self.source, place, key=lambda x: x[0])
+        return i < len(self.source) and self.source[i][0] == place and not self.source[i][2] and self.source[i][1] - place > 1
+
+
+def normalise(text: str) -> tuple[str, Spans]:
+    """The normalised text, and the way back from its characters to the source's."""
     if _FOREIGN.search(text):
         table_ = {ord(c): fold(c) for c in set(text) if c > "ɏ"}
         text = text.translate(table_)  # one character for one, so places stay
     written: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    at = 0
+    spans, at = Spans(), 0
     for a, b, new in [*rewrites(text), (len(text), len(text), "")]:
-        written.append(text[at:a])
-        starts += range(at, a)
-        ends += range(at + 1, a + 1)
-        written.append(new)
-        same = b - a == len(new)
-        starts += range(a, b) if same else [a] * len(new)
-        ends += range(a + 1, b + 1) if same else [b] * len(new)
+        written += (text[at:a], new)
+        spans.add(a - at, at, a, True)
+        spans.add(len(new), a, b, b - a == len(new))
         at = b
-    return "".join(written), starts, ends
+    return "".join(written), spans
 
 
 #: Strings (of lower-cased texts) of which a disguised identifier has one at least; plain searches, so cheap.
@@ -182,19 +206,14 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     base = identifiers(text)
     if not text or not disguised(text):
         return base, base
-    plain, starts, ends = normalise(text)
-    extra = [(kind, starts[a], ends[b - 1]) for kind, a, b in identifiers(plain)]
-
-    def bracketed(at: int) -> bool:
-        i = bisect_left(starts, at)
-        return i < len(starts) and starts[i] == at and ends[i] - at > 1
-
+    plain, spans = normalise(text)
+    extra = [(kind, *spans.back(a, b)) for kind, a, b in identifiers(plain)]
     own = {kind: [(x, y) for k, x, y in base if k == kind] for kind in KINDS}
     out = list(base)
     for kind, a, b in extra:
         at = bisect_right(own[kind], a, key=lambda x: x[0]) - 1
         x, y = own[kind][at] if at >= 0 else (0, 0)
-        if b > y and not (kind == "email" and x == a and bracketed(y)):
+        if b > y and not (kind == "email" and x == a and spans.wide_at(y)):
             out.append((kind, a, b))
     return base, sorted(out, key=lambda x: (x[1], _RANK[x[0]]))
 
@@ -227,4 +246,5 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2: personal data in every document. See detect()."""
     return detect(table(spark, sf_dir, "documents"))
