@@ -71,3 +71,56 @@ def test_odd_vectors(spark):
     few = search(spark, [(10, [1.0, 0.0]), (11, [0.0, 1.0])])
     assert few == {10: [(11, 0.0)]}
     assert search(spark, []) == {}
+
+
+def test_every_row_is_a_candidate_of_its_own(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, v) for v in [rng.normal(size=8)]] + [(1, rng.normal(size=8)) for _ in range(8)] + [(i, rng.normal(size=8)) for i in range(2, 6)]
+    got = search(spark, rows)[0]
+    q = np.array(rows[0][1], dtype=np.float32).astype(float)
+    want = sorted((-float(ann.cosine(np.array(v, dtype=np.float32).astype(float)[None], q)[0]), i) for i, v in rows[1:])[:5]
+    assert [i for i, _ in got] == [i for _, i in want] and all(abs(s + w) < 1e-12 for (_, s), (w, _) in zip(got, want))
+    same = [0.5, 0.25]
+    assert [i for i, _ in search(spark, [(0, same)] * 3 + [(4, same)] * 3 + [(7, same), (2, same), (5, [1.0, -1.0])])[0]] == [2, 4, 4, 4, 7]
+
+
+def test_large_and_small_components_have_finite_scores(spark):
+    rows = [(10, [1e200, 2e200, 0.0]), (1, [1e200, 2.1e200, 0.0]), (2, [1e-200, 2e-200, 1e-200]), (3, [-1.0, 0.0, 1e-300])]
+    table = spark.createDataFrame([(i, v, 1, "r") for i, v in rows], "vec_id bigint, embedding array<double>, score int, rank string")
+    got = ann.search(ann.build_index(table), F.col("vec_id") % 10 == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3] and all(math.isfinite(r.score) and abs(r.score) <= 1 + 1e-12 for r in got)
+
+
+def test_a_query_id_with_two_vectors_counts_with_the_smaller(spark):
+    rows = [(10, [0.0, 1.0]), (10, [1.0, 0.0]), (1, [0.1, 1.0]), (2, [1.0, 0.1])]
+    assert [i for i, _ in search(spark, rows)[10]] == [1, 2]
+    assert [i for i, _ in search(spark, rows[::-1])[10]] == [1, 2]
+
+
+def test_lists_of_structured_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 32))
+    rows = [(i, centres[rng.integers(0, 60)] + 0.4 * rng.normal(size=32)) for i in range(6000)]
+    table = spark.createDataFrame([(i, [float(x) for x in v], 1, "r") for i, v in rows], SCHEMA)
+    index = ann.build_index(table)
+    lists = ann._lists_of(index.codes, 5)[32]
+    assert len(lists.centroids) > 50 and lists.probes <= 0.3 * len(lists.centroids)
+    assert len(ann.learn_lists(rng.normal(size=(6000, 64)), 6000).centroids) == 1  # no structure: no lists
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 6000, 100):
+        near = unit @ unit[q]
+        near[q] = -2
+        want[q] = set(np.argsort(-near)[:5].tolist())
+
+    def recall():
+        got = {}
+        for r in ann.search(index, F.col("vec_id") % 100 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+        return sum(len(got[q] & want[q]) for q in want) / (5 * len(want))
+
+    assert recall() >= 0.95
+    monkeypatch.setattr(ann, "SLICE_BYTES", 32 * 8 * 20)  # a list in many slices
+    assert recall() >= 0.95
