@@ -45,9 +45,22 @@ def _set(*flags: tuple[Column, Column | str]) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*named))))
 
 
-def with_flags(rows: DataFrame, content: str, requested_title: Column, found_title: Column, strategy: Column, min_words: int = MIN_WORDS) -> DataFrame:
+#: How notes of a route begin that are flags of what it brought.
+NOTED = {"github_blob_pdf": "rewritten_source_url", "pdf_mode_ocr": "ocr_pdf"}
+
+
+def _noted(notes: Column) -> Column:
+    def has(start: str) -> Column:
+        return F.coalesce(F.exists(notes, lambda n: n.startswith(start)), F.lit(False))
+
+    return F.array_compact(F.array(*(F.when(has(start), flag) for start, flag in NOTED.items())))
+
+
+def with_flags(rows: DataFrame, content: str, requested_title: Column, found_title: Column, strategy: Column, min_words: int = MIN_WORDS, route_notes: Column | None = None) -> DataFrame:
     """rows with flags: sorted flags of a content; walls and error pages are sought in titles and the first part of it.
 
+    route_notes: an array of how the content was fetched, of which some are flags too.
+
     What several flags look at (the trimmed text, its lower case, its words, the probe) is a column of its own below
     them, so it is made once a row.
     """
@@ -67,6 +80,8 @@ def with_flags(rows: DataFrame, content: str, requested_title: Column, found_tit
         ((words < AUTH_WORDS) & has_phrase(probe, AUTH_WALL_PHRASES), "possible_auth_wall"),
         (F.col("_strategy") == "interactive_shell", "interactive_shell_review"),
     )
+    if route_notes is not None:
+        flags = F.array_sort(F.array_union(flags, _noted(route_notes)))
     return r.withColumn("flags", flags).drop("_body", "_titles", "_strategy", "_words", "_low", "_images", "_probe")
 
 

@@ -181,3 +181,13 @@ def page_data(t: Tables) -> DataFrame:
     front = F.to_json(F.struct(F.when(k % 2 == 0, F.col("p_name")).alias("title"), F.when(k % 3 == 0, "about it").alias("description")))
     page = F.concat(F.lit('{"result":{"data":{"markdownRemark":{"frontmatter":'), front, F.lit(',"htmlAst":{"children":['), exercise, F.lit(","), element("img", props='{"src":"s","alt":"i"}'), F.lit("]}}}}}"))
     return t.part.select("p_partkey", pagedata.page_data_to_markdown(F.when(k % 5 != 0, page).otherwise("[1]"), "p_type").alias("markdown"))
+
+
+@query("""select p_partkey, array_to_string(list_filter(['empty_content', case when p_partkey % 3 = 0 then 'ocr_pdf' end, case when p_partkey % 2 = 0 then 'rewritten_source_url' end], lambda x: x is not null), ',') as flags from part""")
+def route_flags(t: Tables) -> DataFrame:
+    from corpusloom.operators import gate
+
+    k = F.col("p_partkey")
+    notes = F.array_compact(F.array(F.when(k % 2 == 0, "github_blob_pdf_to_raw"), F.when(k % 3 == 0, "pdf_mode_ocr"), F.lit("pdf_mode")))
+    found = gate.with_flags(t.part.select("p_partkey", F.lit(" ").alias("content"), notes.alias("notes")), "content", F.lit("a"), F.lit("b"), F.lit("pdf"), route_notes=F.col("notes"))
+    return found.select("p_partkey", F.array_join("flags", ",").alias("flags"))
