@@ -17,6 +17,22 @@ from corpusloom.operators.joins import last_wins
 #: What a self-study's body can be, and how titles of mere activities begin.
 USABLE, UNAVAILABLE, EXCLUDED = "usable_source_body", "unavailable_source_body", "excluded_activity_only_self_study"
 ACTIVITY_TITLES = ("atividade:", "questão")
+#: What is wrong with a self-study, in the order in which it is looked for.
+SAYS = {
+    "no_id": "self_study_id is required",
+    "twice": "self_study_id is duplicated",
+    "no_lesson": "lesson_id must reference a lesson",
+    "no_title": "workbook_metadata.title is required",
+    "no_required": "workbook_metadata.required is required",
+    "no_path": "source_body.path is required for usable source bodies",
+    "no_file": "source_body.path does not exist: ",
+    "other_file": "source_body.sha256 does not match file: ",
+    "no_words": "source_body.word_count is required for usable source bodies",
+    "not_metadata_only": "metadata_only_candidate must be true for unavailable source bodies",
+    "no_failures": "source_body.availability_failures is required for unavailable source bodies",
+    "no_reason": "exclusion_reason is required for excluded activity-only self-studies",
+    "odd_status": "source_body_status is invalid: ",
+}
 
 
 def lessons(rows: DataFrame) -> DataFrame:
@@ -102,18 +118,18 @@ def ledger_errors(studies: DataFrame, found: DataFrame, files: DataFrame | None
     s = s.withColumn("_nth", nth)
     usable = status == USABLE
     looked = [] if files is None else [
-        (usable & (text(path) != "") & F.col("_p").isNull(), F.concat(F.lit("source_body.path does not exist: "), path)),
-        (usable & F.col("_p").isNotNull() & ~F.col("_sha").eqNullSafe(body["sha256"]), F.concat(F.lit("source_body.sha256 does not match file: "), path)),
+        (usable & (text(path) != "") & F.col("_p").isNull(), F.concat(F.lit(SAYS["no_file"]), path)),
+        (usable & F.col("_p").isNotNull() & ~F.col("_sha").eqNullSafe(body["sha256"]), F.concat(F.lit(SAYS["other_file"]), path)),
     ]
     checks = [
-        (text("self_study_id") == "", F.lit("self_study_id is required")), ((text("self_study_id") != "") & (F.col("_nth") > 1), F.lit("self_study_id is duplicated")), (F.col("_lesson").isNull(), F.lit("lesson_id must reference a lesson")),
-        (text("workbook_metadata.title") == "", F.lit("workbook_metadata.title is required")), (F.col("workbook_metadata.required").isNull(), F.lit("workbook_metadata.required is required")),
-        (usable & (text(path) == ""), F.lit("source_body.path is required for usable source bodies")), *looked,
-        (usable & (F.coalesce(body["word_count"], F.lit(0)) == 0), F.lit("source_body.word_count is required for usable source bodies")),
-        ((status == UNAVAILABLE) & ~F.coalesce("metadata_only_candidate", F.lit(False)), F.lit("metadata_only_candidate must be true for unavailable source bodies")),
-        ((status == UNAVAILABLE) & (F.coalesce(F.size(body["availability_failures"]), F.lit(0)) <= 0), F.lit("source_body.availability_failures is required for unavailable source bodies")),
-        ((status == EXCLUDED) & (text("exclusion_reason") == ""), F.lit("exclusion_reason is required for excluded activity-only self-studies")),
-        (~F.coalesce(status.isin(USABLE, UNAVAILABLE, EXCLUDED), F.lit(False)), F.concat(F.lit("source_body_status is invalid: "), F.coalesce(status, F.lit("null")))),
+        (text("self_study_id") == "", F.lit(SAYS["no_id"])), ((text("self_study_id") != "") & (F.col("_nth") > 1), F.lit(SAYS["twice"])), (F.col("_lesson").isNull(), F.lit(SAYS["no_lesson"])),
+        (text("workbook_metadata.title") == "", F.lit(SAYS["no_title"])), (F.col("workbook_metadata.required").isNull(), F.lit(SAYS["no_required"])),
+        (usable & (text(path) == ""), F.lit(SAYS["no_path"])), *looked,
+        (usable & (F.coalesce(body["word_count"], F.lit(0)) == 0), F.lit(SAYS["no_words"])),
+        ((status == UNAVAILABLE) & ~F.coalesce("metadata_only_candidate", F.lit(False)), F.lit(SAYS["not_metadata_only"])),
+        ((status == UNAVAILABLE) & (F.coalesce(F.size(body["availability_failures"]), F.lit(0)) <= 0), F.lit(SAYS["no_failures"])),
+        ((status == EXCLUDED) & (text("exclusion_reason") == ""), F.lit(SAYS["no_reason"])),
+        (~F.coalesce(status.isin(USABLE, UNAVAILABLE, EXCLUDED), F.lit(False)), F.concat(F.lit(SAYS["odd_status"]), F.coalesce(status, F.lit("null")))),
     ]
     errors = F.array_compact(F.array(*(F.when(c, m) for c, m in checks)))
     return s.select("self_study_id", F.explode(errors).alias("error"))

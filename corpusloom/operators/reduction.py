@@ -19,6 +19,26 @@ SUMMARY = "struct<input_candidate_count:bigint,accepted_count:bigint,pruned_coun
 DECISION = f"scope_id string, artifact_type string, schema_version string, input_candidate_ids array<string>, accepted_concepts array<{CONCEPT}>, accepted array<{CONCEPT}>, candidate_assignments array<{ASSIGNMENT}>, pruned array<struct<candidate_id:string>>, summary {SUMMARY}"
 #: What names a decision.
 ARTIFACT_TYPE, SCHEMA_VERSION = "semantic_reduce_decision", "semantic_reduce_decision.v0"
+#: What is wrong with a decision, behind the place that it names, in the order in which it is looked for.
+SAYS = {
+    "no_id": ".id is required",
+    "id_twice": ".id is duplicated",
+    "no_criteria": ".coverage_criteria must contain at least one string",
+    "no_sources": ".source_candidate_ids must contain candidate IDs",
+    "odd_source": ".source_candidate_ids references unknown candidate ",
+    "source_twice": ".source_candidate_ids contains duplicates: ",
+    "no_candidate": ".candidate_id is required",
+    "odd_candidate": ".candidate_id references unknown candidate ",
+    "odd_status": ".status must be one of ",
+    "no_accepted": ".accepted_ids must reference at least one accepted concept",
+    "no_target": ".merged_into is required",
+    "odd_reason": ".reason must be a controlled Candidate Pruning Reason",
+    "no_explanation": ".explanation is required",
+    "pruned_evidence": ".candidate_id cannot be pruned because it is used as accepted evidence",
+    "review_evidence": ".candidate_id cannot require review because it is used as accepted evidence",
+    "odd_concept": " references unknown accepted concept ",
+    "uncited": ".candidate_id must appear in accepted_concepts source_candidate_ids for ",
+}
 
 
 def registry(sources: DataFrame) -> DataFrame:
@@ -108,13 +128,13 @@ def validate_reduce_decision(decisions: DataFrame, registries: DataFrame) -> Dat
         before = F.transform(F.slice("_acc", F.lit(1), i), lambda y: text(y["id"]))
         listed = F.coalesce(F.size(x["source_candidate_ids"]) > 0, F.lit(False))
         head = _said(
-            (text(x["id"]) == "", here(".id is required")), ((text(x["id"]) != "") & F.array_contains(before, text(x["id"])), here(".id is duplicated")),
+            (text(x["id"]) == "", here(SAYS["no_id"])), ((text(x["id"]) != "") & F.array_contains(before, text(x["id"])), here(SAYS["id_twice"])),
             *((F.trim(text(x[f])) == "", here(f".{f} is required")) for f in ("label", "description", "merge_rationale")),
-            (~_filled(x["coverage_criteria"]), here(".coverage_criteria must contain at least one string")), (~listed, here(".source_candidate_ids must contain candidate IDs")),
+            (~_filled(x["coverage_criteria"]), here(SAYS["no_criteria"])), (~listed, here(SAYS["no_sources"])),
         )
-        source = lambda y: F.when(text(y) == "", here(".source_candidate_ids must contain candidate IDs")).when(~inside(y), here(F.concat(F.lit(".source_candidate_ids references unknown candidate "), y)))
+        source = lambda y: F.when(text(y) == "", here(SAYS["no_sources"])).when(~inside(y), here(F.concat(F.lit(SAYS["odd_source"]), y)))
         each = F.array_compact(F.transform(F.coalesce(x["source_candidate_ids"], F.array().cast("array<string>")), source))
-        twice = _said((F.size(_repeated(x["valid"])) > 0, here(F.concat(F.lit(".source_candidate_ids contains duplicates: "), F.array_join(_repeated(x["valid"]), ", ")))))
+        twice = _said((F.size(_repeated(x["valid"])) > 0, here(F.concat(F.lit(SAYS["source_twice"]), F.array_join(_repeated(x["valid"]), ", ")))))
         return F.concat(head, each, twice)
 
     def assignment(x: Column, i: Column) -> Column:
@@ -126,18 +146,18 @@ def validate_reduce_decision(decisions: DataFrame, registries: DataFrame) -> Dat
         refs = F.when(status == "used_in", named).when(status == "merged_into", into).when(known, named).otherwise(F.array().cast("array<string>"))
         unexplained, cited = F.trim(text(x["explanation"])) == "", F.array_contains("_used", id_)
         head = _said(
-            (id_ == "", here(".candidate_id is required")), ((id_ != "") & ~inside(id_), here(F.concat(F.lit(".candidate_id references unknown candidate "), id_))),
-            (~known, here(".status must be one of " + ", ".join(sorted(STATUSES)))),
-            ((status == "used_in") & (F.size(named) == 0), here(".accepted_ids must reference at least one accepted concept")),
-            ((status == "merged_into") & (text(x["merged_into"]) == ""), here(".merged_into is required")),
-            ((status == "pruned") & ~text(x["reason"]).isin(*PRUNING_REASONS), here(".reason must be a controlled Candidate Pruning Reason")),
-            (status.isin("pruned", "review") & unexplained, here(".explanation is required")),
-            ((status == "pruned") & cited, here(".candidate_id cannot be pruned because it is used as accepted evidence")),
-            ((status == "review") & cited, here(".candidate_id cannot require review because it is used as accepted evidence")),
+            (id_ == "", here(SAYS["no_candidate"])), ((id_ != "") & ~inside(id_), here(F.concat(F.lit(SAYS["odd_candidate"]), id_))),
+            (~known, here(SAYS["odd_status"] + ", ".join(sorted(STATUSES)))),
+            ((status == "used_in") & (F.size(named) == 0), here(SAYS["no_accepted"])),
+            ((status == "merged_into") & (text(x["merged_into"]) == ""), here(SAYS["no_target"])),
+            ((status == "pruned") & ~text(x["reason"]).isin(*PRUNING_REASONS), here(SAYS["odd_reason"])),
+            (status.isin("pruned", "review") & unexplained, here(SAYS["no_explanation"])),
+            ((status == "pruned") & cited, here(SAYS["pruned_evidence"])),
+            ((status == "review") & cited, here(SAYS["review_evidence"])),
         )
         with_sources = lambda ref: F.filter("_acc", lambda y: (text(y["id"]) == ref) & F.coalesce(F.size(y["source_candidate_ids"]) > 0, F.lit(False)))
         cites = lambda ref: F.coalesce(F.array_contains(F.try_element_at(with_sources(ref), F.lit(-1))["valid"], id_), F.lit(False))
-        ref = lambda r: F.when(~F.array_contains("_acc_ids", r), here(F.concat(F.lit(" references unknown accepted concept "), r))).when((id_ != "") & ~cites(r), here(F.concat(F.lit(".candidate_id must appear in accepted_concepts source_candidate_ids for "), r)))
+        ref = lambda r: F.when(~F.array_contains("_acc_ids", r), here(F.concat(F.lit(SAYS["odd_concept"]), r))).when((id_ != "") & ~cites(r), here(F.concat(F.lit(SAYS["uncited"]), r)))
         return F.concat(head, F.array_compact(F.transform(refs, ref)))
 
     known = lambda f: F.filter(F.transform("_asg", f), lambda x: x.isNotNull())

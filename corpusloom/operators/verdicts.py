@@ -15,6 +15,28 @@ _STRINGS = "array<string>"
 PAIRED_REASONS = ("over_merged_group", "residual_duplicate", "missed_obvious_merge")
 #: Reasons of pruning that confirm it when they are given again.
 CONFIRMING_REASONS = ("unrelated", "low_teaching_value", "unsupported_lesson_intent", "incidental")
+#: What is wrong with an answer, behind the place that it names, in the order in which it is looked for.
+SAYS = {
+    "no_label": ".label is required",
+    "no_concepts": ".concept_ids must not be empty",
+    "blank_concept": ".concept_ids must contain Concept IDs",
+    "odd_concept": ".concept_ids references unknown Concept ID: ",
+    "other_label": ".label must preserve the planner label",
+    "other_members": ".concept_ids must preserve the planner Segment membership",
+    "not_target": ".candidate_id must be one of the target candidates",
+    "review": ".status must not be review",
+    "no_reference": " must reference an accepted concept",
+    "odd_reference": " references unknown accepted concept ",
+    "odd_reason": ".reason must be a controlled pruning reason",
+    "odd_status": ".status must be used_in, merged_into, or pruned",
+    "no_criteria": ".coverage_criteria must contain at least one string",
+    "no_sources": ".source_candidate_ids must contain target candidate IDs",
+    "odd_source": ".source_candidate_ids must only contain target candidate IDs",
+    "odd_repair": ".repair_reason is not allowed",
+    "one_id": ".candidate_ids must contain at least two IDs for ",
+    "odd_ids": ".candidate_ids references unknown candidates: ",
+    "no_explanation": ".explanation is required",
+}
 
 
 def _none(kind: str = _STRINGS) -> Column:
@@ -31,8 +53,8 @@ def segment_errors(rows: DataFrame, name: str = "lesson_segment_decision") -> Da
 
     def one(x: Column, i: Column) -> Column:
         here = lambda rest: F.concat(F.lit(f"{name}.segments["), i.cast("string"), F.lit("]"), rest if isinstance(rest, Column) else F.lit(rest))
-        head = _said((F.trim(text(x["label"])) == "", here(".label is required")), (F.coalesce(F.size(x["concept_ids"]), F.lit(0)) <= 0, here(".concept_ids must not be empty")))
-        each = F.transform(F.coalesce(x["concept_ids"], _none()), lambda y: F.when(text(y) == "", here(".concept_ids must contain Concept IDs")).when(~known(y), here(F.concat(F.lit(".concept_ids references unknown Concept ID: "), y))))
+        head = _said((F.trim(text(x["label"])) == "", here(SAYS["no_label"])), (F.coalesce(F.size(x["concept_ids"]), F.lit(0)) <= 0, here(SAYS["no_concepts"])))
+        each = F.transform(F.coalesce(x["concept_ids"], _none()), lambda y: F.when(text(y) == "", here(SAYS["blank_concept"])).when(~known(y), here(F.concat(F.lit(SAYS["odd_concept"]), y))))
         return F.concat(head, F.array_compact(each))
 
     seen = F.filter(F.flatten(F.transform("segments", lambda x: F.coalesce(x["concept_ids"], _none()))), lambda x: text(x) != "")
@@ -55,7 +77,7 @@ def orderer_errors(rows: DataFrame, name: str = "lesson_segment_concept_orderer_
 
     def one(x: Column, i: Column) -> Column:
         here = lambda rest: F.concat(F.lit(f"{name}.segments["), i.cast("string"), F.lit("]" + rest))
-        return _said((~x["p"]["label"].eqNullSafe(x["s"]["label"]), here(".label must preserve the planner label")), (as_set(x["p"]["concept_ids"]) != as_set(x["s"]["concept_ids"]), here(".concept_ids must preserve the planner Segment membership")))
+        return _said((~x["p"]["label"].eqNullSafe(x["s"]["label"]), here(SAYS["other_label"])), (as_set(x["p"]["concept_ids"]) != as_set(x["s"]["concept_ids"]), here(SAYS["other_members"])))
 
     both = F.transform(F.arrays_zip(F.col("planned").alias("p"), F.col("segments").alias("s")), lambda x: F.struct(x["p"].alias("p"), x["s"].alias("s")))
     same = F.when(F.size("planned") != F.coalesce(F.size("segments"), F.lit(0)), F.array(F.lit(f"{name} must preserve Segment count"))).otherwise(F.flatten(F.transform(both, one)))
@@ -75,17 +97,17 @@ def repair_errors(rows: DataFrame, name: str = "lesson_reconciliation_quality_re
         here = lambda rest: F.concat(F.lit("candidate_assignments["), i.cast("string"), F.lit("]"), rest if isinstance(rest, Column) else F.lit(rest))
         status = text(x["status"])
         refs = F.when(status == "merged_into", F.array(text(x["merged_into"]))).when(status == "used_in", F.coalesce(x["accepted_ids"], _none())).otherwise(_none())
-        head = _said((~target(text(x["candidate_id"])), here(".candidate_id must be one of the target candidates")), (status == "review", here(".status must not be review")), (status.isin("used_in", "merged_into") & (F.size(refs) == 0), here(" must reference an accepted concept")))
-        each = F.transform(refs, lambda y: F.when(~F.array_contains("_new", y) & ~F.array_contains("existing_ids", y), here(F.concat(F.lit(" references unknown accepted concept "), y))))
-        tail = _said(((status == "pruned") & ~text(x["reason"]).isin(*PRUNING_REASONS), here(".reason must be a controlled pruning reason")), (~status.isin("review", "used_in", "merged_into", "pruned"), here(".status must be used_in, merged_into, or pruned")))
+        head = _said((~target(text(x["candidate_id"])), here(SAYS["not_target"])), (status == "review", here(SAYS["review"])), (status.isin("used_in", "merged_into") & (F.size(refs) == 0), here(SAYS["no_reference"])))
+        each = F.transform(refs, lambda y: F.when(~F.array_contains("_new", y) & ~F.array_contains("existing_ids", y), here(F.concat(F.lit(SAYS["odd_reference"]), y))))
+        tail = _said(((status == "pruned") & ~text(x["reason"]).isin(*PRUNING_REASONS), here(SAYS["odd_reason"])), (~status.isin("review", "used_in", "merged_into", "pruned"), here(SAYS["odd_status"])))
         return F.concat(head, F.array_compact(each), tail)
 
     def concept(x: Column, i: Column) -> Column:
         here = lambda rest: F.concat(F.lit("new_accepted_concepts["), i.cast("string"), F.lit("]" + rest))
         sources = F.coalesce(x["source_candidate_ids"], _none())
         return _said(
-            *((F.trim(text(x[f])) == "", here(f".{f} is required")) for f in ("id", "label", "description", "merge_rationale")), (~_filled(x["coverage_criteria"]), here(".coverage_criteria must contain at least one string")),
-            (F.size(sources) == 0, here(".source_candidate_ids must contain target candidate IDs")), (F.exists(sources, lambda y: ~target(y)), here(".source_candidate_ids must only contain target candidate IDs")),
+            *((F.trim(text(x[f])) == "", here(f".{f} is required")) for f in ("id", "label", "description", "merge_rationale")), (~_filled(x["coverage_criteria"]), here(SAYS["no_criteria"])),
+            (F.size(sources) == 0, here(SAYS["no_sources"])), (F.exists(sources, lambda y: ~target(y)), here(SAYS["odd_source"])),
         )
 
     missing = F.array_sort(F.array_except("target_candidate_ids", "_ids"))
@@ -108,8 +130,8 @@ def subject_audit_errors(audits: DataFrame, registries: DataFrame, name: str = "
         here = lambda rest: F.concat(F.lit(f"{name}.repair_plan["), i.cast("string"), F.lit("]"), rest if isinstance(rest, Column) else F.lit(rest))
         reason, unknown = text(x["repair_reason"]), F.array_sort(F.array_except(x["candidate_ids"], F.col("_k")))
         return _said(
-            (~reason.isin(*AUDIT_REASONS), here(".repair_reason is not allowed")), (reason.isin(*PAIRED_REASONS) & (F.size(x["candidate_ids"]) < 2), here(F.concat(F.lit(".candidate_ids must contain at least two IDs for "), reason))),
-            (F.size(unknown) > 0, here(F.concat(F.lit(".candidate_ids references unknown candidates: "), _listed(unknown)))), (F.trim(text(x["explanation"])) == "", here(".explanation is required")),
+            (~reason.isin(*AUDIT_REASONS), here(SAYS["odd_repair"])), (reason.isin(*PAIRED_REASONS) & (F.size(x["candidate_ids"]) < 2), here(F.concat(F.lit(SAYS["one_id"]), reason))),
+            (F.size(unknown) > 0, here(F.concat(F.lit(SAYS["odd_ids"]), _listed(unknown)))), (F.trim(text(x["explanation"])) == "", here(SAYS["no_explanation"])),
         )
 
     head = _said(
