@@ -196,7 +196,7 @@ class ShardStore:
         stay = versions[-keep:]
         used, named = set(), {self._named(v) for v in stay}
         for v in stay:
-            used |= {r[0] for r in self.manifest(v).select(F.regexp_extract("path", r"/data/(.+)/[^/]+$", 1)).distinct().toLocalIterator()}
+            used |= {r[0] for r in self.manifest(v).select(F.regexp_extract("path", r"^.*/data/(.+)/[^/]+$", 1)).distinct().toLocalIterator()}
         for v in versions[:-keep]:
             self._fs.delete(self._path(f"{self.root}/versions/{v:012d}"), False)
         old = lambda x: x.getModificationTime() / 1000 <= time.time() - grace_seconds
@@ -225,7 +225,7 @@ class ShardStore:
         rows = self.spark.read.parquet(*paths)
         if not with_shard:
             return rows
-        return rows.withColumn(free_name(rows.columns, "_shard"), F.regexp_extract(F.input_file_name(), r"/data/(.+)$", 1))
+        return rows.withColumn(free_name(rows.columns, "_shard"), F.regexp_extract(F.input_file_name(), r"^.*/data/(.+)$", 1))
 
 
 def shard(rows: DataFrame, root: str, arrivals: int = 4, key: str = "doc_id", **options) -> ShardStore | None:

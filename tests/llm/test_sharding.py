@@ -138,3 +138,12 @@ def test_merges_are_those_of_the_tiers(spark):
     new = [after[p] for p in after.keys() - before.keys()]
     assert sum(r["rows"] for r in new) == sum(before[p]["rows"] for p in gone)
     assert len(new) <= sum(max(1, round(sum(before[p]["bytes"] for p in paths) / 60_000)) for paths in merged.values())
+
+
+def test_a_store_below_a_folder_of_the_same_name(spark):
+    data = docs(spark, ODD).select("doc_id", "text")
+    store = sharding.shard(data, f"{scratch(spark, 'lake')}/data/of/data/store", target_bytes=2000, base_bytes=100, least_runs=2)
+    store.vacuum(grace_seconds=0)
+    out = store.read(with_shard=True)
+    assert rows_of(out, ["doc_id", "text"]) == rows_of(data, ["doc_id", "text"])
+    assert {len(r._shard.split("/")) for r in out.collect()} <= {2, 3}
