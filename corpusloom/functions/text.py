@@ -50,10 +50,15 @@ def collapse_space(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(text(c), r"\s+", " "))
 
 
+def strip(c: Column | str) -> Column:
+    """A text without white space around it; null for null."""
+    return F.btrim(col(c), F.lit(" \t\n\r\f\x0b"))
+
+
 def normalize_text(c: Column | str) -> Column:
     """Line feeds only, no trailing blanks on lines, at most one empty line in a row, trimmed."""
     lines = F.regexp_replace(F.regexp_replace(text(c), r"\r\n?", "\n"), r"[ \t]+\n", "\n")
-    return F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
 
 
 def normalize_lines(c: Column | str) -> Column:

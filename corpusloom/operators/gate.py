@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import markdown_images, text, word_count
+from corpusloom.functions.text import markdown_images, strip, text, word_count
 
 MIN_WORDS, MAX_WORDS, MAX_IMAGES, AUTH_WORDS, ERROR_WORDS, PROBE_CHARS = 150, 35_000, 150, 1200, 1000, 4000
 
@@ -64,7 +64,7 @@ def with_flags(rows: DataFrame, content: str, requested_title: Column, found_tit
     What several flags look at (the trimmed text, its lower case, its words, the probe) is a column of its own below
     them, so it is made once a row.
     """
-    r = rows.withColumns({"_body": F.regexp_replace(text(content), r"^\s+|\s+$", ""), "_titles": F.concat_ws("\n", text(found_title), text(requested_title)), "_strategy": text(strategy)})
+    r = rows.withColumns({"_body": strip(text(content)), "_titles": F.concat_ws("\n", text(found_title), text(requested_title)), "_strategy": text(strategy)})
     r = r.withColumns({"_words": word_count("_body"), "_low": F.lower("_body"), "_images": markdown_images("_body")})
     r = r.withColumn("_probe", F.concat_ws("\n", F.lower("_titles"), F.left("_low", F.lit(PROBE_CHARS))))
     body, words, low, probe = F.col("_body"), F.col("_words"), F.col("_low"), F.col("_probe")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import collapse_space, containment, jaccard, overlap_tokens, text
+from corpusloom.functions.text import collapse_space, containment, jaccard, overlap_tokens, strip, text
 from corpusloom.functions.times import section_timestamp, timestamp_label
 
 _STAMP = r"\d{1,2}:\d{2}(?::\d{2})?(?:\.\d{1,3})?"
@@ -94,7 +94,7 @@ def unusable_reasons(said: Column, duration: Column, language: Column) -> Column
     """Why a recognised text is of no use: empty; too few words for a minute or more; one line or phrase over and over;
     English boilerplate where the preferred language is Portuguese. Nothing for a usable one."""
     words = F.regexp_count(F.lower(text(said)), F.lit(r"[\p{L}\p{M}\p{N}_']+"))
-    split = lambda sign: F.filter(F.transform(F.split(F.lower(text(said)), sign), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    split = lambda sign: F.filter(F.transform(F.split(F.lower(text(said)), sign), strip), lambda x: x != "")
     lines, phrases = split(r"[\r\n]+"), split(r"[.!?]+")
     over = lambda units: (F.size(units) >= 3) & (_dominant(units) >= 0.75)
     flags = [
