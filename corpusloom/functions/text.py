@@ -182,3 +182,13 @@ def yaml_scalar(c: Column | str) -> Column:
     c = col(c)
     plain = c.rlike(r"^[A-Za-z0-9][A-Za-z0-9 _./-]*$") & ~F.lower(c).isin("true", "false", "null", "yes", "no")
     return F.when(c.isNull(), "null").when(plain, c).otherwise(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
+
+
+def directory_name(c: Column | str, default: str = "cluster") -> Column:
+    """An identifier as a folder's name: other characters than letters, digits, '_', '.' and '-' are one underscore."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(text(c), r"[^A-Za-z0-9_.-]+", "_"), r"^[._]+|[._]+$", ""), F.lit("")), F.lit(default))
+
+
+def id_fragment(c: Column | str, default: str = "candidate") -> Column:
+    """A part for an identifier: other characters than letters, digits and '_' are one underscore."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(text(c), r"[^a-zA-Z0-9_]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit(default))

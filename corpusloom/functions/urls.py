@@ -142,3 +142,29 @@ def first_url(c):
     """The first address in a text, without the punctuation after it; null if there is none."""
     found = F.regexp_replace(F.regexp_extract(text(c), r"(https?://[^\s\"'<>]+)", 1), r"[),.;]+$", "")
     return F.nullif(found, F.lit(""))
+
+
+#: Kinds of images that models are not sent.
+UNSUPPORTED_IMAGES = ("svg", "bmp")
+
+
+def is_supported_image(url):
+    return ~F.lower(F.regexp_extract(path(url), r"\.([A-Za-z0-9]+)$", 1)).isin(*UNSUPPORTED_IMAGES)
+
+
+def normalize_remote(url):
+    """Of an http(s) address: scheme and host in lower case, single slashes, a sorted query, no parameters or fragment. Others as they are."""
+    q = sorted_query(url)
+    p = F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(path(url), F.lit("")), F.lit("/")), r";[^/]*$", ""), "/{2,}", "/")
+    made = F.concat(scheme(url), F.lit("://"), netloc(url), p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.when(scheme(url).isin("http", "https"), made).otherwise(F.trim(text(url)))
+
+
+def media_source(url):
+    """What a model is given as a video's address: the plain form of a video on YouTube, others as they are."""
+    return F.coalesce(youtube_watch_url(url), text(url))
+
+
+def is_translated(url):
+    """A caption track that asks for a translation."""
+    return F.regexp_extract(F.concat(F.lit("&"), query(url)), r"&tlang=([^&]+)", 1) != ""

@@ -128,3 +128,15 @@ TRANSIENT_MARKERS = ("HTTP 429", "HTTP 503", "request timed out", "request faile
 
 def is_transient(message: Column) -> Column:
     return text(message).rlike("|".join(TRANSIENT_MARKERS))
+
+
+#: Warnings of a transcript by where it is from, and those that have a language.
+SOURCE_WARNINGS = {"auto_captions": "auto_captions", "local_whisper": "local_whisper_fallback", "video_ocr": "video_ocr_fallback"}
+CAPTION_SOURCES = ("manual_captions", "auto_captions")
+
+
+def video_warnings(source: Column, language: Column, n_segments: Column, words: Column, duration: Column) -> Column:
+    """Warnings of a video's transcript, in order; sparse: no segments, or few words for more than a minute."""
+    of = F.create_map(*(F.lit(x) for kv in SOURCE_WARNINGS.items() for x in kv))
+    few = (n_segments == 0) | ((duration > 60) & (words < F.greatest(F.lit(15), F.floor(duration / 4))))
+    return F.array_compact(F.array(F.try_element_at(of, source), F.when(source.isin(*CAPTION_SOURCES) & (text(language) == ""), "caption_language_unknown"), F.when(F.coalesce(few, F.lit(False)), "sparse_transcript")))

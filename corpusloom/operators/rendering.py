@@ -224,3 +224,20 @@ def normalize_model_markdown(c: Column | str) -> Column:
     """A model's markdown without the fence around it, ending in one newline."""
     body = F.regexp_replace(F.regexp_replace(text(c), r"^\s*```(?:markdown|md)?\s*\n", ""), r"\n```\s*$", "")
     return F.concat(F.regexp_replace(body, r"\s+$", ""), F.lit("\n"))
+
+
+#: What stands before what is said and what is shown in a section.
+SPOKEN, ON_SCREEN = "**Spoken content:**", "**On-screen content:**"
+
+
+def replace_spoken(section: Column, said: Column) -> Column:
+    """A section with what is said put in its place: instead of what stood there, before what is shown, or at the end."""
+    low = F.lower(section)
+    spoken, shown = F.locate(SPOKEN.lower(), low), F.locate(ON_SCREEN.lower(), low)
+    block = F.concat(F.lit(f"{SPOKEN}\n"), said, F.lit("\n"))
+    rest = F.substr(section, shown)
+    start = F.when((spoken > 0) & (spoken < shown), spoken).otherwise(shown)
+    return (
+        F.when(shown > 0, F.concat(F.left(section, start - 1), block, F.lit("\n"), rest))
+        .when(spoken > 0, F.concat(F.left(section, spoken - 1), block)).otherwise(F.concat(F.regexp_replace(section, r"\s+$", ""), F.lit("\n\n"), block))
+    )

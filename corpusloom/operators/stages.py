@@ -95,3 +95,10 @@ def merge_summary(entries: DataFrame, concepts: DataFrame, assignments: DataFram
     one = lambda df, name: df.groupBy("scope_id").agg(F.count("*").alias(name))
     by = assignments.groupBy("scope_id").agg(F.count_if(F.col("status") == "pruned").alias("pruned_candidate_count"), F.count_if(F.col("status") == "review").alias("review_candidate_count"))
     return one(entries, "input_candidate_count").join(one(concepts, "concept_count"), "scope_id", "left").join(by, "scope_id", "left").na.fill(0)
+
+
+def segment_warnings(lessons: DataFrame, most: int = 5) -> DataFrame:
+    """(lesson_id, segment_index, label, concept_count) of segments (array of structs with label, concept_ids) that have so many concepts or more."""
+    each = lessons.select("lesson_id", F.posexplode("segments").alias("_p", "_s"))
+    n = F.coalesce(F.size("_s.concept_ids"), F.lit(0))
+    return each.where(n >= most).select("lesson_id", (F.col("_p") + 1).alias("segment_index"), F.col("_s.label").alias("label"), n.alias("concept_count"))

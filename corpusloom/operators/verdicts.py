@@ -189,3 +189,48 @@ def confirmed_repairs(audits: DataFrame, decisions: DataFrame, flag: str = "over
     one = decisions.groupBy("scope_id").agg(F.count("*").alias("_n"), F.bool_and(whole & (F.col("repair_reason") == flag)).alias("_ok"))
     only = lambda c: as_set(F.coalesce(c, _none())) == F.array(F.lit(flag))
     return audits.join(one, "scope_id", "left").select("scope_id", F.coalesce(only("flags_before") & only("flags_after") & (F.col("_n") == 1) & F.col("_ok"), F.lit(False)).alias("confirmed"))
+
+
+#: Patterns of workbook labels, and where each may be listed.
+LABEL_PATTERNS = ("prerequisite_hint", "lesson_cluster", "application_adjacent_signal", "ignored_ambiguous")
+LISTED_AS = {"prerequisite_hint": "active prerequisite hint", "lesson_cluster": "active lesson cluster", "application_adjacent_signal": "audit-only application/adjacent label", "ignored_ambiguous": "ignored label"}
+
+
+def label_errors(labels: DataFrame, listed: DataFrame, name: str = "workbook_label_interpretation") -> DataFrame:
+    """(scope_id, error) of labels (scope_id, label, pattern, rationale, contexts) and of lists made of them (scope_id, pattern, label).
+
+    A label comes once, with a known pattern, a rationale and a context; a list holds labels of its own pattern only.
+    """
+    shown = F.concat(F.lit(f"{name} label '"), F.coalesce("label", F.lit("None")), F.lit("' "))
+    rows = labels.select("scope_id", F.explode(_said(
+        (text("label") == "", f"{name}.interpretations[].label is required"), (~F.coalesce(F.col("pattern").isin(*LABEL_PATTERNS), F.lit(False)), F.concat(shown, F.lit("has invalid pattern: "), F.coalesce("pattern", F.lit("None")))),
+        (text("rationale") == "", F.concat(shown, F.lit("requires rationale"))), (F.coalesce(F.size("contexts"), F.lit(0)) <= 0, F.concat(shown, F.lit("requires workbook context"))),
+    )).alias("error"))
+    twice = labels.groupBy("scope_id").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("label", F.lit("\0"))).alias("d")).where("n <> d").select("scope_id", F.lit(f"{name}.interpretations contains duplicate labels").alias("error"))
+    own = labels.groupBy("scope_id", "label").agg(F.collect_set("pattern").alias("_p"))
+    of = F.create_map(*(F.lit(x) for kv in LISTED_AS.items() for x in kv))
+    wrong = listed.join(own, ["scope_id", "label"], "left").where(~F.coalesce(F.array_contains("_p", F.col("pattern")), F.lit(False)))
+    return rows.unionByName(twice).unionByName(wrong.select("scope_id", F.concat(F.try_element_at(of, F.col("pattern")), F.lit(" '"), "label", F.lit("' is not classified as "), "pattern").alias("error")))
+
+
+def quality_audit_errors(audits: DataFrame, scores: tuple[str, ...], name: str, flags: tuple[str, ...] | None = None) -> DataFrame:
+    """(scope_id, errors) of quality audits (scope_id, scores, reliability, findings, and repair_instructions, or with flags
+    flags and repair_plan): whole scores from 0 to 3, a known reliability, lists where lists have to be."""
+    plan = "repair_instructions" if flags is None else "repair_plan"
+    known = F.col("reliability").isin("reliable", "repair_required")
+    checks = [(~F.coalesce(F.col(f"scores.{f}").between(0, 3), F.lit(False)), f"{name}.scores.{f} must be an integer from 0 to 3") for f in scores]
+    checks.append((~F.coalesce(known, F.lit(False)), f"{name}.reliability must be reliable or repair_required"))
+    odd = F.array().cast(_STRINGS)
+    if flags is not None:
+        checks.append((F.col("flags").isNull(), f"{name}.flags must be a list"))
+        odd = F.transform(F.filter(F.coalesce("flags", _none()), lambda x: ~x.isin(*flags)), lambda x: F.concat(F.lit(f"{name}.flags contains unknown flag: "), x))
+    tail = _said((F.col("findings").isNull(), f"{name}.findings must be a list"), (F.col(plan).isNull(), f"{name}.{plan} must be a list"), ((F.col("reliability") == "repair_required") & (F.coalesce(F.size(plan), F.lit(0)) <= 0), f"{name}.repair_required requires {plan}"))
+    return audits.select("scope_id", F.concat(_said(*checks), odd, tail).alias("errors"))
+
+
+def depth_findings(cited: DataFrame) -> DataFrame:
+    """(scope_id, finding, candidate_id): candidates of concepts (scope_id, concept_id, candidate_id, depth) that were merged
+    across depths (over_merged_group), and of those that mix definitions with others (granularity_violation)."""
+    of = cited.groupBy("scope_id", "concept_id").agg(F.count("*").alias("_n"), F.count_distinct("depth").alias("_d"), F.bool_or(F.col("depth") == "definition").alias("_plain"))
+    wide = of.where("_n >= 2 and _d > 1").select("scope_id", "concept_id", F.when(F.col("_plain"), F.array(F.lit("over_merged_group"), F.lit("granularity_violation"))).otherwise(F.array(F.lit("over_merged_group"))).alias("_f"))
+    return cited.join(wide, ["scope_id", "concept_id"]).select("scope_id", F.explode("_f").alias("finding"), "candidate_id")

@@ -191,3 +191,74 @@ def route_flags(t: Tables) -> DataFrame:
     notes = F.array_compact(F.array(F.when(k % 2 == 0, "github_blob_pdf_to_raw"), F.when(k % 3 == 0, "pdf_mode_ocr"), F.lit("pdf_mode")))
     found = gate.with_flags(t.part.select("p_partkey", F.lit(" ").alias("content"), notes.alias("notes")), "content", F.lit("a"), F.lit("b"), F.lit("pdf"), route_notes=F.col("notes"))
     return found.select("p_partkey", F.array_join("flags", ",").alias("flags"))
+
+
+@query(r"""select p_partkey, p_partkey % 3 <> 0 as supported, case when p_partkey % 4 = 0 then 'mailto:X@y' else 'https://h.com/a/b' || case when p_partkey % 2 = 0 then '?a=' || p_size || '&b=1' else '' end end as remote, case when p_partkey % 2 = 0 then 'https://www.youtube.com/watch?v=abc' || p_partkey || 'xyz' else 'http://v/' || p_partkey end as media, p_partkey % 5 = 0 as translated,
+  replace(p_brand, '#', '_') || '_' || p_size as folder, replace(p_brand, '#', '_') as fragment from part""")
+def address_rules(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    image = F.concat(F.lit("http://i/x."), F.when(k % 3 == 0, F.when(k % 2 == 0, "SVG").otherwise("bmp")).otherwise("png"), F.lit("?v=.svg"))
+    remote = F.when(k % 4 == 0, " mailto:X@y ").otherwise(F.concat(F.lit(" HTTPS://H.com//a///b"), F.when(k % 2 == 0, F.concat(F.lit("?b=1&a="), "p_size")).otherwise(""), F.lit("#f")))
+    video = F.when(k % 2 == 0, F.concat(F.lit("https://youtu.be/abc"), k, F.lit("xyz?t=1"))).otherwise(F.concat(F.lit("http://v/"), k))
+    track = F.concat(F.lit("http://c/?a=1"), F.when(k % 5 == 0, "&tlang=pt").otherwise("&tlang="))
+    return t.part.select("p_partkey", urls.is_supported_image(image).alias("supported"), urls.normalize_remote(remote).alias("remote"), urls.media_source(video).alias("media"), urls.is_translated(track).alias("translated"), X.directory_name(F.concat(F.lit("._"), "p_brand", F.lit("_"), "p_size", F.lit("!?"))).alias("folder"), X.id_fragment(F.concat(F.lit("-"), "p_brand", F.lit("-"))).alias("fragment"))
+
+
+@query("""select conv_id, turn, case turn % 4 when 0 then 'a' || chr(10) || '**Spoken content:**' || chr(10) || role || chr(10) || chr(10) || '**On-screen content:** x' when 1 then 'b' || chr(10) || '**Spoken content:**' || chr(10) || role || chr(10) || chr(10) || '**on-screen content:** y' when 2 then 'c' || chr(10) || '**Spoken content:**' || chr(10) || role || chr(10) else 'd' || chr(10) || chr(10) || '**Spoken content:**' || chr(10) || role || chr(10) end as section from conversations""")
+def spoken_sections(t: Tables) -> DataFrame:
+    k = F.col("turn") % 4
+    section = F.when(k == 0, "a\n**spoken content:** old\n**On-screen content:** x").when(k == 1, "b\n**on-screen content:** y").when(k == 2, "c\n**Spoken Content:** old").otherwise("d \n ")
+    return t.conversations.select("conv_id", "turn", rendering.replace_spoken(section, F.col("role")).alias("section"))
+
+
+@query("""select event_id, array_to_string(list_filter([case event_id % 4 when 1 then 'auto_captions' when 2 then 'local_whisper_fallback' when 3 then 'video_ocr_fallback' end, case when event_id % 4 < 2 and event_id % 3 = 0 then 'caption_language_unknown' end, case when event_id % 5 = 0 or event_id % 7 = 0 then 'sparse_transcript' end], lambda x: x is not null), ',') as warnings from events""")
+def video_warnings(t: Tables) -> DataFrame:
+    k = F.col("event_id")
+    source = F.when(k % 4 == 0, "manual_captions").when(k % 4 == 1, "auto_captions").when(k % 4 == 2, "local_whisper").otherwise("video_ocr")
+    found = media.video_warnings(source, F.when(k % 3 != 0, "pt"), F.when(k % 5 == 0, 0).otherwise(9), F.when(k % 7 == 0, 20).otherwise(90), F.when(k % 2 == 0, 100.0).otherwise(300.0))
+    return t.events.select("event_id", F.array_join(found, ",").alias("warnings"))
+
+
+@query("""with l as (select p_brand as s, p_partkey as k, case when p_partkey % 11 = 0 then '' else p_name || p_partkey end as label, case p_partkey % 5 when 0 then 'odd' when 1 then 'lesson_cluster' else 'prerequisite_hint' end as pattern from part)
+select s as scope_id, 'w.interpretations[].label is required' as error from l where label = '' union all select s, 'w label ''' || label || ''' has invalid pattern: odd' from l where pattern = 'odd' union all select s, 'w label ''' || label || ''' requires rationale' from l where k % 7 = 0
+union all select s, 'w label ''' || label || ''' requires workbook context' from l where k % 13 = 0 union all select s, 'w.interpretations contains duplicate labels' from l group by s having count(*) <> count(distinct label) union all select s, 'active lesson cluster ''' || label || ''' is not classified as lesson_cluster' from l where k % 3 = 0 and label <> '' and pattern <> 'lesson_cluster'""")
+def label_errors(t: Tables) -> DataFrame:
+    from corpusloom.operators import verdicts
+
+    k = F.col("p_partkey")
+    name = F.when(k % 11 == 0, "").otherwise(F.concat("p_name", k))
+    rows = t.part.select(F.col("p_brand").alias("scope_id"), name.alias("label"), F.when(k % 5 == 0, "odd").when(k % 5 == 1, "lesson_cluster").otherwise("prerequisite_hint").alias("pattern"), F.when(k % 7 != 0, "why").alias("rationale"), F.when(k % 13 == 0, F.array().cast(_STRINGS)).otherwise(F.array("p_type")).alias("contexts"))
+    listed = t.part.where((k % 3 == 0) & (k % 11 != 0)).select(F.col("p_brand").alias("scope_id"), F.lit("lesson_cluster").alias("pattern"), name.alias("label"))
+    return verdicts.label_errors(rows, listed, "w")
+
+
+@query("""select o_orderkey as scope_id, 'q.scores.clarity must be an integer from 0 to 3' as error from orders where o_orderkey % 5 = 4 or o_orderkey % 7 = 0 union all select o_orderkey, 'q.reliability must be reliable or repair_required' from orders where o_orderkey % 3 = 0
+union all select o_orderkey, 'q.flags contains unknown flag: odd' from orders where o_orderkey % 2 = 0 union all select o_orderkey, 'q.findings must be a list' from orders where o_orderkey % 11 = 0 union all select o_orderkey, 'q.repair_required requires repair_plan' from orders where o_orderkey % 3 = 1 and o_orderkey % 4 = 0""")
+def quality_audit_errors(t: Tables) -> DataFrame:
+    from corpusloom.operators import verdicts
+
+    k = F.col("o_orderkey")
+    none = F.array().cast(_STRINGS)
+    rows = t.orders.select(
+        k.alias("scope_id"), F.struct(F.when(k % 7 != 0, k % 5).alias("clarity"), F.lit(3).alias("cover")).alias("scores"), F.when(k % 3 == 0, "?").when(k % 3 == 1, "repair_required").otherwise("reliable").alias("reliability"),
+        F.when(k % 2 == 0, F.array(F.lit("known"), F.lit("odd"))).otherwise(none).alias("flags"), F.when(k % 11 != 0, none).alias("findings"), F.when(k % 4 == 0, none).otherwise(F.array(F.lit("x"))).alias("repair_plan"),
+    )
+    return verdicts.quality_audit_errors(rows, ("clarity", "cover"), "q", ("known",)).select("scope_id", F.explode("errors").alias("error"))
+
+
+@query("""with c as (select p_brand as s, p_size % 3 as g, p_partkey as k, case p_size % 4 when 0 then 'math' when 1 then 'definition' else 'application' end as d from part), w as (select s, g, bool_or(d = 'definition') as plain from c group by 1, 2 having count(*) >= 2 and count(distinct d) > 1)
+select s as scope_id, f as finding, k as candidate_id from c join w using (s, g), (values ('over_merged_group'), ('granularity_violation')) as t(f) where f = 'over_merged_group' or plain""")
+def depth_findings(t: Tables) -> DataFrame:
+    from corpusloom.operators import verdicts
+
+    depth = F.when(F.col("p_size") % 4 == 0, "math").when(F.col("p_size") % 4 == 1, "definition").otherwise("application")
+    return verdicts.depth_findings(t.part.select(F.col("p_brand").alias("scope_id"), (F.col("p_size") % 3).alias("concept_id"), F.col("p_partkey").alias("candidate_id"), depth.alias("depth")))
+
+
+@query("""with g as (select l_orderkey as o, l_suppkey % 3 as s, count(*) as n from lineitem group by 1, 2), r as (select *, row_number() over (partition by o order by s) as i from g) select o as lesson_id, i::integer as segment_index, 's' || s as label, n::integer as concept_count from r where n >= 3""")
+def segment_warnings(t: Tables) -> DataFrame:
+    from corpusloom.operators import stages
+
+    each = t.lineitem.groupBy("l_orderkey", (F.col("l_suppkey") % 3).alias("s")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("concept_ids"))
+    rows = each.groupBy(F.col("l_orderkey").alias("lesson_id")).agg(F.array_sort(F.collect_list(F.struct("s", F.concat(F.lit("s"), "s").alias("label"), "concept_ids"))).alias("segments"))
+    return stages.segment_warnings(rows, 3)
