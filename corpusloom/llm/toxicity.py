@@ -42,6 +42,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def words(text: str) -> list[str]:
+    """A sentence's words in lower case; signs of ASCII part them."""
     return text.translate(_TABLE).lower().split()
 
 
@@ -54,7 +55,7 @@ class Model:
     """Weights of words' features and a bias; a sentence has the sum over its different words."""
 
     #: Words whose weights are remembered at most; beyond that the memory starts anew.
-    REMEMBERED = 500_000
+    REMEMBERED = 200_000
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
@@ -239,5 +240,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7: a toxicity score of every document, learned outside the held-out fold. See train() and score()."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
