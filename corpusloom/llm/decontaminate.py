@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, table
+from corpusloom.llm.common import free_name, materialise, table
 
 #: Bytes that stand in words: digits, letters (A-Z folded) and all of non-ASCII characters.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or b >= 0x61 and b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -140,6 +140,7 @@ def near_starts(postings: dict[bytes, np.ndarray], terms: list[bytes], slop: int
 
 
 def windows_of(item: list[bytes], window: int = WINDOW) -> list[list[bytes]]:
+    """All runs of so many consecutive words of an item; the whole of a shorter one; none of one without words."""
     return [item[i : i + window] for i in range(max(1, len(item) - window + 1))] if item else []
 
 
@@ -207,6 +208,8 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int |
 
         schema = f"segment string, doc_id {id_type}, doc_start bigint, item_id string, start bigint, end bigint"
         hits = postings.groupBy("segment").cogroup(starts.groupBy("within")).applyInArrow(_seeker(block, window, slop), schema)
+        if passes > 1:  # written at once, so the driver holds one pass's items at a time
+            hits = materialise(hits, "occurrences-of-pass")
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -235,12 +238,16 @@ def contamination(index: DataFrame, items: DataFrame, window: int = WINDOW, shar
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the rows whose doc_id is contaminated; null ids stay, as nothing tells them apart."""
-    bad = contamination(build_index(docs), items, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose own text is contaminated, whatever others with their doc_id are. Rows with a null doc_id stay."""
+    key = free_name(docs.columns, "_text_sha1")
+    marked = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.sha1(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))))
+    known = marked.where("doc_id is not null").select(F.col(key).alias("doc_id"), "text")
+    bad = contamination(build_index(known), items, window).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return marked.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5: for every document the words inside passages of the benchmark, and the items. See contamination()."""
     found = contamination(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
