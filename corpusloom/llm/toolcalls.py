@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, table
+from corpusloom.llm.common import materialise, release, table
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
@@ -92,11 +92,14 @@ def ordered(calls: DataFrame) -> DataFrame:
     # A row without a parent holds the level that the settled references of child give; one beyond _most is on a cycle.
     own = ids.select("conv_id", F.col("call_id").alias("child"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("w"))
     ways = links.unionByName(own).groupBy("conv_id", "child", "parent").agg(F.max("w").alias("w")).join(most, "conv_id")
+    past: list[DataFrame] = []
     while True:
         ways = materialise(ways, "chat-ways")
+        release(*past)
         settled = F.max(F.when(F.col("parent").isNull(), F.col("w")))
         calls_ = ways.groupBy("conv_id", F.col("child").alias("call_id")).agg(settled.alias("level"), F.count("parent").alias("open"), F.max("parent").alias("to"), F.max(F.when(F.col("parent").isNotNull(), F.col("w"))).alias("by"), F.first("_most").alias("_most"))
         calls_ = materialise(calls_.withColumn("cyclic", F.col("level") > F.col("_most")).withColumn("open", F.when(F.col("cyclic"), 0).otherwise(F.col("open"))), "chat-calls")
+        past = [ways, calls_]
         above = calls_.select("conv_id", F.col("call_id").alias("parent"), "level", "open", "to", "by")
         led = ways.join(calls_.where("open > 0").select("conv_id", F.col("call_id").alias("child")), ["conv_id", "child"]).where("parent is not null").join(above, ["conv_id", "parent"])
         if led.where("open <= 1").isEmpty():
