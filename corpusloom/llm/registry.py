@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import ann, decontaminate, langid, mixing, pii, sharding, simhash, toolcalls, toxicity, warc
+from corpusloom.llm import ann, decontaminate, infill, langid, mixing, pii, sharding, simhash, toolcalls, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_warc": warc.query,
     "op10_simhash": simhash.query,
+    "op11_fill_in_middle": infill.query,
 }
 ORACLES = {
     "op5_decontamination": decontaminate.SQL,
     "op6_tool_calls": toolcalls.SQL,
     "op9_warc": warc.SQL,
+    "op11_fill_in_middle": infill.SQL,
 }
