@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import ann, decontaminate, infill, langid, mixing, pii, sharding, simhash, toolcalls, toxicity, warc
+from corpusloom.llm import ann, decontaminate, infill, langid, mixing, pii, repair, sharding, simhash, toolcalls, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.query,
     "op10_simhash": simhash.query,
     "op11_fill_in_middle": infill.query,
+    "op12_conversation_repair": repair.query,
 }
 ORACLES = {
     "op5_decontamination": decontaminate.SQL,
