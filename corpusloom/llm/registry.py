@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import ann, decontaminate, infill, langid, mixing, pii, repair, sharding, simhash, toolcalls, toxicity, warc
+from corpusloom.llm import ann, decontaminate, infill, langid, mixing, pii, repair, sharding, simhash, templates, toolcalls, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash": simhash.query,
     "op11_fill_in_middle": infill.query,
     "op12_conversation_repair": repair.query,
+    "op13_main_text": templates.query,
 }
 ORACLES = {
     "op5_decontamination": decontaminate.SQL,
