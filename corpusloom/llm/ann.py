@@ -143,7 +143,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     usable = _usable(vectors, key, vector)
     counted = usable.groupBy("vector", "vec_id").agg(F.count("*").alias("n"))
     first = counted.withColumn("_at", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("_at") <= k + 1)
-    rows = first.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.least("n", F.lit(k)).cast("int").alias("n")))).alias("ids"))
+    rows = first.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.least("n", F.lit(k + 1)).cast("int").alias("n")))).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,9 +245,10 @@ def _compare(k: int):
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         dim = key[0].as_py()
-        cols: tuple[list, list, list] = ([], [], [])
+        cols: tuple[list, list, list, list] = ([], [], [], [])
         if left.num_rows and right.num_rows:
-            x, q = scaled(_matrix(left.column("vector").combine_chunks(), dim)), scaled(_matrix(right.column("vector").combine_chunks(), dim))
+            given, asked = _matrix(left.column("vector").combine_chunks(), dim), _matrix(right.column("vector").combine_chunks(), dim)
+            x, q = scaled(given), scaled(asked)
             x_long, q_long = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
             codes = np.frombuffer(b"".join(left.column("code").to_pylist()), dtype="<u8").reshape(len(x), -1)
             scalar = left.column("scalar").to_numpy()
@@ -273,8 +274,10 @@ def _compare(k: int):
                     cols[0].append(np.full(len(order), j))
                     cols[1].append(rows[order])
                     cols[2].append(score[order])
-        queries, rows, score = (np.concatenate(c) if c else np.empty(0, dtype=t) for c, t in zip(cols, (np.int64, np.int64, np.float64)))
-        return pa.table({"query_id": right.column("query_id").take(pa.array(queries)), "ids": left.column("ids").take(pa.array(rows)), "score": pa.array(score)})
+                    cols[3].append((given[rows[order]] == asked[j]).all(1))
+        queries, rows, score, same = (np.concatenate(c) if c else np.empty(0, dtype=t) for c, t in zip(cols, (np.int64, np.int64, np.float64, bool)))
+        of = right.select(["query", "query_id", "times"]).take(pa.array(queries))
+        return pa.table({**{c: of.column(c) for c in of.column_names}, "ids": left.column("ids").take(pa.array(rows)), "same": pa.array(same), "score": pa.array(score)})
 
     return run
 
@@ -283,13 +286,14 @@ def search(index: Index, is_query, k: int = 5) -> DataFrame:
     """For each indexed row that is_query (a Column over vec_id) marks, its k nearest: query_id, rank, vec_id, score.
 
     Nearest first, ties to the smaller vec_id. Every row is a candidate of its own, so an id that comes twice can be
-    given twice; rows with the query's own id are not its neighbours, nor are vectors of another dimension. Fewer
-    than k where there are fewer candidates. A query id that comes with several vectors counts with the smallest of them.
+    given twice; only the query's own row is none, so others with its id are. Vectors of another dimension are no neighbours. Fewer
+    than k where there are fewer candidates. An id that comes in several rows asks once for each, and has k rows for each.
     Queries are all indexed rows marked, joined to the rows in blocks on the executors; an empty index gives no rows.
     index: build_index() for at least k.
     """
     lists = _lists_of(index.codes, k)
-    asked = index.rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector")).select("query_id", F.size("vector").alias("dim"), "vector")
+    asked = index.rows.where(is_query).groupBy(F.col("vec_id").alias("query_id"), "vector").agg(F.count("*").alias("times"))
+    asked = materialise(asked.select("query_id", F.size("vector").alias("dim"), "vector", "times", F.monotonically_increasing_id().alias("query")), "ann-asked")
     queries = materialise(_dealt(asked, lists, True), "ann-queries")
     if any(len(x.centroids) > 1 for x in lists.values()):
         rows = materialise(_dealt(index.codes, lists, False), "ann-lists")
@@ -304,14 +308,16 @@ def search(index: Index, is_query, k: int = 5) -> DataFrame:
     part = lambda column, n: F.pmod(F.xxhash64(column), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.join(plan, ["dim", "list"]).withColumn("slice", part("vector", F.col("_s"))).withColumn("block", upto("_b")).select("dim", "list", "slice", "block", "vector", "ids", "code", "scalar")
-    right = queries.join(plan, ["dim", "list"]).withColumn("block", part("query_id", F.col("_b"))).withColumn("slice", upto("_s")).select("dim", "list", "slice", "block", "query_id", "vector")
+    right = queries.join(plan, ["dim", "list"]).withColumn("block", part("query", F.col("_b"))).withColumn("slice", upto("_s")).select("dim", "list", "slice", "block", "query", "query_id", "times", "vector")
     unit_ = ["dim", "list", "slice", "block"]
     kind = dict(index.codes.dtypes)["ids"]
-    found = left.groupBy(*unit_).cogroup(right.groupBy(*unit_)).applyInArrow(_compare(k), f"query_id bigint, ids {kind}, score double")
-    one = found.select("query_id", "score", F.explode("ids").alias("_i")).where(F.col("_i.vec_id") != F.col("query_id"))
-    one = one.select("query_id", F.explode(F.array_repeat(F.col("_i.vec_id"), F.col("_i.n"))).alias("vec_id"), "score")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy(*unit_).cogroup(right.groupBy(*unit_)).applyInArrow(_compare(k), f"query bigint, query_id bigint, times bigint, ids {kind}, same boolean, score double")
+    one = found.select("query", "query_id", "times", "same", "score", F.explode("ids").alias("_i"))
+    left_of = (F.col("_i.n") - (F.col("same") & (F.col("_i.vec_id") == F.col("query_id"))).cast("int")).cast("int")
+    one = one.select("query", "query_id", "times", F.explode(F.array_repeat(F.col("_i.vec_id"), left_of)).alias("vec_id"), "score")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,10 @@ def test_every_row_is_a_candidate_of_its_own(spark):
     want = sorted((-float(ann.cosine(np.array(v, dtype=np.float32).astype(float)[None], q)[0]), i) for i, v in rows[1:])[:5]
     assert [i for i, _ in got] == [i for _, i in want] and all(abs(s + w) < 1e-12 for (_, s), (w, _) in zip(got, want))
     same = [0.5, 0.25]
-    assert [i for i, _ in search(spark, [(0, same)] * 3 + [(4, same)] * 3 + [(7, same), (2, same), (5, [1.0, -1.0])])[0]] == [2, 4, 4, 4, 7]
+    # Each of three rows asks, and the other two are its neighbours.
+    repeated = spark.createDataFrame([(i, v, 1, "r") for i, v in [(0, same)] * 3 + [(4, same)] * 3 + [(7, same), (2, same), (5, [1.0, -1.0])]], SCHEMA)
+    found = sorted((r.rank, r.vec_id) for r in ann.search(ann.build_index(repeated), F.col("vec_id") == 0).collect())
+    assert found == [x for pair in enumerate([0, 0, 2, 4, 4], 1) for x in [pair] * 3]
 
 
 def test_large_and_small_components_have_finite_scores(spark):
@@ -91,10 +94,17 @@ def test_large_and_small_components_have_finite_scores(spark):
     assert [r.vec_id for r in got] == [1, 2, 3] and all(math.isfinite(r.score) and abs(r.score) <= 1 + 1e-12 for r in got)
 
 
-def test_a_query_id_with_two_vectors_counts_with_the_smaller(spark):
-    rows = [(10, [0.0, 1.0]), (10, [1.0, 0.0]), (1, [0.1, 1.0]), (2, [1.0, 0.1])]
-    assert [i for i, _ in search(spark, rows)[10]] == [1, 2]
-    assert [i for i, _ in search(spark, rows[::-1])[10]] == [1, 2]
+def test_rows_that_share_an_id_ask_and_are_found_one_by_one(spark):
+    rows = [(10, [0.0, 1.0]), (10, [1.0, 0.0]), (1, [0.1, 1.0]), (2, [1.0, 0.1]), (10, [0.0, 2.0])]
+    table = lambda rs: spark.createDataFrame([(i, v, 1, "r") for i, v in rs], SCHEMA)
+    for given in (rows, rows[::-1]):
+        got = sorted((r.rank, r.vec_id, round(r.score, 6)) for r in ann.search(ann.build_index(table(given)), F.col("vec_id") % 10 == 0).collect())
+        want = []
+        for i, (q, v) in enumerate(rows):
+            if q % 10 == 0:
+                near = sorted((-sum(a * b for a, b in zip(v, w)) / math.hypot(*v) / math.hypot(*w), j) for k, (j, w) in enumerate(rows) if k != i)
+                want += [(rank, j, round(-s, 6)) for rank, (s, j) in enumerate(near, 1)]
+        assert got == sorted(want)
 
 
 def test_lists_of_structured_vectors(spark, monkeypatch):
