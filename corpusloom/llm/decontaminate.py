@@ -238,10 +238,10 @@ def contamination(index: DataFrame, items: DataFrame, window: int = WINDOW, shar
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the rows whose own text is contaminated, whatever others with their doc_id are. Rows with a null doc_id stay."""
+    """docs without the rows whose own text is contaminated, whatever their doc_id, null or not, and others with it are."""
     key = free_name(docs.columns, "_text_sha1")
-    marked = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.sha1(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))))
-    known = marked.where("doc_id is not null").select(F.col(key).alias("doc_id"), "text")
+    marked = docs.withColumn(key, F.sha1(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+    known = marked.select(F.col(key).alias("doc_id"), "text")
     bad = contamination(build_index(known), items, window).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
     return marked.join(bad, key, "left_anti").select(*docs.columns)
 

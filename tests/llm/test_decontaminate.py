@@ -68,11 +68,11 @@ def test_contaminated_rows_go(spark):
     rows = [(1, "one two three"), (2, "four"), (None, "one two three"), (3, None)]
     items = spark.createDataFrame([(1, "One, two")], "item_id bigint, text string")
     kept = m.drop_contaminated(docs(spark, rows), items)
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 3, None]
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
 
 
 def test_rows_are_judged_by_their_own_text(spark):
     item = " ".join(f"bench{i}" for i in range(20))
-    rows = [(3, item), (3, "a clean text under the same id"), (None, "clean too"), (4, None), (5, f"before {item} after"), (6, item)]
+    rows = [(3, item), (None, item), (None, f"{item} {item}"), (3, "a clean text under the same id"), (None, "clean too"), (4, None), (5, f"before {item} after"), (6, item)]
     kept = m.drop_contaminated(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id bigint, text string"))
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, "a clean text under the same id"), (None, "clean too"), (4, None)], key=str)
