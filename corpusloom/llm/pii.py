@@ -161,11 +161,6 @@ class Spans:
         first, last = self.source[i], self.source[j]
         return first[0] + (a - self.at[i]) * first[2], last[0] + b - self.at[j] if last[2] else last[1]
 
-    def wide_at(self, place: int) -> bool:
-        """Whether a rewrite of more than one source character starts at this place of the source."""
-        i = bisect_left(self.source, place, key=lambda x: x[0])
-        return i < len(self.source) and self.source[i][0] == place and not self.source[i][2] and self.source[i][1] - place > 1
-
 
 def normalise(text: str) -> tuple[str, Spans]:
     """The normalised text, and the way back from its characters to the source's."""
@@ -200,7 +195,7 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     """(base identifiers, all identifiers) of a text, as (kind, start, end) in code points, end exclusive.
 
     All are the base ones and those of the normalised text that are not inside a base one of their kind, overlapping
-    or not. One only goes beyond a base one: a plain e-mail with a bracketed dot after it stays as it is.
+    or not: a plain e-mail with a bracketed dot after it is one, and the longer one another.
     """
     text = text or ""
     base = identifiers(text)
@@ -212,8 +207,8 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     out = list(base)
     for kind, a, b in extra:
         at = bisect_right(own[kind], a, key=lambda x: x[0]) - 1
-        x, y = own[kind][at] if at >= 0 else (0, 0)
-        if b > y and not (kind == "email" and x == a and spans.wide_at(y)):
+        y = own[kind][at][1] if at >= 0 else 0
+        if b > y:
             out.append((kind, a, b))
     return base, sorted(out, key=lambda x: (x[1], _RANK[x[0]]))
 
