@@ -85,6 +85,12 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return n.select(F.col("_node").alias("_up"), (F.col("_first") + second).alias("_budget"))
 
 
+def placed(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (_whole, doc_id, _text) with _place in the order of their epoch, and the _range of it. Rows without an id go by their text."""
+    place = F.xxhash64(F.lit(seed), F.col("_whole"), F.col("doc_id").cast("string"), F.col("_text"))
+    return rows.withColumn("_place", place).withColumn("_range", F.shiftrightunsigned("_place", 64 - (RANGES - 1).bit_length()).cast("int"))
+
+
 def mix(docs: DataFrame, weights: DataFrame, levels: tuple[str, ...] = LEVELS, share: float = 0.5, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
     """(doc_id, levels, _tokens, epoch): a row for each time that a document is selected, epochs from 0.
 
@@ -97,25 +103,25 @@ def mix(docs: DataFrame, weights: DataFrame, levels: tuple[str, ...] = LEVELS, s
     each other in the order, ties broken by tokens. A null doc_id has a place in the order like any other. An empty
     table gives an empty one. Columns other than these are not read.
 
-    The order of an epoch is that of a hash of seed, epoch and doc_id, cut into RANGES; sums over (leaf, range) are
+    The order of an epoch is that of a hash of seed, epoch, doc_id and text, cut into RANGES, so rows without an id or with
+    one id spread over them; sums over (leaf, range) are
     pre-aggregated, so that a leaf with a third of all rows is added up by all tasks, and only the range in which its
     prefix ends is sorted.
     """
-    sized = materialise(docs.select("doc_id", *levels, tokens(F.col("text")).alias("_tokens")), "mix-tokens")
+    sized = materialise(docs.select("doc_id", *levels, tokens(F.col("text")).alias("_tokens"), F.xxhash64("text").alias("_text")), "mix-tokens")
     plan = materialise(budgets(materialise(leaves(sized, levels), "mix-leaves"), levels, weights, share, epochs), "mix-budgets")
     plan = plan.withColumn("_budget", F.floor(F.col("budget") + 0.5)).withColumn("_whole", F.when(F.col("supply") > 0, F.floor(F.col("_budget") / F.col("supply"))).otherwise(1))
     plan = plan.withColumn("_rest", F.col("_budget") - F.col("_whole") * F.col("supply"))
     small = plan.select(*levels, "_whole", "_rest", F.xxhash64(node_of(*map(F.col, levels))).alias("_leaf"))
     rows = sized.alias("s").join(small.alias("p"), [F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")) for c in levels]).select("s.*", "_whole", "_rest", "_leaf")
     whole = rows.where("_whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("_whole") - 1).cast("int")))).select("doc_id", *levels, "_tokens", "epoch")
-    place = F.xxhash64(F.lit(seed), F.col("_whole"), F.col("doc_id").cast("string"))
-    part = rows.where("_rest > 0").withColumn("_place", place).withColumn("_range", F.shiftrightunsigned("_place", 64 - (RANGES - 1).bit_length()).cast("int"))
+    part = placed(rows.where("_rest > 0"), seed)
     sums = part.groupBy("_leaf", "_range").agg(F.sum("_tokens").alias("_sum"), F.first("_rest").alias("_rest"))
     up_to = F.sum("_sum").over(Window.partitionBy("_leaf").orderBy("_range"))
     sums = sums.withColumn("_end", up_to).withColumn("_start", F.col("_end") - F.col("_sum")).where("_start <= _rest").select("_leaf", "_range", "_start", "_end")
     part = part.join(sums, ["_leaf", "_range"])
     inside = part.where("_end <= _rest").select("doc_id", *levels, "_tokens", F.col("_whole").cast("int").alias("epoch"))
-    run = F.sum("_tokens").over(Window.partitionBy("_leaf", "_range").orderBy("_place", "doc_id", "_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("_tokens").over(Window.partitionBy("_leaf", "_range").orderBy("_place", "doc_id", "_text", "_tokens").rowsBetween(Window.unboundedPreceding, 0))
     edge = part.where("_end > _rest").withColumn("_upto", F.col("_start") + run).where("_upto <= _rest").select("doc_id", *levels, "_tokens", F.col("_whole").cast("int").alias("epoch"))
     return whole.unionByName(inside).unionByName(edge)
 

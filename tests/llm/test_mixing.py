@@ -112,3 +112,9 @@ def test_rows_without_an_id_are_drawn_like_others(spark):
     data = docs(spark, [(None, f"text number {i} of these") for i in range(40)] + [(i, f"text number {i} with an id") for i in range(40)])
     kept = mixing.keep_mixed(data, 0.5).collect()
     assert 36 <= len(kept) <= 40 and 8 < sum(r.doc_id is None for r in kept) < 32
+
+
+def test_ranges_stay_even_without_ids(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id", "0 as _whole", "xxhash64(concat('text ', id)) as _text")
+    most = mixing.placed(rows, 1).groupBy("_range").count().agg({"count": "max"}).first()[0]
+    assert most <= 40  # seven or so of 4,096 ranges each
