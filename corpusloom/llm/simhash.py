@@ -292,8 +292,6 @@ _DIGEST = "_simhash_digest"
 BANDS, BAND_ROWS = 24, 4
 #: Members of one band, and shingles of these, that meet in one unit of work; a larger band is dealt out in pairs of slices.
 PAIR_SLICE, SLICE_SHINGLES = 4096, 1 << 20
-#: Slices from which a band is parted by a second band that its members share, before it is dealt out.
-MANY_SLICES = 64
 
 _MIX = np.fromiter((xxhash.xxh64_intdigest(b"band %d" % i, SEED) for i in range(2 * BANDS * BAND_ROWS)), dtype=np.uint64).reshape(2, -1, 1)
 _XOR, _TIMES = _MIX[0], _MIX[1] | np.uint64(1)
@@ -384,26 +382,17 @@ def links_within(sets: list[np.ndarray], classes: np.ndarray, similarity: float,
     return out
 
 
-def _apart(members: DataFrame, bands_of: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, slice_size: int, many: int) -> DataFrame:
+def _apart(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, slice_size: int) -> DataFrame:
     """Verified links (a, b) of members (bucket, no, size, head) of one bucket that no link connects yet; heads have been compared.
 
     A bucket whose members are connected already is left. The others' members meet with their shingle sets in units of
     work of bounded size: (i, j) compares slice i with slice j, so a bucket with a third of all rows spreads over the
-    cluster, whole. One of many slices is parted by second bands before: members meet where two of their bands are
-    alike, which two texts with a Jaccard of 0.8 miss once in 20,000 times.
+    cluster, whole, and pairs are found in it as they are in small ones.
     """
     own = members.where("no <> head").join(roots.select(F.col("node").alias("no"), "root").hint("merge"), "no", "left").select("bucket", "no", "size", F.coalesce("root", "no").alias("root"))
 
-    def split(rows: DataFrame) -> DataFrame:
-        counts = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.greatest(F.count("*") / slice_size, F.sum("size") / SLICE_SHINGLES)).cast("int").alias("k"))
-        return rows.join(counts.where("low <> high").select("bucket", "k").hint("merge"), "bucket")
-
-    own = materialise(split(own), "simhash-split")
-    large = own.where(F.col("k") > many)
-    if not large.isEmpty():
-        seconds = large.select("bucket", "no", "size", "root").join(bands_of.select("no", "bands").hint("merge"), "no").select("no", "size", "root", "bucket", F.explode("bands").alias("_o")).where("_o <> bucket")
-        pairs = seconds.select(F.xxhash64(F.least("bucket", "_o"), F.greatest("bucket", "_o")).alias("bucket"), "no", "size", "root").distinct()
-        own = own.where(F.col("k") <= many).unionByName(split(pairs))
+    counts = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.greatest(F.count("*") / slice_size, F.sum("size") / SLICE_SHINGLES)).cast("int").alias("k"))
+    own = own.join(counts.where("low <> high").select("bucket", "k").hint("merge"), "bucket")
     units = own.withColumn("s", F.pmod(F.xxhash64("no"), "k").cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     units = units.select("bucket", "no", "root", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")).join(sets.hint("merge"), "no")
 
@@ -419,7 +408,7 @@ def _apart(members: DataFrame, bands_of: DataFrame, roots: DataFrame, sets: Data
     return units.groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def verified_classes(docs: DataFrame, max_distance: int, segments: int | None, shingle: int, words: int, similarity: float, slice_size: int = PAIR_SLICE, many: int = MANY_SLICES) -> DataFrame:
+def verified_classes(docs: DataFrame, max_distance: int, segments: int | None, shingle: int, words: int, similarity: float, slice_size: int = PAIR_SLICE) -> DataFrame:
     """(digest of the text, doc_id, component_id, stays) of docs (doc_id, text, digest): near copies, checked exactly.
 
     A row for each different text: doc_id is the smallest of the rows with that text (null where all are null),
@@ -429,10 +418,10 @@ def verified_classes(docs: DataFrame, max_distance: int, segments: int | None, s
     that the index links, and each member of a band with the band's head. Then members of a band that these links leave
     apart are compared with each other, so no pair that shares a band is passed over because another one failed.
     """
-    return _classes(docs, materialise(_signatures(docs, shingle, words), "simhash-fp"), max_distance, segments, words, similarity, slice_size, many)
+    return _classes(docs, materialise(_signatures(docs, shingle, words), "simhash-fp"), max_distance, segments, words, similarity, slice_size)
 
 
-def _classes(docs: DataFrame, fps: DataFrame, max_distance: int, segments: int | None, words: int, similarity: float, slice_size: int = PAIR_SLICE, many: int = MANY_SLICES) -> DataFrame:
+def _classes(docs: DataFrame, fps: DataFrame, max_distance: int, segments: int | None, words: int, similarity: float, slice_size: int = PAIR_SLICE) -> DataFrame:
     nodes = fps.groupBy("fp", F.col(_DIGEST).alias("node")).agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = materialise(nodes.withColumn("no", F.monotonically_increasing_id()), "simhash-nodes")
     heads = nodes.groupBy("fp").agg(F.min("no").alias("head"))
@@ -454,7 +443,7 @@ def _classes(docs: DataFrame, fps: DataFrame, max_distance: int, segments: int |
     checked = links.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * (F.size("a_set") + F.size("b_set") - both))
     found = materialise(checked.select("a", "b"), "simhash-alike")
     roots = connected_components(found)
-    more = materialise(_apart(members, nodes, roots, sets, similarity, slice_size, many), "simhash-alike")
+    more = materialise(_apart(members, roots, sets, similarity, slice_size), "simhash-alike")
     if not more.isEmpty():
         release(roots)
         roots = connected_components(found.unionByName(more))
@@ -464,7 +453,7 @@ def _classes(docs: DataFrame, fps: DataFrame, max_distance: int, segments: int |
     return classes.join(best.hint("merge"), "_root").select(_DIGEST, "doc_id", F.col("_best.doc_id").alias("component_id"), (F.col(_DIGEST) == F.col(f"_best.{_DIGEST}")).alias("stays"))
 
 
-def keep_one(docs: DataFrame, max_distance: int = 6, segments: int | None = 8, shingle: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, max_distance: int = 6, segments: int | None = None, shingle: int = 2, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each group of near copies, with all its columns: the one with the smallest doc_id.
 
     Fingerprints of shingles of two words, and bands of the smallest hashes of shingles of five words, propose links;

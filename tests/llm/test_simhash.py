@@ -196,14 +196,32 @@ def test_edited_groups_are_found_whole(spark):
     assert gone > 100 and len(texts) - len(kept) >= 0.99 * gone and len(kept) >= len(want)
 
 
-def test_a_large_band_is_parted_by_second_bands(spark):
+def test_every_pair_of_a_large_band_is_compared(spark):
+    rng = random.Random(21)
+    sets = []
+    for _ in range(60):
+        own = rng.sample(range(1000), 40)
+        sets += [sorted({*own[: rng.randint(36, 40)], *rng.sample(range(1000, 2000), rng.randint(0, 3))}) for _ in range(rng.randint(1, 5))]
+    n = len(sets)
+    assert n > 140  # so over 64 slices of two
+    members = spark.createDataFrame([(1, i, len(s), n) for i, s in enumerate(sets)], "bucket bigint, no bigint, size bigint, head bigint")
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "no bigint, shingles array<bigint>")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    found = [(r.a, r.b) for r in simhash._apart(members, roots, table, 0.8, 2).collect()]
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    pairs = [(i, j) for i in range(n) for j in range(i) if alike(sets[i], sets[j])]
+    assert pairs and {(max(p), min(p)) for p in found} <= {(max(p), min(p)) for p in pairs}
+    assert components(range(n), found) == components(range(n), pairs)
+
+
+def test_a_large_band_is_dealt_out(spark):
     rng = random.Random(15)
     stem = own_words(rng, 200)
     texts = [" ".join(changed(rng, stem + own_words(rng, 50), 1)) for _ in range(6)]
     texts += [" ".join(changed(rng, t.split(), 1)) for t in texts for _ in range(3)]
     marked = docs(spark, list(enumerate(texts))).selectExpr("doc_id", "text", f"sha1(cast(text as binary)) as {simhash._DIGEST}")
-    for size, many in ((2, 0), (2, 64), (4096, 64)):
-        found = simhash.verified_classes(marked, 6, 8, 2, 5, 0.8, slice_size=size, many=many).collect()
+    for size in (2, 4096):
+        found = simhash.verified_classes(marked, 6, None, 2, 5, 0.8, slice_size=size).collect()
         assert {r.component_id for r in found} == removable(texts) and sum(r.stays for r in found) == len(removable(texts))
 
 
