@@ -31,8 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows of whose words at least a twentieth stand in passages of the benchmark.
 
-    Texts without words are clean; each row is judged by its own text, not by others with its id; rows with a null id
-    stay; without items nothing goes.
+    Texts without words are clean; each row is judged by its own text, whatever its id; without items nothing goes.
     """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
