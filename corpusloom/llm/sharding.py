@@ -9,17 +9,22 @@ top of the other.
 Arrivals are appended as they come, as small shards. Compaction sorts the shards by size into tiers, and merges the
 similarly sized ones of a tier once there are enough of them, into files of about the target size; those that have
 nearly that size already are left alone. Merging reads neighbouring shards into one task, without a shuffle.
+
+Arrivals may have different columns. The manifest says each shard's schema; a version has the columns of all of its
+shards, by name, in types that hold every value of theirs (see common_type()).
 """
 
 from __future__ import annotations
 
+import json
 import math
 import time
+from functools import reduce
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import free_name, remove, scratch, table
 
@@ -33,7 +38,76 @@ GRACE_SECONDS = 24 * 3600
 #: How often a writer tries again after another one has committed first.
 RETRIES = 20
 
-MANIFEST = "path string, bytes bigint, rows bigint, tier int, added bigint"
+MANIFEST = "path string, bytes bigint, rows bigint, tier int, added bigint, schema string"
+
+_WHOLE = {T.ByteType(): 3, T.ShortType(): 5, T.IntegerType(): 10, T.LongType(): 19}
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds the values of both without loss: numbers by their digits, structs by their fields, else text."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return common_schema([a, b])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(common_type(a.elementType, b.elementType))
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType) and a.keyType == b.keyType:
+        return T.MapType(a.keyType, common_type(a.valueType, b.valueType))
+    digits = {k: (p, 0) for k, p in _WHOLE.items()} | {k: (k.precision, k.scale) for k in (a, b) if isinstance(k, T.DecimalType)}
+    if a in digits and b in digits:
+        if a in _WHOLE and b in _WHOLE:
+            return max(a, b, key=_WHOLE.get)
+        (p, s), (q, t) = digits[a], digits[b]
+        if max(p - s, q - t) + max(s, t) <= 38:
+            return T.DecimalType(max(p - s, q - t) + max(s, t), max(s, t))
+    small = {T.ByteType(), T.ShortType(), T.FloatType(), T.DoubleType()}
+    if {a, b} <= small | {T.IntegerType()} and {a, b} & {T.FloatType(), T.DoubleType()}:
+        return T.DoubleType()
+    if {type(a), type(b)} == {T.StringType, T.BinaryType}:
+        return T.BinaryType()
+    return T.StringType()
+
+
+def common_schema(schemas: list[T.StructType]) -> T.StructType:
+    """Columns of all schemas by name (case aside, as Spark reads them), in the order in which they come first; all may be null."""
+    out: dict[str, T.StructField] = {}
+    for field in (f for s in schemas for f in s):
+        known = out.get(field.name.lower())
+        out[field.name.lower()] = T.StructField(known.name if known else field.name, common_type(known.dataType, field.dataType) if known else field.dataType)
+    return T.StructType(list(out.values()))
+
+
+def conformed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """rows with the columns of schema: cast where theirs have another type (structs, arrays and maps to JSON if text is wanted), null where they have none."""
+    own = {f.name.lower(): f for f in rows.schema}
+
+    def column(want: T.StructField) -> Column:
+        have = own.get(want.name.lower())
+        if have is None:
+            return F.lit(None).cast(want.dataType).alias(want.name)
+        return _cast(F.col(f"`{have.name.replace('`', '``')}`"), have.dataType, want.dataType).alias(want.name)
+
+    return rows.select(*map(column, schema))
+
+
+def _cast(value: Column, have: T.DataType, want: T.DataType) -> Column:
+    if have == want:
+        return value
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
+        own = {f.name.lower(): f for f in have}
+        fields = [(_cast(value[own[f.name.lower()].name], own[f.name.lower()].dataType, f.dataType) if f.name.lower() in own else F.lit(None).cast(f.dataType)).alias(f.name) for f in want]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        return F.transform(value, lambda x: _cast(x, have.elementType, want.elementType))
+    if isinstance(have, T.MapType) and isinstance(want, T.MapType):
+        return F.transform_values(value, lambda _, x: _cast(x, have.valueType, want.valueType))
+    if isinstance(have, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(value)
+    if isinstance(have, T.BinaryType):  # text that gives the bytes back, whatever they are
+        return F.base64(value)
+    return value.cast(want)
 
 
 class CommitConflict(RuntimeError):
@@ -128,12 +202,16 @@ class ShardStore:
     # ---- writing ----
 
     def _shards(self, folder: str) -> DataFrame:
-        """Manifest rows, without added, of the shards that hold rows in a folder just written. No column is read."""
-        read = self.spark.read.schema(StructType([])).parquet(folder)
+        """Manifest rows, without added, of the shards that hold rows in a folder just written. No column is read.
+
+        What one write made has one schema, which is taken from a footer.
+        """
+        schema = self.spark.read.parquet(folder).schema.json()
+        read = self.spark.read.schema(T.StructType([])).parquet(folder)
         files = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         found = files.groupBy("path", "bytes").agg(F.count("*").alias("rows"))
         tier = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.col("bytes"), F.lit(1)) / F.lit(float(self.base))) / math.log(self.factor))).cast("int")
-        return found.select("path", F.col("bytes").cast("bigint").alias("bytes"), "rows", tier.alias("tier"))
+        return found.select("path", F.col("bytes").cast("bigint").alias("bytes"), "rows", tier.alias("tier"), F.lit(schema).alias("schema"))
 
     def append(self, rows: DataFrame) -> int:
         """Write rows as small shards, one for each partition, and commit them on top of the newest version.
@@ -147,7 +225,7 @@ class ShardStore:
     def _add(self, new: DataFrame) -> int:
         if new.isEmpty():
             return self.version()
-        return self._committed(lambda now, base: now.unionByName(new.withColumn("added", F.lit(base + 1).cast("bigint"))))
+        return self._committed(lambda now, base: now.unionByName(new.withColumn("added", F.lit(base + 1).cast("bigint")).select(now.columns)))
 
     def append_dealt(self, rows: DataFrame, arrival: Column, arrivals: int) -> int:
         """Append rows that come in so many arrivals, dealt by arrival (0 and up): one pass over rows, a version each."""
@@ -163,8 +241,8 @@ class ShardStore:
     def compact(self) -> int:
         """Merge every tier that has enough unfinished shards, and commit the result; the version, new or not.
 
-        Rows are neither lost nor doubled: a merge reads whole shards, and the manifest drops them as it takes the
-        merged ones. Old shards stay for readers of old versions until vacuum().
+        Rows are neither lost nor doubled, nor are columns: a merge reads whole shards, each by its own schema, and the
+        manifest drops them as it takes the merged ones. Old shards stay for readers of old versions until vacuum().
         """
         base = self.version()
         now = self.manifest(base)
@@ -174,9 +252,8 @@ class ShardStore:
             return base
         added = None
         for r in ready:
-            paths = [x.path for x in open_.where(F.col("tier") == r.tier).select("path", "bytes").orderBy("bytes", "path").toLocalIterator()]
             folder = f"{self.root}/data/{scratch(self.spark, f'tier{r.tier}').rpartition('/')[2]}"
-            self.spark.read.parquet(*paths).coalesce(max(1, round(r.bytes / self.target))).write.parquet(folder)
+            self._rows(open_.where(F.col("tier") == r.tier), "bytes").coalesce(max(1, round(r.bytes / self.target))).write.parquet(folder)
             added = self._shards(folder) if added is None else added.unionByName(self._shards(folder))
         gone = open_.where(F.col("tier").isin([r.tier for r in ready])).select("path")
 
@@ -217,12 +294,23 @@ class ShardStore:
 
     # ---- reading ----
 
-    def read(self, version: int | None = None, with_shard: bool = False) -> DataFrame:
-        """A version's rows; with_shard adds _shard, the shard's path under data/ (with underscores after its name if it is taken)."""
-        paths = [r.path for r in self.manifest(version).select("path").orderBy("path").toLocalIterator()]
+    def _rows(self, shards: DataFrame, *order: str) -> DataFrame:
+        """The rows of some of a manifest's shards, with the columns of all of them. Shards of one schema are one read."""
+        paths: dict[str, list[str]] = {}
+        first: dict[str, tuple[int, str]] = {}
+        for r in shards.select("path", "schema", "added", *order).orderBy(*order, "path").toLocalIterator():
+            paths.setdefault(r.schema, []).append(r.path)
+            first[r.schema] = min(first.get(r.schema, (r.added, r.path)), (r.added, r.path))
         if not paths:
             raise ValueError("the store is empty")
-        rows = self.spark.read.parquet(*paths)
+        named = sorted(paths, key=first.get)
+        schemas = {s: T.StructType.fromJson(json.loads(s)) for s in named}
+        wanted = common_schema(list(schemas.values()))
+        return reduce(DataFrame.unionByName, [conformed(self.spark.read.schema(schemas[s]).parquet(*paths[s]), wanted) for s in named])
+
+    def read(self, version: int | None = None, with_shard: bool = False) -> DataFrame:
+        """A version's rows; with_shard adds _shard, the shard's path under data/ (with underscores after its name if it is taken)."""
+        rows = self._rows(self.manifest(version))
         if not with_shard:
             return rows
         return rows.withColumn(free_name(rows.columns, "_shard"), F.regexp_extract(F.input_file_name(), r"^.*/data/(.+)$", 1))

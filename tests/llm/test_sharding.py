@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from tests.llm.helpers import ODD, docs
 
@@ -147,3 +149,48 @@ def test_a_store_below_a_folder_of_the_same_name(spark):
     out = store.read(with_shard=True)
     assert rows_of(out, ["doc_id", "text"]) == rows_of(data, ["doc_id", "text"])
     assert {len(r._shard.split("/")) for r in out.collect()} <= {2, 3}
+
+
+def test_no_column_is_lost_whatever_the_order_of_files(spark):
+    for _ in range(6):
+        store = sharding.ShardStore(spark, scratch(spark, "store"), least_runs=2)
+        store.append(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string").coalesce(1))
+        store.append(spark.createDataFrame([(3, "c", "new")], "doc_id bigint, text string, more string").coalesce(1))
+        want = [(1, "a", None), (2, "b", None), (3, "c", "new")]
+        assert rows_of(store.read(), ["doc_id", "text", "more"]) == want
+        assert store.read(1).columns == ["doc_id", "text"]
+        store.compact()
+        store.vacuum(grace_seconds=0)
+        assert store.manifest().count() == 1 and rows_of(store.read(), ["doc_id", "text", "more"]) == want
+
+
+def test_types_that_differ_hold_every_value(spark):
+    arrivals = [
+        ([(1, 2**62, 1.5, {"x": 1}, ["a"], "t", 7)], "id int, n bigint, v float, s struct<x:int>, l array<string>, odd string, m int"),
+        ([(2**40, 3, 2.25, {"X": 5, "y": "z"}, ["b"], 12, None)], "ID bigint, n int, v double, s struct<X:bigint,y:string>, l array<string>, odd int, m void"),
+        ([(3, 1.5, 9, None, [7], [1, 2], Decimal("1.25"))], "id int, n double, v int, s struct<x:int>, l array<int>, odd array<int>, m decimal(9,2)"),
+    ]
+    store = sharding.ShardStore(spark, scratch(spark, "store"), least_runs=2)
+    for rows, schema in arrivals:
+        frame = spark.createDataFrame(rows, schema)
+        store.append(frame.select(*[c for c, kind in frame.dtypes if kind != "void"]).coalesce(1))
+    types = {"id": "bigint", "n": "string", "v": "double", "s": "struct<x:bigint,y:string>", "l": "array<string>", "odd": "string", "m": "decimal(12,2)"}
+    for _ in range(2):
+        assert dict(store.read().dtypes) == types
+        got = {r.id: r for r in store.read().collect()}
+        assert {k: r.n for k, r in got.items()} == {1: str(2**62), 2**40: "3", 3: "1.5"} and got[2**40].v == 2.25 and got[3].v == 9.0
+        assert got[1].s == (1, None) and got[2**40].s == (5, "z") and got[3].s is None
+        assert [got[k].l for k in (1, 2**40, 3)] == [["a"], ["b"], ["7"]] and [got[k].odd for k in (1, 2**40, 3)] == ["t", "12", "[1,2]"]
+        assert str(got[1].m) == "7.00" and str(got[3].m) == "1.25" and got[2**40].m is None
+        store.compact()
+        store.vacuum(grace_seconds=0)
+    assert store.manifest().count() == 1
+
+
+def test_common_types():
+    from pyspark.sql import types as t
+
+    common = sharding.common_type
+    assert common(t.LongType(), t.DoubleType()) == t.StringType() and common(t.FloatType(), t.IntegerType()) == t.DoubleType()
+    assert common(t.DecimalType(38, 0), t.DecimalType(38, 10)) == t.StringType() and common(t.ByteType(), t.LongType()) == t.LongType()
+    assert common(t.StringType(), t.BinaryType()) == t.BinaryType() and common(t.DateType(), t.IntegerType()) == t.StringType()
