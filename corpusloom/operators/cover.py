@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,19 +28,45 @@ def repair(members: DataFrame, inputs: DataFrame) -> DataFrame:
     """Memberships (scope_id, cluster_ord, pos, cluster_id, candidate_id) made to cover inputs (scope_id, ord, candidate_id).
 
     Unknown candidates go, and all but the first membership of each, so emptied clusters go as well. What no cluster
-    holds becomes a cluster of its own after the others, in input order. Returns scope_id, cluster_id, candidate_id, pos
-    and origin (kept or added).
+    holds becomes a cluster of its own after the others, in input order, called added_001 and so on; numbers under
+    which the scope has a cluster are passed over. Returns scope_id, cluster_id, candidate_id, pos and origin (kept or added).
     """
     known = members.join(inputs.select("scope_id", "candidate_id").distinct(), ["scope_id", "candidate_id"], "left_semi")
     first = F.min(F.struct("cluster_ord", "pos", "cluster_id")).alias("_m")
     kept = known.groupBy("scope_id", "candidate_id").agg(first).select("scope_id", "_m.cluster_id", "candidate_id", F.col("_m.pos").cast("bigint").alias("pos"), F.lit("kept").alias("origin"))
     missing = inputs.join(kept.select("scope_id", "candidate_id"), ["scope_id", "candidate_id"], "left_anti")
     added = missing.groupBy("scope_id", "candidate_id").agg(F.min("ord").alias("ord"))
-    n = F.row_number().over(Window.partitionBy("scope_id").orderBy("ord", "candidate_id"))
-    added = added.select("scope_id", F.concat(F.lit("added_"), F.lpad(n.cast("string"), 3, "0")).alias("cluster_id"), "candidate_id", F.lit(0).cast("bigint").alias("pos"), F.lit("added").alias("origin"))
+    taken = kept.select("scope_id", "cluster_id").distinct().select("scope_id", _generated("cluster_id", "added_").alias("n")).where("n > 0")
+    added = numbered_apart(added, taken, "scope_id", "ord", "candidate_id").select("scope_id", generated("added_", F.col("n")).alias("cluster_id"), "candidate_id", F.lit(0).cast("bigint").alias("pos"), F.lit("added").alias("origin"))
     return kept.unionByName(added)
 
 
+def generated(prefix: str, n: Column) -> Column:
+    """A name made of a number, three digits at least."""
+    digits = n.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(3), F.length(digits)), F.lit("0")))
+
+
+def _generated(name: str, prefix: str) -> Column:
+    """The number of a generated name; null for another name, and for one that is not written so."""
+    n = F.regexp_extract(name, f"^{prefix}([0-9]{{3,18}})$", 1).try_cast("bigint")
+    return F.when(generated(prefix, n) == F.col(name), n)
+
+
+def numbered_apart(rows: DataFrame, taken: DataFrame, scope: str, *order: str) -> DataFrame:
+    """rows with n: from 1 in order within their scope, without the numbers taken (scope, n).
+
+    The j-th number taken, t, has t - j free ones below it, so it is passed over by the rows after these: a running count.
+    """
+    of = Window.partitionBy(scope)
+    below = F.col("n") - F.row_number().over(of.orderBy("n"))
+    free = taken.select(scope, below.alias("_at"), F.lit(1).alias("_taken"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != scope))
+    own = rows.select("*", (F.row_number().over(of.orderBy(*order)) - 1).alias("_at"), F.lit(0).alias("_taken"))
+    passed = F.sum("_taken").over(of.orderBy("_at", F.desc("_taken")).rowsBetween(Window.unboundedPreceding, 0))
+    both = own.unionByName(free).withColumn("_passed", passed).where("_taken = 0")
+    return both.withColumn("n", F.col("_at") + 1 + F.col("_passed")).drop("_at", "_taken", "_passed")
+
+
 def violations(members: DataFrame, inputs: DataFrame) -> DataFrame:
     """(scope_id, candidate_id, violation): unknown, missing or repeated candidates of a grouping; none for an exact cover."""
     counts = members.groupBy("scope_id", "candidate_id").agg(F.count("*").alias("n"))

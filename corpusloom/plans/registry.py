@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import answers, base, derived, documents, media, records, scalars, similarity, small, stages  # noqa: F401
+from corpusloom.plans import answers, base, derived, documents, media, records, rules, scalars, similarity, small, stages  # noqa: F401
 
 
 def queries() -> dict:

@@ -117,9 +117,13 @@ def test_page_trees_of_any_depth():
     tree = {"type": "text", "value": "x"}
     for _ in range(5000):
         tree = {"tagName": "div", "children": [tree]}
-    assert pagedata.fold(tree).block == "x"
+    assert pagedata.render(tree) == "x"
     odd = {"tagName": "li", "properties": None, "children": [None, 3, "loose", {"tagName": "strong", "children": "no list"}, {"type": "text"}]}
-    assert pagedata.fold(odd).block == "- ****\n" and pagedata.fold(odd).plain == "loose" and pagedata.fold(None).block == ""
+    assert pagedata.render(odd) == "- ****\n" and pagedata.render(odd, pagedata.PLAIN) == "loose" and pagedata.render(None) == ""
+    nested = {"tagName": "ul", "children": [{"tagName": "li", "children": [{"type": "text", "value": "a"}, {"tagName": "ol", "children": [{"tagName": "li", "children": [{"type": "text", "value": "b"}]}]}]}, {"tagName": "div", "children": [{"tagName": "li", "children": []}]}]}
+    assert pagedata.render(nested) == "- ab\n    - b\n\n- \n\n" and pagedata.render(nested, pagedata.LINE) == "ab"
+    assert pagedata.render({"tagName": "exercise", "properties": {"id": 3}, "children": [{"tagName": "h2", "children": [{"tagName": "a", "children": [{"type": "text", "value": " t "}]}]}]}) == "## 3. Exercise\n\n## t\n\n\n"
     assert pagedata.page_markdown("no json", "t") is None and pagedata.page_markdown("{}", "t") == "# t\n"
     code = {"tagName": "codeblock", "properties": {"id": "1"}, "children": []}
-    assert pagedata.fold(code).block.startswith("> ") and pagedata.fold({"tagName": "pre", "children": ["\na\n"]}).block == "```\na\n```\n\n"
+    assert pagedata.render(code).startswith("> ") and pagedata.render({"tagName": "pre", "children": ["\na\n"]}) == "```\na\n```\n\n"
+    assert pagedata.render({"tagName": "blockquote", "children": []}) == "" == pagedata.render({"tagName": "slides"})
