@@ -23,6 +23,35 @@ def spaced_json(**fields: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
+def _small_hex(json: Column) -> Column:
+    """JSON whose control characters have small hex digits, as most writers have them. An escaped backslash before a u stays."""
+    for upper in "ABCDEF":
+        json = F.regexp_replace(json, rf"(?<!\\)((?:\\\\)*\\u00[01]){upper}", f"$1{upper.lower()}")
+    return json
+
+
+def _leaf(c: Column) -> Column:
+    """A column's value as JSON."""
+    return F.coalesce(_small_hex(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")), F.lit("null"))
+
+
+def sorted_json(fields: dict, spaced: bool = False) -> Column:
+    """An object of columns and objects, keys sorted at every level, non-ASCII characters as they are; spaced: a space after
+    commas and colons. An object with the one key '' stands for a column that is JSON already. Nulls are null."""
+    if fields.keys() == {""}:
+        return F.coalesce(fields[""], F.lit("null"))
+    comma, colon = (", ", ": ") if spaced else (",", ":")
+    parts = [F.concat(F.lit(f'"{k}"{colon}'), sorted_json(v, spaced) if isinstance(v, dict) else _leaf(v)) for k, v in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.concat_ws(comma, *parts), F.lit("}"))
+
+
+def canonical_json(c: Column) -> Column:
+    """A map of names to variants as JSON, keys sorted at every level; an empty object for null."""
+    entries = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("k"), F.to_json(e["value"]).alias("v"))))
+    name = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    return _small_hex(F.concat(F.lit("{"), F.coalesce(F.array_join(F.transform(entries, lambda e: F.concat(name(e["k"]), F.lit(":"), F.coalesce(e["v"], F.lit("null")))), ","), F.lit("")), F.lit("}")))
+
+
 def stable_hash(compact: bool = True, **fields: Column) -> Column:
     return F.sha2((compact_json if compact else spaced_json)(**fields).cast("binary"), 256)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import plain_slug, split_labels, text
 from corpusloom.functions.times import date_slug
 from corpusloom.operators.joins import last_wins
+from corpusloom.operators.ordinals import ordinals
 
 #: What a self-study's body can be, and how titles of mere activities begin.
 USABLE, UNAVAILABLE, EXCLUDED = "usable_source_body", "unavailable_source_body", "excluded_activity_only_self_study"
@@ -37,8 +38,8 @@ SAYS = {
 
 def lessons(rows: DataFrame) -> DataFrame:
     """Lessons of the rows of type Class, in order: lesson_id (of date and title), display_code, labels and the row's own fields."""
-    kept = rows.where("row_type = 'Class'")
-    number = F.row_number().over(Window.orderBy("workbook_row_number"))  # a workbook's classes: tens
+    kept = ordinals(rows.where("row_type = 'Class'"), "workbook_row_number", name="_number")
+    number = F.col("_number")
     return kept.select(
         F.concat(F.lit("lesson-"), date_slug("date"), F.lit("-"), plain_slug("title")).alias("lesson_id"), F.concat(F.lit("L"), F.when(number < 100, F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string"))).alias("display_code"),
         "workbook_row_number", "title", "date", "professor", "axis", split_labels("related_subjects").alias("related_labels"), "description",

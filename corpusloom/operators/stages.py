@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import text
 from corpusloom.operators import joins
+from corpusloom.operators.ordinals import ordinals
 
 _NONE = "array<string>"
 
@@ -53,17 +54,13 @@ def classification_tasks(segments: DataFrame, concepts: DataFrame) -> DataFrame:
     """(task, lesson_id, segment_id, concept_ids, unknown) of segments (lesson_id, segment_ord, segment_id, concept_ids): one
     task for each that has concepts, numbered by lesson and place; unknown are ids that concepts lack, which block it.
 
-    Tasks are numbered within their lesson, and the lessons' numbers added up, so no task holds all segments.
     """
     ids = F.filter(F.coalesce("concept_ids", F.array().cast(_NONE)), lambda x: text(x) != "")
     kept = segments.withColumn("concept_ids", ids).where(F.size("concept_ids") > 0)
-    per = kept.groupBy("lesson_id").agg(F.count("*").alias("_n"))
-    before = per.select("lesson_id", F.coalesce(F.sum("_n").over(Window.orderBy("lesson_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a lesson
     each = kept.select("lesson_id", "segment_ord", F.explode("concept_ids").alias("concept_id"))
     unknown = joins.unresolved(each, "concept_id", concepts).groupBy("lesson_id", "segment_ord").agg(F.array_sort(F.collect_set("concept_id")).alias("unknown"))
-    number = F.row_number().over(Window.partitionBy("lesson_id").orderBy("segment_ord"))
-    out = kept.withColumn("_i", number).join(before, "lesson_id").join(unknown, ["lesson_id", "segment_ord"], "left")
-    return out.select((F.col("_b") + F.col("_i")).alias("task"), "lesson_id", "segment_id", "concept_ids", F.coalesce("unknown", F.array().cast(_NONE)).alias("unknown"))
+    out = ordinals(kept, "lesson_id", "segment_ord", name="task").join(unknown, ["lesson_id", "segment_ord"], "left")
+    return out.select("task", "lesson_id", "segment_id", "concept_ids", F.coalesce("unknown", F.array().cast(_NONE)).alias("unknown"))
 
 
 def labels_for(interpretations: DataFrame, pattern: str) -> DataFrame:
