@@ -30,8 +30,8 @@ def _small_hex(json: Column) -> Column:
     return json
 
 
-def _leaf(c: Column) -> Column:
-    """A column's value as JSON."""
+def json_scalar(c: Column) -> Column:
+    """A column's value as JSON; null for null."""
     return F.coalesce(_small_hex(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")), F.lit("null"))
 
 
@@ -41,7 +41,7 @@ def sorted_json(fields: dict, spaced: bool = False) -> Column:
     if fields.keys() == {""}:
         return F.coalesce(fields[""], F.lit("null"))
     comma, colon = (", ", ": ") if spaced else (",", ":")
-    parts = [F.concat(F.lit(f'"{k}"{colon}'), sorted_json(v, spaced) if isinstance(v, dict) else _leaf(v)) for k, v in sorted(fields.items())]
+    parts = [F.concat(F.lit(f'"{k}"{colon}'), sorted_json(v, spaced) if isinstance(v, dict) else json_scalar(v)) for k, v in sorted(fields.items())]
     return F.concat(F.lit("{"), F.concat_ws(comma, *parts), F.lit("}"))
 
 

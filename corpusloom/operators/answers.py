@@ -129,6 +129,30 @@ def subject_audits(answers: DataFrame) -> DataFrame:
     return rows.select(*answers.columns, "flags", "repair_plan", "missed_merges", reliability.alias("reliability"), F.struct(*AUDIT_SCORES).alias("scores"), "problem")
 
 
+def quality_audits(answers: DataFrame, name: str, with_flags: bool = False) -> DataFrame:
+    """answers (scope_id, answer, ...) of an audit of segments or, with_flags, of kinds of knowledge: scores (JSON), reliability,
+    findings and repair_instructions, or flags, findings and repair_plan, as lists of JSON texts, and problem.
+
+    Nothing is judged here (see verdicts.quality_audit_errors()): what is not there is an empty object or list.
+    """
+    rows = parsed(answers, name=f"{name} quality audit output")
+    given = lambda f: F.try_variant_get("_v", f"$.{f}", "variant")
+    scores_ = F.when(F.schema_of_variant(given("scores")).startswith("OBJECT"), F.to_json(given("scores")))
+    listed = lambda f: F.transform(F.coalesce(_list("_v", f, of="variant"), _none("array<variant>")), lambda x: F.coalesce(F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")), F.to_json(x))).alias(f)
+    lists = ("flags", "findings", "repair_plan") if with_flags else ("findings", "repair_instructions")
+    return rows.select(*answers.columns, F.when(F.col("problem").isNull(), F.coalesce(scores_, F.lit("{}"))).alias("scores"), _get("_v", "reliability").alias("reliability"), *(F.when(F.col("problem").isNull(), listed(f)).alias(f) for f in lists), "problem")
+
+
+def type_classifications(answers: DataFrame) -> DataFrame:
+    """answers (scope_id, answer, ...) with classifications (concept_id, knowledge_type, rationale, confidence as JSON or null) and problem; what is no object is left out."""
+    rows = parsed(answers, name="knowledge type classification output")
+    field = lambda x, f: F.trim(_get(x, f, default="")).alias(f)
+    sure = lambda x: F.nullif(F.to_json(F.try_variant_get(x, "$.confidence", "variant")), F.lit("null")).alias("confidence")
+    one = lambda x: F.struct(field(x, "concept_id"), F.lower(field(x, "knowledge_type")).alias("knowledge_type"), field(x, "rationale"), sure(x))
+    found = F.transform(F.coalesce(_objects("_v", "classifications"), _none("array<variant>")), one)
+    return rows.select(*answers.columns, F.when(F.col("problem").isNull(), found).alias("classifications"), "problem")
+
+
 def segments(answers: DataFrame) -> DataFrame:
     """answers (lesson_id, answer, ...) with segments (label, concept_ids), blanks taken off, and problem; no list gives none."""
     rows = parsed(answers)

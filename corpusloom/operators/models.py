@@ -81,6 +81,25 @@ def stand_in_extraction(sources: DataFrame) -> DataFrame:
     )
 
 
+#: What the stand-in says of metadata alone.
+METADATA_SAYS = {
+    "description": "Deterministic workbook-metadata candidate for offline pipeline smoke runs.", "criterion": "Student can summarize the main teaching signal from the workbook row.", "evidence_type": "workbook_metadata",
+    "metadata_grounded_rationale": "Offline fixture preserves the workbook row as a candidate.", "granularity_rationale": "One candidate keeps the fixture small while exercising the stage contract.",
+}
+
+
+def stand_in_metadata(studies: DataFrame) -> DataFrame:
+    """studies (self_study_id, title) with answer: one candidate for each, as a model would answer in JSON."""
+    said = {k: F.lit(v) for k, v in METADATA_SAYS.items()}
+    anchor = F.struct(F.lit("workbook_title").alias("kind"), F.lit("Title").alias("locator"))
+    reason = F.struct(*(said[k].alias(k) for k in ("metadata_grounded_rationale", "granularity_rationale")))
+    candidate = F.struct(
+        F.concat(F.lit("metadata-candidate-"), F.col("self_study_id").cast("string"), F.lit("-001")).alias("candidate_id"), F.col("title").alias("label"), said["description"].alias("description"), F.array(said["criterion"]).alias("coverage_criteria"),
+        said["evidence_type"].alias("evidence_type"), F.array(anchor).alias("metadata_anchors"), reason.alias("extraction_reason"),
+    )
+    return studies.withColumn("answer", F.to_json(F.struct(F.array(candidate).alias("candidate_concepts"))))
+
+
 def stand_in_reduction(inputs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(accepted, sources, assignments) that take every candidate (scope_id, ord, candidate_id, label, description) as it is."""
     ids = F.concat(F.lit("k_"), F.col("candidate_id"))

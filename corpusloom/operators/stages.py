@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import text
 from corpusloom.operators import joins
+from corpusloom.operators.graph import KNOWLEDGE_TYPES
 from corpusloom.operators.ordinals import ordinals
 
 _NONE = "array<string>"
@@ -36,6 +37,43 @@ def candidate_sources(studies: DataFrame, passes: DataFrame, metadata: DataFrame
     return body.unionByName(rest).select("scope_id", ord_, "namespace", "artifact_path", "lesson_id", "self_study_id", "model_route", "evidence_type", "candidates")
 
 
+def subject_sources(lessons: DataFrame, reconciled: DataFrame) -> DataFrame:
+    """Sources of candidates for a subject's registry: a row for each lesson (subject_id, ord, lesson_id, title) whose result is
+    there. reconciled: lesson_id, artifact_path, artifact_type, concepts (array of structs with reconciled_candidate_id, label, evidence).
+
+    Lessons are numbered in their order, those without a result as well. A result of another type makes the lesson blocked.
+    """
+    n = F.row_number().over(Window.partitionBy("subject_id").orderBy("ord"))
+    number = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
+    met = lessons.withColumn("namespace", F.concat(F.lit("lr"), number)).join(reconciled, "lesson_id")
+    kind = F.lit("lesson_reconciliation")
+    candidate = lambda x: F.struct(text(x["reconciled_candidate_id"]).alias("candidate_id"), x["label"].alias("label"), F.flatten(F.array_compact(F.transform(x["evidence"], lambda e: e["anchors"]))).alias("source_anchors"))
+    return met.select(
+        "subject_id", "ord", "namespace", kind.alias("artifact_type"), "artifact_path", "lesson_id", kind.alias("evidence_type"), F.struct("lesson_id", F.col("title").alias("lesson_title")).alias("source_metadata"),
+        F.transform("concepts", candidate).alias("candidates"), (text("artifact_type") != kind).alias("blocked"),
+    )
+
+
+def refs_with_reason(items: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pruned candidates (scope_id, ord, candidate_ref, pruning_reason, explanation) by the registry's short ids; null where it has none."""
+    of = entries.select("scope_id", "candidate_ref", F.col("compact_id").alias("candidate_id")).groupBy("scope_id", "candidate_ref").agg(F.min("candidate_id").alias("candidate_id"))
+    return items.join(of, ["scope_id", "candidate_ref"], "left").select("scope_id", "ord", "candidate_id", "pruning_reason", "explanation")
+
+
+def compact_lessons(lessons: DataFrame) -> DataFrame:
+    """What a prompt is told of lessons."""
+    return lessons.select(F.col("lesson_id").alias("id"), "title", "description", "date", "display_code")
+
+
+def taxonomy(prompt: Column | str) -> Column:
+    """Kinds of knowledge to what a prompt's text says of them: `KIND (definition):` at the start of a line. A kind that it does not define is an error."""
+    c = F.col(prompt) if isinstance(prompt, str) else prompt
+    said = lambda k: F.regexp_extract(c, rf"(?m)^{k.upper()} \(([^)]*)\):", 1)
+    there = lambda k: c.rlike(rf"(?m)^{k.upper()} \([^)]*\):")
+    each = [x for k in KNOWLEDGE_TYPES for x in (F.lit(k), F.when(there(k), said(k)).otherwise(F.raise_error(F.lit(f"no definition of {k.upper()}"))))]
+    return F.create_map(*each)
+
+
 def extraction_sets(passes: DataFrame) -> DataFrame:
     """(lesson_id, self_study_id, passes, n_passes, n_candidates) of passes (lesson_id, self_study_id, ord, pass_id, n_candidates), in order."""
     listed = F.array_sort(F.collect_list(F.struct("ord", "pass_id", "n_candidates")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import answers, base, derived, documents, graphs, kept, media, records, repairs, rules, scalars, similarity, small, stages  # noqa: F401
+from corpusloom.plans import answers, base, derived, documents, graphs, kept, media, pieces, records, repairs, rules, scalars, similarity, small, stages  # noqa: F401
 
 
 def queries() -> dict:
