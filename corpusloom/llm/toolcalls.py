@@ -21,17 +21,19 @@ _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """What in value breaks schema (type, enum, required, properties, additionalProperties, items, minLength, minimum, maximum).
 
-    A type that JSON does not have is a violation too, whatever the value.
+    A type that JSON does not have is a violation too, whatever the value. Numbers are compared by value, so 1.0 is an integer and
+    equals 1; truth values are no numbers.
     """
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if odd := [str(k) for k in kinds if k not in _TYPES]:
         return [f"{at}: the schema asks for {'|'.join(odd)}, which is no type"]
-    fits = lambda k: isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number"))
+    whole = lambda k: k == "integer" and isinstance(value, float) and value.is_integer()
+    fits = lambda k: isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) or whole(k)
     if kinds and not any(map(fits, kinds)):
         return [f"{at}: not of type {'|'.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not one of the values allowed")
     if isinstance(value, dict):
         properties = schema.get("properties", {})
@@ -51,9 +53,28 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def _plain(value):
+    """value with whole numbers as integers, so that a number has one spelling."""
+    if isinstance(value, float) and value.is_integer():
+        return int(value)
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+def _object(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key comes twice")
+    return out
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces, and non-ASCII characters as they are. ValueError for what JSON or UTF-8 cannot say."""
-    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no spaces, whole numbers without a fraction or exponent, and non-ASCII characters as they are.
+
+    ValueError for what JSON or UTF-8 cannot say.
+    """
+    out = json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
     out.encode()  # a lone surrogate is no character
     return out
 
@@ -61,10 +82,11 @@ def canonical(value) -> str:
 def checked(arguments: str | None, schema: dict | None, name: str | None) -> tuple[object, list[str]]:
     """(value, errors) of a call's arguments. The value is null where they are no JSON that can be written again.
 
-    That is so for null, broken JSON, NaN and infinite numbers, lone surrogates, and nesting beyond what the parser takes.
+    That is so for null, broken JSON, a key that an object has twice, NaN and infinite numbers, lone surrogates, and nesting
+    beyond what the parser takes.
     """
     try:
-        value = json.loads(arguments or "")
+        value = json.loads(arguments or "", object_pairs_hook=_object)
         canonical([[value]])  # with room for what it is put into
         return value, violations(value, schema) if schema is not None else [f"{name}: no schema"]
     except (ValueError, RecursionError):

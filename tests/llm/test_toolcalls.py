@@ -102,3 +102,12 @@ def test_turns_that_call_tools(spark):
     assert [got[6, t].status for t in (0, 2, 4, 6, 8)] == ["linked", "cyclic", "cyclic", "cyclic", "cyclic"]
     assert got[7, 8].status == "pending" and {r.valid for r in got.values()} == {True, False}
     assert {json.loads(r.json)["name"] for r in got.values()} == {"respond", "search", "note"}
+
+
+def test_numbers_by_value_and_types_by_kind():
+    v, c = m.violations, m.canonical
+    assert v(1.0, {"type": "integer"}) == [] and v(1.5, {"type": "integer"}) and v(True, {"type": "integer"}) and v(True, {"type": "number"})
+    assert v(True, {"enum": [1]}) and v(1, {"enum": [True]}) and v(1.0, {"enum": [1]}) == [] and v([1, {"a": 2.0}], {"enum": [[1.0, {"a": 2}]]}) == []
+    assert c(json.loads("[100, 1e2, 100.0, -0.0, 1.5, 1e22]")) == "[100,100,100,0,1.5,10000000000000000000000]"
+    assert m.checked('{"a": 1, "b": {"c": 1, "c": 1}}', {}, "t") == (None, ["$: no JSON"])
+    assert m.checked('{"a": 1, "A": 1}', {}, "t") == ({"a": 1, "A": 1}, [])
