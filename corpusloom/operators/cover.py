@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.rounds import cut
+
 
 def stable_unique(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """(key, values): the different values of each key in the order of their first appearance."""
@@ -31,11 +33,13 @@ def repair(members: DataFrame, inputs: DataFrame) -> DataFrame:
     holds becomes a cluster of its own after the others, in input order, called added_001 and so on; numbers under
     which the scope has a cluster are passed over. Returns scope_id, cluster_id, candidate_id, pos and origin (kept or added).
     """
-    known = members.join(inputs.select("scope_id", "candidate_id").distinct(), ["scope_id", "candidate_id"], "left_semi")
-    first = F.min(F.struct("cluster_ord", "pos", "cluster_id")).alias("_m")
-    kept = known.groupBy("scope_id", "candidate_id").agg(first).select("scope_id", "_m.cluster_id", "candidate_id", F.col("_m.pos").cast("bigint").alias("pos"), F.lit("kept").alias("origin"))
-    missing = inputs.join(kept.select("scope_id", "candidate_id"), ["scope_id", "candidate_id"], "left_anti")
-    added = missing.groupBy("scope_id", "candidate_id").agg(F.min("ord").alias("ord"))
+    place = F.struct("cluster_ord", F.col("pos").cast("bigint").alias("pos"), "cluster_id")
+    both = members.select("scope_id", "candidate_id", place.alias("_m"), F.lit(None).cast(inputs.schema["ord"].dataType).alias("ord"), F.lit(False).alias("_in"))
+    both = both.unionByName(inputs.select("scope_id", "candidate_id", F.lit(None).cast(both.schema["_m"].dataType).alias("_m"), "ord", F.lit(True).alias("_in")))
+    met = cut(both.groupBy("scope_id", "candidate_id").agg(F.min("_m").alias("_m"), F.min("ord").alias("ord"), F.max("_in").alias("_in")).where("_in"), "cover")
+    held = "_m is not null and candidate_id is not null and scope_id is not null"  # a null is no member of anything
+    kept = met.where(held).select("scope_id", "_m.cluster_id", "candidate_id", "_m.pos", F.lit("kept").alias("origin"))
+    added = met.where(f"not ({held})").select("scope_id", "candidate_id", "ord")
     taken = kept.select("scope_id", "cluster_id").distinct().select("scope_id", _generated("cluster_id", "added_").alias("n")).where("n > 0")
     added = numbered_apart(added, taken, "scope_id", "ord", "candidate_id").select("scope_id", generated("added_", F.col("n")).alias("cluster_id"), "candidate_id", F.lit(0).cast("bigint").alias("pos"), F.lit("added").alias("origin"))
     return kept.unionByName(added)

@@ -8,7 +8,7 @@ inputs: scope_id, ord, candidate_id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import text
@@ -59,8 +59,8 @@ def references(assignments: DataFrame) -> DataFrame:
 def decision_violations(accepted: DataFrame, sources: DataFrame, assignments: DataFrame, inputs: DataFrame) -> DataFrame:
     """(scope_id, subject, violation) rows; none for a valid decision.
 
-    What a row shows by itself is checked where it is read. What tables have to agree on is counted: once by candidate,
-    once by concept and candidate, and from there by concept; so each table is moved once for each of these, not for each rule.
+    What a row shows by itself is checked where it is read. What tables have to agree on is counted over one union of facts by
+    candidate, and over another by concept and candidate and from there by concept: three shuffles for all rules.
     """
     blank = lambda c: F.trim(text(c)) == ""
     said = lambda *checks: F.explode(F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in checks))))
@@ -83,20 +83,23 @@ def decision_violations(accepted: DataFrame, sources: DataFrame, assignments: Da
         times("source is unknown", F.when(~known, F.col("s")).otherwise(0)), times("assigned candidate is unknown", F.when(~known, F.col("a")).otherwise(0)), times("candidate is assigned twice", (F.col("a") > 1).cast("int")),
         times("candidate has no assignment", ((F.col("i") > 0) & ((F.col("a") == 0) | F.col("candidate_id").isNull())).cast("int")), times("dropped candidate is used as evidence", F.when((F.col("s") > 0) & F.col("candidate_id").isNotNull(), F.col("d")).otherwise(0)),
     )))
-    # By concept and candidate: references and citations; then what concepts there are.
-    refs = references(assignments).select("scope_id", "accepted_id", "candidate_id", F.lit(1).alias("r"), F.lit(0).alias("s"))
-    cites = refs.unionByName(sources.select("scope_id", "accepted_id", "candidate_id", F.lit(0).alias("r"), F.lit(1).alias("s"))).groupBy("scope_id", "accepted_id", "candidate_id").agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
-    again = row(cites.where("s > 1"), "candidate_id", F.lit("source is repeated"))
-    ids = accepted.groupBy("scope_id", F.col("id").alias("accepted_id")).agg(F.count("*").alias("n"))
-    both = cites.join(ids, ["scope_id", "accepted_id"], "left")
-    loose = row(both.where("n is null and r > 0").withColumn("_v", F.explode(times("referenced concept is unknown", F.col("r")))), "accepted_id", F.col("_v"))
-    uncited = row(both.where("n is not null and s = 0").withColumn("_v", F.explode(times("concept does not cite its candidate", F.col("r")))), "candidate_id", F.col("_v"))
-    have = cites.where("s > 0").groupBy("scope_id", "accepted_id").agg(F.lit(True).alias("_has"))
-    named = F.trim(text("accepted_id")) != ""
-    of_ids = F.explode(F.flatten(F.array(times("accepted has no source", F.when(F.col("_has").isNull(), F.col("n")).otherwise(0)), times("accepted id is repeated", (named & (F.col("n") > 1)).cast("int")))))
+    # By concept and candidate: references, citations, and the concepts themselves; then what of these a concept has.
+    fact = lambda df, r, s, n: df.select("scope_id", "accepted_id", "candidate_id", F.lit(n > 0).alias("own"), F.lit(r).alias("r"), F.lit(s).alias("s"), F.lit(n).alias("n"))
+    cast = accepted.select("scope_id", F.col("id").alias("accepted_id"), F.lit(None).cast(sources.schema["candidate_id"].dataType).alias("candidate_id"))
+    facts = fact(references(assignments), 1, 0, 0).unionByName(fact(sources, 0, 1, 0)).unionByName(fact(cast, 0, 0, 1))
+    per = facts.groupBy("scope_id", "accepted_id", "own", "candidate_id").agg(*(F.sum(c).alias(c) for c in "rsn"))
+    of = Window.partitionBy("scope_id", "accepted_id")
+    named = F.col("accepted_id").isNotNull()
+    per = per.withColumns({"_there": named & (F.sum("n").over(of) > 0), "_has": named & (F.sum("s").over(of) > 0)})
+    both = F.flatten(F.array(
+        _named(times("source is repeated", (F.col("s") > 1).cast("int")), "candidate_id"), _named(times("referenced concept is unknown", F.when(~F.col("_there"), F.col("r")).otherwise(0)), "accepted_id"),
+        _named(times("concept does not cite its candidate", F.when(F.col("_there") & (F.col("s") == 0), F.col("r")).otherwise(0)), "candidate_id"), _named(times("accepted has no source", F.when(~F.col("_has"), F.col("n")).otherwise(0)), "accepted_id"),
+        _named(times("accepted id is repeated", ((F.trim(text("accepted_id")) != "") & (F.col("n") > 1)).cast("int")), "accepted_id"),
+    ))
+    of_concepts = per.select("scope_id", F.explode(both).alias("_x")).select("scope_id", F.col("_x.subject").alias("subject"), F.col("_x.violation").alias("violation"))
     checks = [
-        row(accepted.where(blank("id")), "ord", F.lit("accepted id is missing")), row(accepted.withColumn("_v", own), "id", F.col("_v")), row(ids.join(have, ["scope_id", "accepted_id"], "left").withColumn("_v", of_ids), "accepted_id", F.col("_v")),
-        row(assignments.withColumn("_v", given), "candidate_id", F.col("_v")), row(by.withColumn("_v", found), "candidate_id", F.col("_v")), again, loose, uncited,
+        row(accepted.where(blank("id")), "ord", F.lit("accepted id is missing")), row(accepted.withColumn("_v", own), "id", F.col("_v")), row(assignments.withColumn("_v", given), "candidate_id", F.col("_v")), row(by.withColumn("_v", found), "candidate_id", F.col("_v")),
+        of_concepts,
     ]
     out = checks[0]
     for c in checks[1:]:
@@ -104,6 +107,10 @@ def decision_violations(accepted: DataFrame, sources: DataFrame, assignments: Da
     return out
 
 
+def _named(codes: Column, subject: str) -> Column:
+    return F.transform(codes, lambda v: F.struct(F.col(subject).cast("string").alias("subject"), v.alias("violation")))
+
+
 def combine(accepted: DataFrame, scope: str = "scope_id") -> DataFrame:
     """Concepts of many clusters' decisions in one scope: ids are prefixed with their cluster, so that none clash."""
     return accepted.withColumn("id", F.concat_ws("__", F.col(scope).cast("string"), F.col("id")))

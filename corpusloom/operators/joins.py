@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import col, jaccard
+from corpusloom.operators.rounds import cut, release
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -129,23 +130,34 @@ def top_overlaps(pairs: DataFrame, k: int = 24) -> DataFrame:
     return pairs.orderBy(F.desc("overlap"), "left_key", "right_key").limit(k)
 
 
+#: Overlaps at which the most similar pairs are looked for before the least that counts.
+LEVELS = (0.95, 0.9)
+
+
 def most_similar(rows: DataFrame, key: str, tokens: str, threshold: float, block: str | None = None, k: int = 24) -> DataFrame:
     """top_overlaps() of overlap_pairs(), without the pairs that cannot be among them.
 
     A pair of sets stands for all pairs of their members, of which that of the smallest keys comes first: only the k
     first pairs of sets count, and of each set the k + 1 smallest keys. So a set that many rows share costs k + 1 of them.
+    Pairs of equal sets come first of all; then LEVELS are tried, from the highest: where k pairs reach a level, none below
+    it is among the first, and the higher a level the fewer tokens two sets can differ in, so the less there is to compare.
     """
     sets = _classes(rows, key, tokens, block)
     few = sets.select("_b", "_d", "_k").withColumn("_n", F.row_number().over(Window.partitionBy("_b", "_d").orderBy("_k"))).where(F.col("_n") <= k + 1).drop("_n")
-    lists = few.groupBy("_b", "_d").agg(F.array_sort(F.collect_list("_k")).alias("_m"))
-    near = _similar_sets(sets, threshold).select("_b", "left_d", "right_d", F.least("left_first", "right_first").alias("left_key"), F.greatest("left_first", "right_first").alias("right_key"), "overlap")
-    best = top_overlaps(near, k)
-    side = lambda end: lists.select("_b", F.col("_d").alias(f"{end}_d"), F.col("_m").alias(f"{end}_m"))
-    across = best.join(side("left"), ["_b", "left_d"]).join(side("right"), ["_b", "right_d"])
-    across = across.select(F.explode("left_m").alias("a"), "right_m", "overlap").select("a", F.explode("right_m").alias("b"), "overlap")
+    lists = cut(few.groupBy("_b", "_d").agg(F.array_sort(F.collect_list("_k")).alias("_m")), "lists")
     copies = top_overlaps(lists.where(F.size("_m") > 1).select("_m", F.lit(1.0).alias("overlap"), F.get("_m", F.lit(0)).alias("left_key"), F.get("_m", F.lit(1)).alias("right_key")), k)
     within = copies.select("_m", "overlap", F.explode("_m").alias("a")).select("a", F.explode("_m").alias("b"), "overlap").where("a < b")
-    return top_overlaps(_ordered(across.unionByName(within)), k)
+    best = cut(top_overlaps(_ordered(within), k), "most-similar")
+    side = lambda end: lists.select("_b", F.col("_d").alias(f"{end}_d"), F.col("_m").alias(f"{end}_m"))
+    levels = [x for x in LEVELS if x > threshold] + [threshold]
+    while levels and best.count() < k:
+        near = _similar_sets(sets, levels.pop(0)).select("_b", "left_d", "right_d", F.least("left_first", "right_first").alias("left_key"), F.greatest("left_first", "right_first").alias("right_key"), "overlap")
+        across = top_overlaps(near, k).join(side("left"), ["_b", "left_d"]).join(side("right"), ["_b", "right_d"])
+        across = across.select(F.explode("left_m").alias("a"), "right_m", "overlap").select("a", F.explode("right_m").alias("b"), "overlap")
+        best, before = cut(top_overlaps(_ordered(across.unionByName(within)), k), "most-similar"), best
+        release(before)
+    release(lists)
+    return best
 
 
 def ordered_union(entries: DataFrame, key: str, value: str, order: str) -> DataFrame:
