@@ -16,7 +16,7 @@ class MissingInput(ValueError):
 
 
 def artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """(stage, scope_id, payload) of a folder of artifacts; none where there is no folder. Of a stage and scope written twice see latest()."""
+    """(stage, scope_id, payload) of a folder of artifacts; none where there is no folder. A stage and scope can come more than once; see latest()."""
     return spark.read.schema(ARTIFACTS).json(path) if exists(spark, path) else spark.createDataFrame([], ARTIFACTS)
 
 
@@ -25,6 +25,11 @@ def write_artifacts(rows: DataFrame, path: str) -> None:
     rows.select("stage", "scope_id", "payload").write.mode("append").json(path)
 
 
+def latest(made: DataFrame, order: str) -> DataFrame:
+    """One artifact of each stage and scope: the last by a column that orders them."""
+    return made.groupBy("stage", "scope_id").agg(F.max_by("payload", order).alias("payload"))
+
+
 def required(made: DataFrame, stages: tuple[str, ...], scopes: DataFrame) -> DataFrame:
     """(stage, scope_id, problem) of what scopes (scope_id) lack of the stages that they need: missing, or not valid JSON."""
     needs = scopes.select("scope_id").distinct().select("scope_id", F.explode(F.array(*map(F.lit, stages))).alias("stage"))
