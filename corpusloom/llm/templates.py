@@ -62,6 +62,8 @@ _TAG = r"""</?[a-zA-Z][^\s/>]*+(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]
 _TOKEN = re.compile(rf"(?:[^<]++|<(?![a-zA-Z/!?]|\Z))++|{_TAG}|<!--.*?(?:-->|\Z)|<(?:[!?/].*?(?:>|\Z)|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _HARD, _SOFT, _HEAD = 1, 2, 3
+#: The bit that marks tokens of text.
+TEXT = 2
 
 
 @lru_cache(maxsize=1 << 16)
@@ -104,8 +106,12 @@ def _hash(token: str, place: int) -> int:
     return xxhash.xxh64_intdigest(token.encode("utf-8", "replace"), place)
 
 
-def parse(source: str) -> Page:
-    """A page as a tree, by HTML's rules as far as text depends on them. A tag that the page's end cuts off is dropped."""
+def parse(source: str, texts: bool = True) -> Page:
+    """A page as a tree, by HTML's rules as far as text depends on them. A tag that the page's end cuts off is dropped.
+
+    The last two bits of a token say what it is: none for a start tag, 1 for its end tag, TEXT for a piece of text (whose
+    tokens are left out, 0, unless texts).
+    """
     page, stack, open_ = Page(), [0], Counter()
     at, end = 0, len(source)
 
@@ -117,9 +123,10 @@ def parse(source: str) -> Page:
         m = _TOKEN.match(source, at)
         raw, at = m[0], m.end()
         if raw[0] != "<" or len(raw) > 1 and raw[1] not in "/!?" and not raw[1].isalpha():
-            token = _hash(" ".join(raw.split()), page.path[stack[-1]])
+            token = _hash(raw.strip(), page.path[stack[-1]]) | TEXT if texts else 0
             page.text.append((stack[-1], raw, token))
-            page.tokens.append(token)
+            if texts:
+                page.tokens.append(token)
             continue
         if len(raw) < 3 or not (raw[1].isalpha() or raw[1] == "/" and raw[2].isalpha()) or not raw.endswith(">"):
             continue
@@ -147,7 +154,7 @@ def parse(source: str) -> Page:
         page.parent.append(stack[-1])
         page.name.append(name)
         page.kind.append(kind)
-        page.path.append(_hash(place, page.path[stack[-1]]) & ~1)
+        page.path.append(_hash(place, page.path[stack[-1]]) & ~3)
         page.places.add(page.path[-1])
         page.tokens.append(page.path[-1])
         if name in RAW:
@@ -213,8 +220,8 @@ def best(found: dict[int, list[int]]) -> int:
 
 
 def main_text(source: str, template: frozenset | set, container: int) -> str:
-    """The slots of a page's main container, in order, white space in one space."""
-    page = parse(source)
+    """The slots of a page's main container, in order, white space in one space. template: tokens of text that are none."""
+    page = parse(source, bool(template))
     out = chrome(page)
     if not container or container not in page.path:
         container = best(prose(page, out, template))
@@ -347,22 +354,24 @@ def _shared_template(templates: DataFrame, columns: list[str], empty: tuple) ->
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens, container): tokens of the valid classes of each host with pages enough, and the path of its main container."""
+    """(host, tokens, container): pieces of text in the valid classes of each host with pages enough, and the path of its main
+    container. What lies between tags of the template is told by their paths."""
     found = materialise(candidates(pages), "html-classes")
     (shared,) = _shared_template(found, ["classes"], ([],))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=64)
-        def indexed(flat: tuple) -> tuple[dict[int, int], dict[int, int]]:
-            return {_unsigned(t): i for i, c in enumerate(flat) for t in c}, {i: len(c) for i, c in enumerate(flat)}
+        def indexed(flat: tuple) -> tuple[dict[int, int], dict[int, int], bool]:
+            by_token = {_unsigned(t): i for i, c in enumerate(flat) for t in c}
+            return by_token, {i: len(c) for i, c in enumerate(flat)}, any(t & TEXT for t in by_token)
 
         for batch in batches:
             orders: dict[tuple[str, int], list[int]] = {}
             words: dict[tuple[str, int], list[int]] = {}
             for host, source, classes in zip(*(batch.column(c) for c in ("host", "html", "classes"))):
                 host, classes = (host.as_py(), classes.as_py()) if classes.is_valid else (EVERY, shared)
-                page = parse(source.as_py() or "")
-                by_token, sizes = indexed(tuple(map(tuple, classes)))
+                by_token, sizes, texts = indexed(tuple(map(tuple, classes)))
+                page = parse(source.as_py() or "", texts)
                 for c, (order, fine) in straddled(page.tokens, by_token, sizes).items():
                     entry = orders.setdefault((host, c), [order, order, 1])
                     entry[:] = min(entry[0], order), max(entry[1], order), entry[2] & fine
@@ -379,7 +388,7 @@ def templates(pages: DataFrame) -> DataFrame:
     main = F.max_by(F.when(F.col("rank") > 0, F.col("id")), F.when(F.col("rank") > 0, F.struct("rank", "words", "id")))
     valid = F.collect_list(F.when((F.col("rank") == 0) & (F.col("least") == F.col("most")) & (F.col("fine") == 1), F.col("id")))
     decided = seen.groupBy("host").agg(main.alias("container"), valid.alias("valid"))
-    tokens = F.flatten(F.transform("valid", lambda i: F.element_at("classes", (i + 1).cast("int"))))
+    tokens = F.filter(F.flatten(F.transform("valid", lambda i: F.element_at("classes", (i + 1).cast("int")))), lambda t: t.bitwiseAND(F.lit(TEXT)) != 0)
     return materialise(found.join(decided, "host", "left").select("host", F.coalesce(tokens, F.array().cast("array<bigint>")).alias("tokens"), F.coalesce("container", F.lit(0)).alias("container")), "html-templates")
 
 
