@@ -63,6 +63,8 @@ def numbered_apart(rows: DataFrame, taken: DataFrame, scope: str, *order: str) -
     The j-th number taken, t, has t - j free ones below it, so it is passed over by the rows after these: a running count.
     """
     of = Window.partitionBy(scope)
+    if taken.isEmpty():  # nothing to pass over
+        return rows.withColumn("n", F.row_number().over(of.orderBy(*order)))
     below = F.col("n") - F.row_number().over(of.orderBy("n"))
     free = taken.select(scope, below.alias("_at"), F.lit(1).alias("_taken"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != scope))
     own = rows.select("*", (F.row_number().over(of.orderBy(*order)) - 1).alias("_at"), F.lit(0).alias("_taken"))
