@@ -134,28 +134,32 @@ class ArtifactFiles(DataSource):
         return _Writer(self.options["path"], self.options.get("sort", "false").lower() == "true")
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A folder as Spark's readers name it, with its scheme, whether it was given as a path, an address or relative."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def write_files(rows: DataFrame, path: str, sort: bool = False) -> None:
     """Write rows (scope, name, payload) as files path/scope/name, all or none. Names that end in .json are JSON, set out
-    with an indent; others are text as it is. Two rows for one file are an error. path is a URI that pyarrow's file systems know."""
-    rows.sparkSession.dataSource.register(ArtifactFiles)
+    with an indent; others are text as it is. Two rows for one file are an error. path is a folder that Spark and pyarrow's file systems know."""
+    spark = rows.sparkSession
+    spark.dataSource.register(ArtifactFiles)
     chosen = rows.select(*(F.col(c).cast("string").alias(c) for c in ("scope", "name", "payload")))
-    chosen.write.format("artifact_files").mode("append").option("path", path).option("sort", str(sort).lower()).save()
+    # Without its scheme, as pyarrow takes a local path as it stands but wants addresses percent-encoded.
+    at = _qualified(spark, path).removeprefix("file:")
+    chosen.write.format("artifact_files").mode("append").option("path", at).option("sort", str(sort).lower()).save()
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(scope, name, payload) of the files of a folder, as they are; empty ones are not listed by Spark."""
+    base = _qualified(spark, path).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    place = F.regexp_extract("path", r"^" + _pattern(path) + r"/(?:(.*)/)?([^/]+)$", 1), F.regexp_extract("path", r"([^/]+)$", 1)
-    rows = files.select(place[0].alias("scope"), place[1].alias("name"), F.decode("content", "UTF-8").alias("payload"))
+    at = F.col("path").substr(F.lit(len(base) + 1), F.length("path"))
+    rows = files.select(F.regexp_extract(at, r"^(?:(.*)/)?([^/]+)$", 1).alias("scope"), F.regexp_extract(at, r"([^/]+)$", 1).alias("name"), F.decode("content", "UTF-8").alias("payload"))
     return rows.where(~F.col("scope").rlike(f"^({STAGING}|{COMMITS})(/|$)"))
 
 
-def _pattern(path: str) -> str:
-    """A regular expression for a folder's URI, however many slashes its scheme has."""
-    bare = path.rstrip("/").removeprefix("file:").lstrip("/")
-    return (r"file:/+" if path.startswith("file:") else "") + "".join(f"\\{c}" if not c.isalnum() and ord(c) < 128 else c for c in bare)
-
-
 def stage_files(results: DataFrame, log: DataFrame, stage: str, artifact: str) -> DataFrame:
     """Files of a stage's outcome (operators.runner): each scope's artifact, and its raw answers attempt by attempt.
 

@@ -35,6 +35,14 @@ def test_files_are_written_all_or_none(spark, tmp_path):
     assert (tmp_path / "out/a/y.txt").read_text() == "new"
 
 
+@pytest.mark.parametrize("given", ["{}", "{}/", "file:{}", "file://{}"])
+def test_files_are_found_however_their_folder_is_given(spark, tmp_path, given):
+    path = given.format(tmp_path / "o.u+t é 1")
+    rows = {("a/b", "x.txt", "1"), ("c", "y.txt", "2"), ("", "z.txt", "3")}
+    sinks.write_files(spark.createDataFrame(sorted(rows), sinks.FILES), path)
+    assert {tuple(r) for r in sinks.read_files(spark, path).collect()} == rows
+
+
 def test_a_commit_whose_driver_is_lost_is_finished(tmp_path):
     base = tmp_path / "out"
     (base / "_staging/j/0-1/s").mkdir(parents=True)
