@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +91,12 @@ def free_name(columns: list[str], wanted: str) -> str:
 def held_out(doc_id: Column) -> Column:
     """True for rows of the held-out fold; a null id is in no fold, so false."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT_REMAINDER, F.lit(False))
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: drivers and Python workers live long after what they held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import free_name, materialise, table
+from corpusloom.llm.common import free_name, give_back, materialise, table
 
 #: Bytes that stand in words: digits, letters (A-Z folded) and all of non-ASCII characters.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or b >= 0x61 and b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -91,9 +91,11 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
                     numbers, parts, ids, starts, lengths, at, serial = {}, [], [], [], [], 0, serial + 1
         if ids:
             yield from flush(id_type)
+        numbers, parts, ids, starts, lengths = {}, [], [], [], []
+        give_back()
 
     schema = _INDEX.format(id=docs.schema["doc_id"].dataType.simpleString())
-    return materialise(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "postings", "kind")
+    return materialise(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "postings")
 
 
 def _shifted(places: np.ndarray, offset: int) -> np.ndarray:
@@ -243,7 +245,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     marked = docs.withColumn(key, F.sha1(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
     known = marked.select(F.col(key).alias("doc_id"), "text")
     bad = contamination(build_index(known), items, window).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
-    return marked.join(bad, key, "left_anti").select(*docs.columns)
+    return marked.join(bad.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)  # keys are hashed, so texts need no sort
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import free_name, materialise, release, table
+from corpusloom.llm.common import free_name, give_back, materialise, release, table
 from corpusloom.llm.components import connected_components
 
 BITS = 64
@@ -327,6 +327,7 @@ def _signatures(docs: DataFrame, shingle: int, words: int) -> DataFrame:
                 sizes.append(len(hashes))
                 found.append(bands(hashes))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(_DIGEST), pa.array(fps.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", _DIGEST, "fp", "size", "bands"])
+        give_back()
 
     chosen = docs.select("doc_id", _DIGEST, F.col("text").cast("binary").alias("_text"))
     return chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_DIGEST} string, fp bigint, size bigint, bands array<bigint>")
@@ -337,6 +338,7 @@ def _shingles(texts: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             found = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("no"), pa.array(found, pa.list_(pa.int64()))], names=["no", "shingles"])
+        give_back()
 
     return texts.mapInArrow(run, "no bigint, shingles array<bigint>")
 
@@ -436,7 +438,7 @@ def _classes(docs: DataFrame, fps: DataFrame, max_distance: int, segments: int |
     links = same.unionByName(across).unionByName(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialise(links, "simhash-candidates")
     ends = links.select(F.col("a").alias("no")).union(links.select(F.col("b").alias("no"))).distinct().join(nodes, "no").select("no", "node", F.col("first").alias("doc_id"))
-    texts = docs.join(ends.hint("merge"), (docs["doc_id"].eqNullSafe(ends["doc_id"])) & (docs[_DIGEST] == ends["node"])).select("no", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    texts = docs.join(ends.hint("shuffle_hash"), (docs["doc_id"].eqNullSafe(ends["doc_id"])) & (docs[_DIGEST] == ends["node"])).select("no", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     sets = materialise(_shingles(texts, words).dropDuplicates(["no"]), "simhash-shingles")
     side = lambda end: sets.select(F.col("no").alias(end), F.col("shingles").alias(f"{end}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -468,7 +470,7 @@ def keep_one(docs: DataFrame, max_distance: int = 6, segments: int | None = None
     fps = materialise(_signatures(known, shingle, words), "simhash-fp")
     classes = _classes(known, fps, max_distance, segments, words, similarity)
     stay = materialise(classes.where("stays").select(F.col("doc_id").alias("_stay"), F.col(_DIGEST).alias("_text")), "simhash-stay")
-    kept = marked.join(stay.hint("merge"), (marked[digest] == stay["_text"]) & marked["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    kept = marked.join(stay.hint("shuffle_hash"), (marked[digest] == stay["_text"]) & marked["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
     repeated = not fps.groupBy("doc_id", _DIGEST).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     release(fps)
     if repeated:

@@ -7,7 +7,6 @@ document labels through the noisy-or, so they settle on the sentences that expla
 
 from __future__ import annotations
 
-import ctypes
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, table
+from corpusloom.llm.common import give_back, held_out, table
 
 #: Score from which a document is called toxic, and a sentence offending.
 THRESHOLD = 0.3
@@ -169,15 +168,6 @@ def fit(texts: list[str], labels: np.ndarray, weight: np.ndarray | None = None,
     return Model({f: float(theta[i]) for f, i in number.items() if abs(theta[i]) >= LEAST_WEIGHT}, float(theta[-1]))
 
 
-def give_back() -> None:
-    """Return what training has freed to the system, where the C library can: a driver lives long after it."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
     """Learn from labelled rows outside the held-out fold: about so many toxic and clean ones, by a hash of doc_id.
 
@@ -235,6 +225,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             ok = [sent.value.document(t.as_py()) < THRESHOLD for t in batch.column("text")]
             yield batch.filter(pa.array(ok, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -42,3 +42,14 @@ def test_stages_take_and_give_columns_of_documents(spark, tmp_path):
         out = stage(spark, table, str(tmp_path))
         assert out.columns == table.columns
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "mixing", "sharding"]
+
+
+def test_whole_texts_are_joined_without_a_sort(spark):
+    from corpusloom.llm import decontaminate, simhash
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, "one two three"), (3, "other words here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("i", "other words here")], "item_id string, text string")
+    for kept, kind, ids in ((simhash.keep_one(docs), "LeftSemi", [1, 3]), (decontaminate.drop_contaminated(docs, items), "LeftAnti", [1, 2])):
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert any("ShuffledHashJoin" in line and kind in line for line in plan.split("\n"))
+        assert sorted(r.doc_id for r in kept.collect()) == ids
