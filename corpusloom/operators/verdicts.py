@@ -47,6 +47,15 @@ def _listed(ids: Column) -> Column:
     return F.array_join(ids, ", ")
 
 
+def each_error(checked: DataFrame, key: str) -> DataFrame:
+    """(key, error) of checked (key, errors), a row for each error.
+
+    An outer explode: for an inner one Spark filters by the size of errors first, pushes that below the answer's parsing and
+    so makes all of it again for every element that is looked at.
+    """
+    return checked.select(key, F.posexplode_outer("errors").alias("_at", "error")).where("_at is not null").drop("_at")
+
+
 def segment_errors(rows: DataFrame, name: str = "lesson_segment_decision") -> DataFrame:
     """(lesson_id, errors) of rows (lesson_id, segments, expected_concept_ids): every expected concept in one segment, and no other."""
     known = lambda x: F.array_contains("expected_concept_ids", x)

@@ -55,7 +55,7 @@ def segment_errors(t: Tables) -> DataFrame:
     more = F.concat(even, F.when(o % 4 == 0, F.array(F.lit("zz"))).otherwise(none), F.when(o % 7 == 0, F.slice(every, 1, 1)).otherwise(none))
     answer = F.to_json(F.struct(F.array(F.struct(F.when(o % 3 == 0, " ").otherwise(" a ").alias("label"), odd.alias("concept_ids")), F.struct(F.lit("b").alias("label"), more.alias("concept_ids"))).alias("segments")))
     found = answers.segments(_lines(t).select(o.alias("lesson_id"), answer.alias("answer"), F.concat(every, F.when(o % 11 == 0, F.array(F.lit("x9"))).otherwise(none)).alias("expected_concept_ids")))
-    return verdicts.segment_errors(found, "d").select("lesson_id", F.explode("errors").alias("error"))
+    return verdicts.each_error(verdicts.segment_errors(found, "d"), "lesson_id")
 
 
 @query(_LINES + """select o as lesson_id, 'd must preserve Segment count' as error from c where o % 5 = 0 union all select o, 'd.segments are missing Concept IDs: ' || array_to_string(even, ', ') from c where o % 5 = 0 and len(even) > 0
