@@ -26,7 +26,7 @@ def conversation_pace(t: Tables) -> DataFrame:
 f as (select o_orderkey as book_id, list_filter([case when got is null then 'empty_page_manifest' end, case when n_missing > 0 then 'missing_reader_pageid' end, case when got is distinct from [1, 2, 3] then 'page_coverage_mismatch' end], lambda x: x is not null) as fails, coalesce(n_low, 0) as n_low from orders left join p on book_id = o_orderkey)
 select book_id, array_to_string(fails, ',') as failures, case when len(fails) > 0 then 'failed_gate' when n_low > 0 then 'passed_with_warnings' else 'passed' end as status from f""")
 def book_gates(t: Tables) -> DataFrame:
-    captures = t.lineitem.select(F.col("l_orderkey").alias("book_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("page_index"), F.col("l_linenumber").cast("string").alias("label"), F.when(F.col("l_partkey") % 50 == 0, "").otherwise("p").alias("pageid"), F.col("l_quantity").alias("words"))
+    captures = t.lineitem.select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("page_index"), F.col("l_linenumber").cast("string").alias("label"), F.when(F.col("l_partkey") % 50 == 0, "").otherwise("p").alias("pageid"), F.col("l_quantity").alias("words"))
     requested = t.orders.select(F.col("o_orderkey").alias("book_id"), F.array(F.lit("1"), F.lit("2"), F.lit("3")).alias("labels"))
     return media.book_gate(captures, requested).select("book_id", F.array_join("failures", ",").alias("failures"), "status")
 
