@@ -65,7 +65,7 @@ def source_fingerprints(t: Tables) -> DataFrame:
 @query(r"""with p as (select p_partkey, p_name, p_brand, p_size, 'https://api.firecrawl.dev/v2/scrape' as e, to_json(p_name) as n from part),
 j as (select *, '{"endpoint":"' || e || '","request_params":{"formats":["markdown",{"size":' || p_size || ',"type":"x"}]' as head, ',"onlyMain":' || case when p_size % 2 = 0 then 'true' else 'false' end as only_, ',"url":' || n || '},"strategy":"' || p_brand || '"}' as tail from p)
 select p_partkey, sha256(head || only_ || tail) as key, sha256(head || ',"maxAge":' || p_size || only_ || ',"timeout":' || case when p_size % 4 = 0 then 120000 else p_partkey end || tail) as exact,
-  case when p_size % 4 = 0 then 3 else 4 end::integer as n_keys, sha256('{"book_id": "' || p_partkey || '", "capture_version": "browserbase_book_capture_v2", "resource_code": ' || case when p_size % 5 = 0 then 'null' else to_json(p_brand) end || ', "scope": {"kind": "pages", "status": "ok", "value": ' || n || '}, "scope_prompt_version": "book_scope_deepseek_v1", "url": "http://b/' || p_size || '"}') as book from j""")
+  case when p_size % 4 = 0 or p_partkey in (120000, 240000) then 3 else 4 end::integer as n_keys, sha256('{"book_id": "' || p_partkey || '", "capture_version": "browserbase_book_capture_v2", "resource_code": ' || case when p_size % 5 = 0 then 'null' else to_json(p_brand) end || ', "scope": {"kind": "pages", "status": "ok", "value": ' || n || '}, "scope_prompt_version": "book_scope_deepseek_v1", "url": "http://b/' || p_size || '"}') as book from j""")
 def cache_keys(t: Tables) -> DataFrame:
     """Keys of pages' requests, with and without what passes, and of books' captures."""
     size, k = F.col("p_size"), F.col("p_partkey")

@@ -46,3 +46,9 @@ def test_books_pages_keep_their_order_beside_large_part_keys(spark, tmp_path):
     lines = spark.createDataFrame([(1, 1, 2_500_001, 30.0), (1, 2, 11, 30.0), (1, 3, 1_200_003, 30.0), (2, 2, 7, 30.0), (2, 3, 9, 30.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double")
     found = assert_same_as_sql(spark, tmp_path, "book_gates", lineitem=lines, orders=spark.createDataFrame([(1,), (2,), (3,)], "o_orderkey long"))
     assert [r[2] for r in found] == ["passed", "failed_gate", "failed_gate"]
+
+
+def test_keys_of_requests_with_a_limit_that_is_tried_anyway_come_once(spark, tmp_path):
+    part = spark.createDataFrame([(k, f"n {k}", "Brand#1", size) for k, size in ((120_000, 1), (120_001, 1), (120_002, 4), (240_000, 2), (240_000_000, 3))], "p_partkey long, p_name string, p_brand string, p_size int")
+    found = assert_same_as_sql(spark, tmp_path, "cache_keys", part=part)
+    assert {r[-1]: r[3] for r in found} == {"120000": "3", "120001": "4", "120002": "3", "240000": "3", "240000000": "4"}
