@@ -49,14 +49,17 @@ def interpretation_counts(t: Tables) -> DataFrame:
     return labels.interpretation_summary(_interpreted(t))
 
 
-@query(r"""with f as (select page_id, url, html, case when page_id % 3 = 0 then '{"kind":"local_file","path":' || to_json(url) || ',"sha256":"' || sha256(html) || '","size_bytes":' || strlen(html) || '}' when page_id % 3 = 1 then '{"kind":"remote_video_url","url":' || to_json(regexp_replace(url, '#.*$', '')) || '}'
-  else '{"kind":"unresolved_source","source":' || to_json('é ' || left(html, 300)) || '}' end as fingerprint from pages)
+@query(r"""with i as (select url, arg_min(html, page_id) as html from pages where page_id % 3 = 0 and html is not null group by url),
+f as (select page_id, case when page_id % 3 < 2 and i.url is not null then '{"kind":"local_file","path":' || to_json(p.url) || ',"sha256":"' || sha256(i.html) || '","size_bytes":' || strlen(i.html) || '}' when page_id % 3 < 2 and regexp_matches(p.url, '^https?://', 'i') then '{"kind":"remote_video_url","url":' || to_json(regexp_replace(p.url, '#.*$', '')) || '}'
+  else '{"kind":"unresolved_source","source":' || coalesce(to_json(case when page_id % 3 < 2 then p.url else 'é ' || left(p.html, 300) end), 'null') || '}' end as fingerprint from pages p left join i using (url))
 select page_id, fingerprint, sha256('{"audio_pass_version":"audio_grounding_v1","preferred_languages":["pt","en"],"source":' || fingerprint || ',"whisper_extra_args":[],"whisper_model":"large.bin"}') as key from f""")
 def source_fingerprints(t: Tables) -> DataFrame:
-    """Fingerprints of sources that are files, addresses or neither, and the keys made of them."""
+    """Fingerprints of sources that are files, addresses or neither, and the keys made of them. An address of which there is a file is that file;
+    of several pages at one address the file is that of the smallest page_id."""
     k = F.col("page_id")
-    index = t.pages.where(k % 3 == 0).select(F.col("url").alias("path"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.octet_length("html").alias("length")).dropDuplicates(["path"])
-    sources = t.pages.select("page_id", F.when(k % 3 == 0, F.col("url")).when(k % 3 == 1, F.col("url")).otherwise(F.concat(F.lit("é "), F.left("html", F.lit(300)))).alias("source"))
+    files_of = t.pages.where((k % 3 == 0) & F.col("html").isNotNull()).groupBy(F.col("url").alias("path")).agg(F.min_by("html", "page_id").alias("html"))
+    index = files_of.select("path", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.octet_length("html").alias("length"))
+    sources = t.pages.select("page_id", F.when(k % 3 < 2, F.col("url")).otherwise(F.concat(F.lit("é "), F.left("html", F.lit(300)))).alias("source"))
     found = files.fingerprints(sources, index)
     key = files.audio_key(F.col("fingerprint"), F.array(F.lit("pt"), F.lit("en")), F.lit("/m/large.bin"), F.array().cast("array<string>"))
     return found.select("page_id", "fingerprint", key.alias("key"))

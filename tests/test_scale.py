@@ -52,3 +52,11 @@ def test_keys_of_requests_with_a_limit_that_is_tried_anyway_come_once(spark, tmp
     part = spark.createDataFrame([(k, f"n {k}", "Brand#1", size) for k, size in ((120_000, 1), (120_001, 1), (120_002, 4), (240_000, 2), (240_000_000, 3))], "p_partkey long, p_name string, p_brand string, p_size int")
     found = assert_same_as_sql(spark, tmp_path, "cache_keys", part=part)
     assert {r[-1]: r[3] for r in found} == {"120000": "3", "120001": "4", "120002": "3", "240000": "3", "240000000": "4"}
+
+
+def test_an_address_of_several_pages_has_one_file(spark, tmp_path):
+    at = "http://a.example/x"
+    pages = spark.createDataFrame([(9, at, "later"), (3, at, "first"), (4, at, "other"), (5, at, "none"), (1, "http://a.example/y", "remote"), (6, "http://a.example/z", None), (12, None, "nowhere")], "page_id long, url string, html string")
+    found = {r[-1]: r[0] for r in assert_same_as_sql(spark, tmp_path, "source_fingerprints", pages=pages)}
+    assert found["9"] == found["3"] == found["4"] and '"size_bytes":5' in found["3"] and '"kind":"local_file"' in found["3"]
+    assert '"kind":"remote_video_url"' in found["1"] and '"kind":"remote_video_url"' in found["6"] and '"kind":"unresolved_source"' in found["5"]
