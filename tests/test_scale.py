@@ -60,3 +60,10 @@ def test_an_address_of_several_pages_has_one_file(spark, tmp_path):
     found = {r[-1]: r[0] for r in assert_same_as_sql(spark, tmp_path, "source_fingerprints", pages=pages)}
     assert found["9"] == found["3"] == found["4"] and '"size_bytes":5' in found["3"] and '"kind":"local_file"' in found["3"]
     assert '"kind":"remote_video_url"' in found["1"] and '"kind":"remote_video_url"' in found["6"] and '"kind":"unresolved_source"' in found["5"]
+
+
+def test_candidates_of_a_subject_stand_where_they_first_come(spark, tmp_path):
+    kept = [k for k in range(1880, 3600, 200) if k % 9]
+    part = spark.createDataFrame([(k, "Brand#22", f"n{k}", "SMALL TIN", 7) for k in reversed(kept)], "p_partkey long, p_brand string, p_name string, p_type string, p_size int")
+    found = assert_same_as_sql(spark, tmp_path, "residual_duplicates", part=part)
+    assert [r[0] for r in found] == [",".join(f"c{k}" for k in kept)]
