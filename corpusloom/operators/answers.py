@@ -34,9 +34,20 @@ def _none(kind: str = _STRINGS) -> Column:
     return F.array().cast(kind)
 
 
+def _is_object(v: Column | str) -> Column:
+    """Whether a variant is an object; its schema, which would say so too, is made of all that is in it."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
+
+
 def _objects(v: Column | str, *names: str) -> Column:
     """The objects in a list of an answer; null where there is no such list."""
-    return F.filter(_list(v, *names, of="variant"), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    return F.filter(_list(v, *names, of="variant"), _is_object)
+
+
+def _fields(objects: Column, *, strings: tuple[str, ...], lists: tuple[str, ...]) -> Column:
+    """Variants as structs of these fields, all taken in one pass; blank strings are null."""
+    kind = "struct<" + ",".join([f"{f}:string" for f in strings] + [f"{f}:array<string>" for f in lists]) + ">"
+    return F.transform(F.transform(objects, lambda x: F.try_variant_get(x, "$", kind)), lambda x: F.struct(*(F.nullif(x[f], F.lit("")).alias(f) for f in strings), *(x[f].alias(f) for f in lists)))
 
 
 def _unique(ids: Column) -> Column:
@@ -46,7 +57,7 @@ def _unique(ids: Column) -> Column:
 def parsed(answers: DataFrame, answer: str = "answer", needs: tuple[str, ...] = (), name: str = "model output") -> DataFrame:
     """answers with _v, the parsed answer, and problem: what keeps it from being used. needs: lists that it must have."""
     rows = answers.withColumn("_v", F.try_parse_json(F.col(answer)))
-    problem = F.when(F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT"), f"{name} must be a JSON object")
+    problem = F.when(~_is_object("_v"), f"{name} must be a JSON object")
     for n in needs:
         problem = problem.when(_list("_v", *n.split("|"), of="variant").isNull(), f"{name} must include {n.split('|')[0]}")
     return rows.withColumn("problem", problem)
@@ -81,11 +92,14 @@ def clusters(answers: DataFrame) -> DataFrame:
 def repairs(answers: DataFrame) -> DataFrame:
     """answers (scope_id, target_candidate_ids, answer, ...) of a lesson's repair: new concepts, additions to existing ones, assignments, and their numbers."""
     rows = parsed(answers)
-    concept = lambda x: F.struct(*(_get(x, f).alias(f) for f in ("id", "label", "description", "merge_rationale")), _list(x, "coverage_criteria").alias("coverage_criteria"), _list(x, "source_candidate_ids").alias("source_candidate_ids"))
-    assignment = lambda x: F.struct(*(_get(x, f).alias(f) for f in ("candidate_id", "status")), _list(x, "accepted_ids").alias("accepted_ids"), _get(x, "merged_into").alias("merged_into"), _get(x, "reason").alias("reason"), _get(x, "explanation").alias("explanation"))
-    addition = lambda x: F.struct(_get(x, "reconciled_candidate_id", "id").alias("id"), _list(x, "candidate_ids").alias("candidate_ids"))
     filled = F.when(F.size(_list("_v", "new_accepted_concepts", of="variant")) > 0, _objects("_v", "new_accepted_concepts")).otherwise(_objects("_v", "accepted_concepts"))
-    out = rows.select(*answers.columns, F.transform(filled, concept).alias("new_accepted_concepts"), F.transform(_objects("_v", "existing_concept_candidate_additions"), addition).alias("additions"), F.transform(_objects("_v", "candidate_assignments"), assignment).alias("candidate_assignments"), "problem")
+    concepts = _fields(filled, strings=("id", "label", "description", "merge_rationale"), lists=("coverage_criteria", "source_candidate_ids"))
+    assignments = F.transform(
+        _fields(_objects("_v", "candidate_assignments"), strings=("candidate_id", "status", "merged_into", "reason", "explanation"), lists=("accepted_ids",)),
+        lambda x: F.struct(*(x[f].alias(f) for f in ("candidate_id", "status", "accepted_ids", "merged_into", "reason", "explanation"))),
+    )
+    additions = F.transform(_fields(_objects("_v", "existing_concept_candidate_additions"), strings=("reconciled_candidate_id", "id"), lists=("candidate_ids",)), lambda x: F.struct(F.coalesce(x["reconciled_candidate_id"], x["id"]).alias("id"), x["candidate_ids"].alias("candidate_ids")))
+    out = rows.select(*answers.columns, concepts.alias("new_accepted_concepts"), additions.alias("additions"), assignments.alias("candidate_assignments"), "problem")
     count = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0)))
     return out.withColumns({"n_targets": count("target_candidate_ids"), "n_new": count("new_accepted_concepts"), "n_additions": count("additions"), "n_assignments": count("candidate_assignments")})
 

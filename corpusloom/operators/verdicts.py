@@ -123,7 +123,7 @@ def repair_errors(rows: DataFrame, name: str = "lesson_reconciliation_quality_re
     head = _said((F.col("_asg").isNull(), f"{name}.candidate_assignments must be a list"))
     whole = _said(
         (F.size(missing) > 0, F.concat(F.lit(f"{name} must assign every target candidate: "), _listed(missing))),
-        (F.size(_repeated(F.col("_ids"))) > 0, F.concat(F.lit(f"{name} assigns candidates more than once: "), _listed(_repeated(F.col("_ids"))))),
+        (F.size(F.array_distinct("_ids")) < F.size("_ids"), F.concat(F.lit(f"{name} assigns candidates more than once: "), _listed(_repeated(F.col("_ids"))))),
     )
     flat = lambda c, f: F.coalesce(F.flatten(F.transform(c, f)), _none())
     return r.select("scope_id", F.concat(head, flat("_asg", assignment), whole, flat("new_accepted_concepts", concept)).alias("errors"))

@@ -88,7 +88,7 @@ def repair_errors(t: Tables) -> DataFrame:
     concept = F.struct(F.lit("k1").alias("id"), F.when(o % 7 == 0, " ").otherwise("l").alias("label"), F.lit("d").alias("description"), F.lit("m").alias("merge_rationale"), F.array(F.lit("can")).alias("coverage_criteria"), own.alias("source_candidate_ids"))
     answer = F.to_json(F.struct(F.array(concept).alias("accepted_concepts"), every.alias("candidate_assignments")))
     found = answers.repairs(g.select(o.alias("scope_id"), _ids(F.col("ns")).alias("target_candidate_ids"), F.array(F.lit("old")).alias("existing_ids"), answer.alias("answer")))
-    return verdicts.repair_errors(found, "d").select("scope_id", F.explode("errors").alias("error"))
+    return verdicts.each_error(verdicts.repair_errors(found, "d"), "scope_id")
 
 
 def _audits(t: Tables) -> DataFrame:

@@ -67,3 +67,22 @@ def test_candidates_of_a_subject_stand_where_they_first_come(spark, tmp_path):
     part = spark.createDataFrame([(k, "Brand#22", f"n{k}", "SMALL TIN", 7) for k in reversed(kept)], "p_partkey long, p_brand string, p_name string, p_type string, p_size int")
     found = assert_same_as_sql(spark, tmp_path, "residual_duplicates", part=part)
     assert [r[0] for r in found] == [",".join(f"c{k}" for k in kept)]
+
+
+def test_repairs_are_parsed_once_for_all_their_errors(spark):
+    from corpusloom.operators import answers, verdicts
+
+    answer = '{"accepted_concepts":[{"id":"k1","label":" ","description":"d","merge_rationale":"m","coverage_criteria":["x"],"source_candidate_ids":["c1"]},"odd"],"candidate_assignments":[{"candidate_id":"c1","status":"used_in","accepted_ids":["k1","k9"]},{"candidate_id":"c1","status":""}]}'
+    rows = spark.createDataFrame([(1, ["c1", "c2"], ["old"], answer), (2, [], [], '{"candidate_assignments":[]}')], "scope_id long, target_candidate_ids array<string>, existing_ids array<string>, answer string")
+    found = verdicts.each_error(verdicts.repair_errors(answers.repairs(rows), "d"), "scope_id")
+    assert planned(found).count("parseJson") == 1
+    assert sorted(r.error for r in found.collect()) == [
+        "candidate_assignments[0] references unknown accepted concept k9", "candidate_assignments[1].status must be used_in, merged_into, or pruned", "d assigns candidates more than once: c1", "d must assign every target candidate: c2", "new_accepted_concepts[0].label is required",
+    ]
+
+
+def test_repair_errors_query_parses_once(spark, tmp_path):
+    from corpusloom.plans import registry
+
+    spark.range(20).select(F.col("id").alias("l_orderkey"), (F.col("id") % 7 + 1).cast("int").alias("l_linenumber")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert planned(registry.queries()["repair_errors"](spark, str(tmp_path))).count("parseJson") == 1
