@@ -1,5 +1,7 @@
 """Plans and results that only larger tables would show to be wrong."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,18 @@ def test_repair_errors_query_parses_once(spark, tmp_path):
 
     spark.range(20).select(F.col("id").alias("l_orderkey"), (F.col("id") % 7 + 1).cast("int").alias("l_linenumber")).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert planned(registry.queries()["repair_errors"](spark, str(tmp_path))).count("parseJson") == 1
+
+
+def test_slugs_look_for_wide_characters_by_a_few_ranges(spark):
+    import unicodedata
+
+    from corpusloom.functions import text as X
+
+    texts = ["½ cup, é " + "ab, " * 10_000, "日本語 " * 3000 + "ﬁn É", "й" * 600 + " - " * 300 + "Straße № 5 " * 80, "-" * 1000, "", None, "x" * 89 + "--" + "y" * 600, "😀™ " * 200 + "Ångström", "…" * 600]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = {r.i: (r.a, r.f) for r in rows.select("i", X.ascii_slug("t", "source").alias("a"), X.fold_accents("t").alias("f")).collect()}
+    assert planned(rows.select(X.fold_accents("t"))).count("\\x{") < 300
+    for i, t in enumerate(texts):
+        folded = unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode()
+        slug = re.sub("[^a-z0-9]+", "-", folded.lower()).strip("-")[:90].rstrip("-")
+        assert found[i] == (slug or "source", folded)
