@@ -98,7 +98,7 @@ def test_slugs_look_for_wide_characters_by_a_few_ranges(spark):
     texts = ["½ cup, é " + "ab, " * 10_000, "日本語 " * 3000 + "ﬁn É", "й" * 600 + " - " * 300 + "Straße № 5 " * 80, "-" * 1000, "", None, "x" * 89 + "--" + "y" * 600, "😀™ " * 200 + "Ångström", "…" * 600]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     found = {r.i: (r.a, r.f) for r in rows.select("i", X.ascii_slug("t", "source").alias("a"), X.fold_accents("t").alias("f")).collect()}
-    assert planned(rows.select(X.fold_accents("t"))).count("\\x{") < 300
+    assert max(c.count("\\x{") for c in re.findall(r"\[[^\[\]]*\]", planned(rows.select(X.fold_accents("t"))))) in range(1, 200)
     for i, t in enumerate(texts):
         folded = unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode()
         slug = re.sub("[^a-z0-9]+", "-", folded.lower()).strip("-")[:90].rstrip("-")
