@@ -103,3 +103,14 @@ def test_slugs_look_for_wide_characters_by_a_few_ranges(spark):
         folded = unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode()
         slug = re.sub("[^a-z0-9]+", "-", folded.lower()).strip("-")[:90].rstrip("-")
         assert found[i] == (slug or "source", folded)
+
+
+def test_entries_travel_once_to_their_concepts_provenance(spark):
+    from corpusloom.operators import changes
+
+    entries = spark.createDataFrame([(1, "c1", "l1", "t", "a", "p", "o1", ["s1"], None, ["body"], [([("page", 1)],), (None,)], "definition")], "scope_id int, candidate_id string, lesson_id string, title string, label string, artifact_path string, original_candidate_id string, source_candidate_ids array<string>, source_roles array<string>, evidence_types array<string>, evidence array<struct<anchors:array<struct<kind:string,at:int>>>>, depth string")
+    found = changes.provenance(spark.createDataFrame([(1, "k", 1, "c1")], "scope_id int, concept_id string, pos bigint, candidate_id string"), entries)
+    below = planned(found).partition("Aggregate [")[2].partition("\n")[2]
+    assert below and "flatten(" not in below and "struct(" not in below
+    (one,) = found.collect()
+    assert one.refs[0].anchors == [("page", 1)] and one.refs[0].source_candidate_ids == one.occurrences[0].source_candidate_ids == ["s1"] and one.occurrences[0].source_roles == []
